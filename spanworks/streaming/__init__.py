@@ -1,0 +1 @@
+"""Intentionally empty: every operator of this package is a batch operator."""
