@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spanworks.functions.text import name_part
 from spanworks.operators.classify import with_error_class
-from spanworks.sources.tables import CatalogSource
+from spanworks.sources.tables import CatalogSource, local_rows
 
 _PROBE = (
     "table_name string, opened boolean, error string, columns array<string>, "
@@ -50,7 +50,7 @@ def row_counts(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFram
         for n, df in tables.items()
     ]
     if not counts:
-        return spark.createDataFrame([], "table_name string, row_count long")
+        return local_rows(spark, [], "table_name string, row_count long")
     return reduce(DataFrame.unionAll, counts)
 
 
@@ -65,7 +65,7 @@ def _isolated_counts(spark: SparkSession, tables: Mapping[str, DataFrame]):
                 rows.append((name, df.count(), None))
             except PySparkException as e:
                 rows.append((name, None, _message(e)))
-    return spark.createDataFrame(rows, "table_name string, row_count long, count_error string")
+    return local_rows(spark, rows, "table_name string, row_count long, count_error string")
 
 
 def _message(e: PySparkException) -> str:
@@ -79,10 +79,9 @@ def _probe(source: CatalogSource, name: str, sample_rows: int):
         df = source.open(name)
     except PySparkException as e:
         return (name, False, _message(e), None, None, None, None, None), None
-    properties, times, sample = {}, (None, None), None
+    properties, created, updated, sample = {}, None, None, None
     try:
-        properties = source.properties(name).first()["properties"]
-        times = source.times(name)
+        properties, created, updated = source.details(name)
     except PySparkException:
         pass  # the table stays accessible without them
     if sample_rows:
@@ -91,17 +90,17 @@ def _probe(source: CatalogSource, name: str, sample_rows: int):
             sample = [r["row"] for r in as_json.take(sample_rows)]
         except PySparkException:
             pass
-    return (name, True, None, df.columns, properties, *times, sample), df
+    return (name, True, None, df.columns, properties, created, updated, sample), df
 
 
 def audit_tables(
-    source: CatalogSource, entries: DataFrame, sample_rows: int = 0, isolate: bool = False
+    source: CatalogSource, entries: DataFrame, sample_rows: int = 0, isolate: bool = True
 ) -> DataFrame:
     """One row per distinct table of ``entries``.
 
-    ``sample_rows`` rows are read as JSON per table. With ``isolate`` the counts run
-    at once, and a table whose count fails keeps a null count and its error;
-    otherwise the counts stay part of the returned plan.
+    ``sample_rows`` rows are read as JSON per table. The counts run at once, and a
+    table whose count fails keeps a null count and its error; ``isolate=False``
+    leaves the counts in the returned plan instead, where a failure is one of all.
     """
     spark = source.spark
     names = distinct_tables(entries)
@@ -116,7 +115,7 @@ def audit_tables(
         rows.append(row)
         if df is not None:
             opened[name] = df
-    probes = with_error_class(spark.createDataFrame(rows, _PROBE), "error")
+    probes = with_error_class(local_rows(spark, rows, _PROBE), "error")
     if isolate:
         counts = _isolated_counts(spark, opened)
     else:

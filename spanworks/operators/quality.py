@@ -65,28 +65,35 @@ def quality_profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     if not exact_distinct:
         return _as_rows(totals, "column_name", df.columns, [*fields, "n_distinct"]).select(columns)
     rows = _as_rows(totals, "column_name", df.columns, fields)
-    return (
-        rows.join(distinct_counts(df), "column_name", "left")
-        .fillna(0, ["n_distinct"])
-        .select(columns)
-    )
+    distinct = distinct_counts(df).drop("n_rows")
+    return rows.join(distinct, "column_name", "left").fillna(0, ["n_distinct"]).select(columns)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Exact number of distinct non-null values per column.
+    """Rows and exact number of distinct non-null values per column.
 
     Counted on (column, value) pairs, combined map-side: a frequent value sends one
     row per map task, and the values of one column spread over all tasks.
     """
-    columns = list(columns or df.columns)
     pairs = F.array(
         *[
             F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-            for c in columns
+            for c in columns or df.columns
         ]
     )
-    values = df.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
-    return values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    values = df.select(F.inline(pairs)).groupBy("column_name", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return values.groupBy("column_name").agg(
+        F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct")
+    )
+
+
+def uniqueness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Whether each column could be a key: as many distinct values as rows."""
+    return distinct_counts(df, columns).withColumn(
+        "is_unique", F.col("n_distinct") == F.col("n_rows")
+    )
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -197,7 +197,7 @@ SELECT e.pers_id, salary, job_cd, term_type, {_EPISODE_COLUMNS}, l.mgr_sup_id,
 FROM episodes e LEFT JOIN led l USING (pers_id)
 LEFT JOIN teams t ON t.mgr_sup_id = l.mgr_sup_id AND t.week_start = e.start_date"""
 
-_START_STOP_SQL = f"""WITH {SPANS_SQL},{_ORDER_WEEKS},{_islands("entity", ["job_cd"])}
+START_STOP_SQL = f"""WITH {SPANS_SQL},{_ORDER_WEEKS},{_islands("entity", ["job_cd"])}
 SELECT entity, {_EPISODE_COLUMNS}, job_cd FROM episodes"""
 
 QUERIES = {
@@ -225,8 +225,8 @@ SELECT entity, span_id, week_start, strftime(week_start, '%G-W%V') AS iso_week F
         f"""WITH {SPANS_SQL},{_ORDER_WEEKS}
 SELECT entity, span_id, week_start, strftime(week_start, '%G-W%V') AS iso_week FROM uniq""",
     ),
-    "start_stop": (q_start_stop, _START_STOP_SQL),
-    "start_stop_direct": (q_start_stop_direct, _START_STOP_SQL),
+    "start_stop": (q_start_stop, START_STOP_SQL),
+    "start_stop_direct": (q_start_stop_direct, START_STOP_SQL),
     "forward_fill": (
         q_forward_fill,
         """SELECT event_id, user_id, nullif(event_type, 'error') AS job_cd,

@@ -20,12 +20,22 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanworks.sources.tables import local_rows
+
 LOG_SCHEMA = "function string, phase string, ts timestamp, path string, row_count long"
 _WHEN = ("before", "after", "both")
 _REUSE = ("none", "reread")
 _MODES = ("overwrite", "append", "ignore", "error", "errorifexists")
-# A quote inside a field is doubled, so that any text survives the round trip.
-CSV_OPTIONS = {"header": "true", "escape": '"'}
+# Text formats: full precision of time; in CSV a quote inside a field is doubled and a null
+# is written as \N, so that it is not read back as an empty text.
+_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+FORMAT_OPTIONS = {
+    "csv": {"header": "true", "escape": '"', "nullValue": "\\N", **_TIMES},
+    "json": _TIMES,
+}
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
@@ -131,19 +141,18 @@ class SnapshotSaver:
             out = out.coalesce(config.coalesce_partitions)
         seen = Observation()
         writer = out.observe(seen, F.count(F.lit(1)).alias("row_count")).write.mode(config.save_mode)
-        if kind == "csv":
-            writer = writer.options(**CSV_OPTIONS)
+        options = {**FORMAT_OPTIONS.get(kind, {}), **config.options}
         skipped = config.save_mode == "ignore" and _exists(df.sparkSession, path)
-        writer.format(kind).options(**config.options).save(path)
+        writer.format(kind).options(**options).save(path)
         rows = None if skipped else seen.get.get("row_count", 0)
-        self.saves_log.append((name, phase, stamp, path, rows))
+        self.saves_log.append((name, phase, datetime.now(), path, rows))
         if config.reuse == "reread":
             return df.sparkSession.read.schema(df.schema).format(kind).load(path)
         return df
 
     def get_saves_summary(self, spark: SparkSession) -> DataFrame:
         """The log: one row per save."""
-        return spark.createDataFrame(self.saves_log, LOG_SCHEMA)
+        return local_rows(spark, self.saves_log, LOG_SCHEMA)
 
     def append_log(self, spark: SparkSession, path: str) -> None:
         """Add the log to a table shared by many runs."""
@@ -175,14 +184,14 @@ def read_snapshot(spark: SparkSession, path: str, save_format: str, schema: T.St
     """
     kind = save_format.lower()
     if kind != "csv":
-        return spark.read.schema(schema).format(kind).load(path)
+        return spark.read.schema(schema).options(**FORMAT_OPTIONS.get(kind, {})).format(kind).load(path)
     flat = T.StructType(
         [
             T.StructField(f.name, T.StringType() if isinstance(f.dataType, _NESTED) else f.dataType)
             for f in schema.fields
         ]
     )
-    df = spark.read.schema(flat).options(**CSV_OPTIONS).option("multiLine", "true").csv(path)
+    df = spark.read.schema(flat).options(**FORMAT_OPTIONS["csv"]).option("multiLine", "true").csv(path)
     nested = {
         f.name: F.from_json(F.col(f"`{f.name}`"), f.dataType)
         for f in schema.fields

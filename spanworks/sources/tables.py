@@ -7,9 +7,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 COLUMN_SCHEMA = "table_name string, ordinal int, column_name string, data_type string, nullable boolean"
 LIST_SCHEMA = (
@@ -65,14 +67,14 @@ class CatalogSource:
             F.lit(name).alias("table_name"), "properties"
         )
 
-    def times(self, name: str) -> tuple[datetime | None, datetime | None]:
-        """Creation and last change time, as far as the catalog knows them."""
+    def details(self, name: str) -> tuple[dict[str, str], datetime | None, datetime | None]:
+        """Properties, creation time and last change time, as far as the catalog knows them."""
         text = self.spark.sql(f"DESCRIBE TABLE EXTENDED {quote(self.full_name(name))} AS JSON").first()[0]
-        details = json.loads(text)
-        own = details.get("table_properties") or {}
-        created = details.get("created_time") or own.get("created_time") or own.get("createtime")
+        known = json.loads(text)
+        own = known.get("table_properties") or {}
+        created = known.get("created_time") or own.get("created_time") or own.get("createtime")
         changed = own.get("last_modified_time") or own.get("last_ddl_time")
-        return _instant(created), _instant(changed)
+        return own, _instant(created), _instant(changed)
 
 
 def _instant(text: str | None) -> datetime | None:
@@ -105,6 +107,15 @@ def register_tables(
     return CatalogSource(spark, schema_prefix=prefix)
 
 
+def local_rows(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few metadata rows as a DataFrame whose size Spark knows, so that joins broadcast it."""
+    fields = spark.createDataFrame([], schema).schema
+    arrow = to_arrow_schema(fields)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    arrays = [pa.array(list(c), type=f.type) for c, f in zip(columns, arrow, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), fields)
+
+
 def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column of the given tables, from their schemas (no data is read)."""
     rows = [
@@ -112,13 +123,16 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
         for name, df in tables.items()
         for i, f in enumerate(df.schema.fields, 1)
     ]
-    return spark.createDataFrame(rows, COLUMN_SCHEMA)
+    return local_rows(spark, rows, COLUMN_SCHEMA)
 
 
 def table_list(spark: SparkSession, categories: Mapping[str, Sequence[tuple[str, str]]]) -> DataFrame:
     """A list of tables by category as a DataFrame ``(position, category, tables)``."""
-    rows = [(i, c, [tuple(t) for t in tables]) for i, (c, tables) in enumerate(categories.items(), 1)]
-    return spark.createDataFrame(rows, LIST_SCHEMA)
+    rows = [
+        (i, c, [{"table_name": n, "description": text} for n, text in tables])
+        for i, (c, tables) in enumerate(categories.items(), 1)
+    ]
+    return local_rows(spark, rows, LIST_SCHEMA)
 
 
 def flatten_table_list(categories: DataFrame) -> DataFrame:
