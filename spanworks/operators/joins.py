@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.operators.ordered import MAX_GROUP_ROWS, forward_fill, latest_per_key
+from spanworks.operators.ordered import (
+    MAX_GROUP_ROWS,
+    forward_fill,
+    has_large_group,
+    latest_per_key,
+    null_safe,
+    running_max,
+)
 
 
 def dedup_left_join(
@@ -39,31 +47,38 @@ def asof_join(
 
     Both sides go through one union and one fill per key: one shuffle, no pairs.
     ``newest_first`` picks among right rows of the same key and time; leave it
-    empty when (keys, time) is unique on the right.
+    empty when (keys, time) is unique on the right. With a very large key, the fill
+    runs over distinct (keys, time) points, which are then joined to the left rows.
     """
-    if newest_first:
-        right = latest_per_key(right, [*keys, right_time], newest_first)
-    record = F.struct(*values)
-    record_type = right.select(record.alias("r")).schema["r"].dataType
-    row_type = left.select(F.struct(*left.columns).alias("l")).schema["l"].dataType
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, right_time)])
+    right = right.filter(known)
     names = [f"_a{i}" for i in range(len(keys))]
     keyed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
-    events = right.select(
-        *keyed, F.col(right_time).alias("_t"), F.lit(0).alias("_side"),
-        F.lit(0).cast("long").alias("_tie"),
-        F.lit(None).cast(row_type).alias("_l"), record.alias("_r"),
-    ).unionByName(
-        left.select(
-            *keyed, F.col(left_time).alias("_t"), F.lit(1).alias("_side"),
-            # only spreads left rows of equal time; their mutual order changes nothing
-            F.monotonically_increasing_id().alias("_tie"),
-            F.struct(*left.columns).alias("_l"), F.lit(None).cast(record_type).alias("_r"),
-        )
-    )
-    filled = forward_fill(events, names, ["_t", "_side", "_tie"], {"_r": "_r"}, max_group_rows)
-    return filled.filter("_side = 1").select(
-        *[F.col("_l")[c].alias(c) for c in left.columns], *[F.col("_r")[v].alias(v) for v in values]
+    large = has_large_group(left.select(keyed).union(right.select(keyed)), names, max_group_rows)
+    if newest_first:
+        right = latest_per_key(right, [*keys, right_time], newest_first)
+    points = left.select(*keyed, F.col(left_time).alias("_t"))
+    records = right.select(*keyed, F.col(right_time).alias("_t"), F.struct(*values).alias("_r"))
+    looked_up = [F.col("_r")[v].alias(v) for v in values]
+    if large:
+        filled = _asof_fill(points.distinct(), records, names, max_group_rows)
+        filled = filled.withColumnRenamed("_t", "_at")
+        on = null_safe([*keys, left_time], [*names, "_at"])
+        return left.join(filled, on, "left").select(*left.columns, *looked_up)
+    rows = left.select(*keyed, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_l"))
+    filled = _asof_fill(rows, records, names, None)
+    return filled.select(*[F.col("_l")[c].alias(c) for c in left.columns], *looked_up)
+
+
+def _asof_fill(
+    points: DataFrame, records: DataFrame, names: Sequence[str], max_group_rows: int | None
+) -> DataFrame:
+    """Points with the latest record ``_r`` at or before ``_t``; records count before points."""
+    events = records.withColumn("_side", F.lit(0)).unionByName(
+        points.withColumn("_side", F.lit(1)), allowMissingColumns=True
     )
+    filled = forward_fill(events, names, ["_t", "_side"], {"_r": "_r"}, max_group_rows)
+    return filled.filter("_side = 1").drop("_side")
 
 
 def covariate_at(
@@ -95,43 +110,69 @@ def covariate_at(
 
 def interval_join(
     facts: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str,
-    values: Sequence[str], as_of: str, how: str = "left", bucket_days: int = 28,
+    values: Sequence[str], as_of: str, how: str = "left", bucket_hours: int = 24 * 28,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Every pair of a fact and a span of its key with ``start <= time < end``.
 
-    Spans may overlap. Each span is listed once per bucket of ``bucket_days`` days
-    it touches, and the join is on (keys, bucket): a key with many facts and many
-    spans is compared only within a bucket, and Spark splits buckets that are
-    still too large. Open spans end at ``as_of``. Where the spans of a key never
-    overlap, ``covariate_at`` needs no buckets.
+    Spans may overlap. Each span is listed once per bucket of ``bucket_hours`` it
+    touches, and the join is on (keys, bucket): a key with many facts and many spans
+    is compared only within a bucket. Spark splits large buckets at run time, on the
+    fact side of a left join and on both sides of an inner join; when the spans of a
+    bucket exceed ``max_group_rows``, a left join is therefore done as an inner join
+    plus the facts no span covers. Open spans end at ``as_of``. Where the spans of a
+    key never overlap, ``covariate_at`` needs no buckets.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
 
     def bucket(moment: Column) -> Column:
-        days = F.datediff(F.to_date(moment), F.to_date(F.lit("1970-01-01")))
-        return F.floor(days / bucket_days).cast("int")
+        hours = F.timestamp_diff("HOUR", F.to_timestamp_ntz(F.lit("1970-01-01")), moment.cast("timestamp_ntz"))
+        return F.floor(hours / bucket_hours).cast("int")
 
     renamed = {v: f"_v{i}" for i, v in enumerate(values)}
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = [f"_span_k{i}" for i in range(len(keys))]
     time_type = facts.schema[time].dataType
     stop = F.coalesce(F.col(end).cast(time_type), F.lit(as_of).cast(time_type))
-    listed = (
-        spans.select(
-            *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
-            F.col(start).cast(time_type).alias("_start"), stop.alias("_stop"),
-            *[F.col(v).alias(n) for v, n in renamed.items()],
-        )
-        .filter("_start < _stop")
-        .withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_start")), bucket(F.col("_stop")))))
-    )
+    lasting = spans.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
+        F.col(start).cast(time_type).alias("_start"), stop.alias("_stop"),
+        *[F.col(v).alias(n) for v, n in renamed.items()],
+    ).filter("_start < _stop")
+    touched = F.sequence(bucket(F.col("_start")), bucket(F.col("_stop")))
+    listed = lasting.withColumn("_bucket", F.explode(touched))
     placed = facts.withColumn("_fact_bucket", bucket(F.col(time)))
     on = F.col("_fact_bucket") == F.col("_bucket")
     for k, n in zip(keys, names, strict=True):
         on = on & (F.col(k) == F.col(n))
     on = on & (F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_stop"))
-    joined = placed.join(listed, on, how)
-    return joined.select(*facts.columns, *[F.col(n).alias(v) for v, n in renamed.items()])
+    columns = [*facts.columns, *[F.col(n).alias(v) for v, n in renamed.items()]]
+    if how == "inner" or not has_large_group(listed, [*names, "_bucket"], max_group_rows):
+        return placed.join(listed, on, how).select(columns)
+    matched = placed.join(listed, on, "inner").select(columns)
+    bare = _uncovered(facts, lasting, keys, names, time, max_group_rows)
+    return matched.unionByName(bare, allowMissingColumns=True)
+
+
+def _uncovered(
+    facts: DataFrame, lasting: DataFrame, keys: Sequence[str], names: Sequence[str], time: str,
+    max_group_rows: int | None,
+) -> DataFrame:
+    """Facts for which no span that started by then is still running.
+
+    The furthest end so far, taken in order of time, decides this without pairs.
+    """
+    ends = lasting.groupBy(*names, "_start").agg(F.max("_stop").alias("_stop"))
+    ends = ends.filter(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
+    points = facts.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(time).alias("_at")
+    ).distinct()
+    events = ends.select(*names, F.col("_start").alias("_at"), "_stop", F.lit(0).alias("_side"))
+    events = events.unionByName(points.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    reach = running_max(events, names, ["_at", "_side"], "_stop", "_reach", max_group_rows)
+    open_points = reach.filter("_side = 1 AND (_reach IS NULL OR _reach <= _at OR _at IS NULL)")
+    on = null_safe([*keys, time], [*names, "_at"])
+    return facts.join(open_points.select(*names, "_at"), on, "left_semi")
 
 
 def manager_lookup(

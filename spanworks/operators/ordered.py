@@ -77,7 +77,7 @@ def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: i
     n_keys, n_rows = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if not n_keys:
         return _Parts(df)
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = [f"_large{i}" for i in range(len(keys))]
     large = large.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
     large = _maybe_broadcast(materialize(large, "large-keys"), n_keys)
     match = null_safe(keys, names)
@@ -102,7 +102,7 @@ def _by_chunk(
     small = windowed(parts.small, keys)
     if parts.chunks is None:
         return small.drop(*[c for c in small.columns if c.startswith("_edge")])
-    names = [f"_k{i}" for i in range(len(keys))] + ["_c"]
+    names = [f"_border{i}" for i in range(len(keys))] + ["_border_chunk"]
     by = [*keys, _CHUNK]
     borders = carry(parts.chunks)
     borders = borders.withColumnsRenamed(dict(zip(by, names, strict=True)))
@@ -148,6 +148,24 @@ def forward_fill(
     return _by_chunk(_split(df, keys, order, max_group_rows), keys, windowed, carry, combine)
 
 
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Largest ``column`` so far per key, the current row included."""
+    def windowed(part: DataFrame, by: Sequence[str]) -> DataFrame:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return part.withColumn(alias, F.max(column).over(w))
+
+    def carry(chunks: DataFrame) -> DataFrame:
+        largest = chunks.groupBy(*keys, _CHUNK).agg(F.max(column).alias("_b"))
+        earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
+        return largest.withColumn("_b", F.max("_b").over(earlier))
+
+    combine = {alias: F.greatest(F.col(alias), F.col("_b"))}
+    return _by_chunk(_split(df, keys, order, max_group_rows), keys, windowed, carry, combine)
+
+
 def _neighbour(df, keys, order, column, alias, max_group_rows, shift, border):
     def windowed(part: DataFrame, by: Sequence[str]) -> DataFrame:
         w = W.partitionBy(*by).orderBy(*order)

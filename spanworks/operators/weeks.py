@@ -75,7 +75,7 @@ def week_ranges(
             "end_week": week_start(F.date_sub(F.col("_to"), 1)),
         }
     )
-    if has_large_group(clipped, entity, max_group_rows):
+    if has_large_group(spans, entity, max_group_rows):
         clipped = latest_per_key(
             clipped, [*entity, "start_week"], [F.desc("_from"), F.desc(tie)]
         )

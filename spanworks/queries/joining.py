@@ -116,7 +116,7 @@ def q_interval_join_orders(spark, d):
     )
     return joins.interval_join(
         facts, _long_spans(spark, d), ["entity"], "ts", "start_ts", "end_ts", ["span_id"],
-        as_of="2002-01-01 00:00:00", how="inner", bucket_days=182,
+        as_of="2002-01-01 00:00:00", how="inner", bucket_hours=24 * 182,
     )
 
 
