@@ -151,6 +151,12 @@ def first_columns(df: DataFrame, limit: int = SAMPLE_COLUMNS) -> DataFrame:
     return df.select(*df.columns[:limit], F.lit(note).cast("string").alias("note"))
 
 
+def _cell(value: Column) -> Column:
+    """A short text that stays within its table cell."""
+    one_line = F.translate(truncate_cell(value), "\r\n", "  ")
+    return F.replace(one_line, F.lit("|"), F.lit("\\|"))
+
+
 def _row_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))
 
@@ -209,7 +215,7 @@ def sample_lines(audit: DataFrame, category_rules: Sequence[Rule]) -> DataFrame:
 
     def row(text: Column) -> Column:
         parsed = F.from_json(text, row_type)
-        return _row_line(F.transform(shown, lambda c: truncate_cell(F.try_element_at(parsed, c))))
+        return _row_line(F.transform(shown, lambda c: _cell(F.try_element_at(parsed, c))))
 
     count = F.size("columns").cast("string")
     n_rows = F.size("sample").cast("string")
