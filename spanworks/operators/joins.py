@@ -117,11 +117,12 @@ def interval_join(
 
     Spans may overlap. Each span is listed once per bucket of ``bucket_hours`` it
     touches, and the join is on (keys, bucket): a key with many facts and many spans
-    is compared only within a bucket. Spark splits large buckets at run time, on the
-    fact side of a left join and on both sides of an inner join; when the spans of a
-    bucket exceed ``max_group_rows``, a left join is therefore done as an inner join
-    plus the facts no span covers. Open spans end at ``as_of``. Where the spans of a
-    key never overlap, ``covariate_at`` needs no buckets.
+    is compared only within a bucket; buckets before the first or after the last
+    fact are not listed. Spark splits large buckets at run time, on the fact side of
+    a left join and on both sides of an inner join; when a key has more spans than
+    ``max_group_rows``, a left join is therefore done as an inner join plus the facts
+    no span covers. Open spans end at ``as_of``. Where the spans of a key never
+    overlap, ``covariate_at`` needs no buckets.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -139,7 +140,11 @@ def interval_join(
         F.col(start).cast(time_type).alias("_start"), stop.alias("_stop"),
         *[F.col(v).alias(n) for v, n in renamed.items()],
     ).filter("_start < _stop")
-    touched = F.sequence(bucket(F.col("_start")), bucket(F.col("_stop")))
+    first, last = (F.lit(t).cast(time_type) for t in facts.agg(F.min(time), F.max(time)).first())
+    lasting = lasting.filter((F.col("_stop") > first) & (F.col("_start") <= last))
+    touched = F.sequence(
+        bucket(F.greatest(F.col("_start"), first)), bucket(F.least(F.col("_stop"), last))
+    )
     listed = lasting.withColumn("_bucket", F.explode(touched))
     placed = facts.withColumn("_fact_bucket", bucket(F.col(time)))
     on = F.col("_fact_bucket") == F.col("_bucket")
@@ -147,7 +152,7 @@ def interval_join(
         on = on & (F.col(k) == F.col(n))
     on = on & (F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_stop"))
     columns = [*facts.columns, *[F.col(n).alias(v) for v, n in renamed.items()]]
-    if how == "inner" or not has_large_group(listed, [*names, "_bucket"], max_group_rows):
+    if how == "inner" or not has_large_group(lasting, names, max_group_rows):
         return placed.join(listed, on, how).select(columns)
     matched = placed.join(listed, on, "inner").select(columns)
     bare = _uncovered(facts, lasting, keys, names, time, max_group_rows)

@@ -59,6 +59,31 @@ def weekly_unique(weekly: DataFrame, entity: Sequence[str], start: str, tie: str
     return latest_per_key(weekly, [*entity, "week_start"], [F.desc(start), F.desc(tie)])
 
 
+def weekly_owned(
+    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """``weekly_unique`` of ``weekly_episodes``, listing fewer weeks on the way.
+
+    A span that the next one outlasts owns nothing from the week in which that one
+    starts, so those weeks are not listed; what else overlaps is settled per week.
+    """
+    clipped = _clip(spans, start, end, as_of)
+    last = week_start(F.date_sub(F.col("_to"), 1))
+    weeks = F.struct(week_start(F.col("_from")).alias("first"), last.alias("last"))
+    followed = next_value(
+        clipped.withColumn("_own", weeks), entity, ["_from", tie], "_own", "_next", max_group_rows
+    )
+    own, following = F.col("_own"), F.col("_next")
+    outlasted = following["last"] >= own["last"]
+    until = F.when(outlasted, F.least(own["last"], F.date_sub(following["first"], 7)))
+    until = F.coalesce(until, own["last"])
+    listed = followed.withColumn("_until", until).filter(F.col("_until") >= own["first"])
+    weekly = listed.withColumn("week_start", _weeks(own["first"], F.col("_until")))
+    unique = weekly_unique(weekly.drop("_from", "_to", "_own", "_next", "_until"), entity, start, tie)
+    return unique.withColumn("iso_week", iso_week(F.col("week_start")))
+
+
 def week_ranges(
     spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str,
     max_group_rows: int | None = MAX_GROUP_ROWS,

@@ -43,10 +43,7 @@ def with_weekly_episodes(
     entity: Sequence[str], start: str, end: str, tie: str, as_of: str
 ) -> Step:
     """Spans to one row per entity and week."""
-    def step(df: DataFrame) -> DataFrame:
-        return weeks.weekly_unique(weeks.weekly_episodes(df, start, end, as_of), entity, start, tie)
-
-    return step
+    return lambda df: weeks.weekly_owned(df, entity, start, end, tie, as_of)
 
 
 def with_forward_filled_job_cd(

@@ -13,6 +13,7 @@ from spanworks.operators.ordered import MAX_GROUP_ROWS
 from spanworks.operators.people import mgr_sup_id, termination_type
 from spanworks.operators.teams import team_weekly
 from spanworks.operators.weeks import expand_weeks, merge_ranges, week_ranges
+from spanworks.workdir import materialize
 
 
 @dataclass(frozen=True)
@@ -35,50 +36,57 @@ class Settings:
     team_size: tuple[int, int] = (1, 1_000_000)
     max_group_rows: int | None = MAX_GROUP_ROWS
     entity: Sequence[str] = field(default=("pers_id",))
+    write_episodes: bool = True
 
 
 def start_stop_dataset(inputs: Inputs, settings: Settings) -> DataFrame:
     """Start-stop rows with the manager and the team figures of their first week.
 
     Team figures are null where the manager is unknown or the team size is outside
-    the plausible limits. Week ranges are found once per person; listing the weeks
-    happens only inside the team aggregation, which combines before its shuffle.
+    the plausible limits. From spans to episodes the rows are shuffled once, on the
+    person. Episodes feed both the teams and the result, so they are written once and
+    read twice; weeks are listed only inside the team aggregation, which combines
+    before its shuffle.
     """
     entity = list(settings.entity)
     opted_out = inputs.people.filter("optout").select(*entity)
     active = inputs.assignments.join(opted_out, entity, "left_anti")
     # an end after as_of is not known yet: the span is open and the event censored
     known = F.when(F.to_date("end_date") <= F.to_date(F.lit(settings.as_of)), F.col("end_date"))
-    active = active.withColumn("end_date", known)
-    typed = termination_type(active, "term_cd", "end_date", settings.termination_rules)
-    managers = mgr_sup_id(inputs.hierarchy, "mgr_id", "sup_id", settings.default_managers)
-    managers = managers.select(*entity, "mgr_sup_id").filter("mgr_sup_id IS NOT NULL")
+    typed = termination_type(
+        active.withColumn("end_date", known), "term_cd", "end_date", settings.termination_rules
+    )
     ranges = week_ranges(
         typed, entity, "start_date", "end_date", "span_id", settings.as_of, settings.max_group_rows
     )
-    episodes = merge_ranges(ranges, entity, settings.covariates, ["start_date", "span_id"])
-    teams = _teams(ranges, managers, entity, settings)
-    placed = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")])
-    first_week = teams.withColumnsRenamed({"week_start": "start_date"})
-    return placed.join(first_week, ["mgr_sup_id", "start_date"], "left")
+    # a span that ends in a termination never merges with another one
+    ranges = ranges.withColumn("_ended", F.when(F.col("term_type").isNotNull(), F.col("span_id")))
+    kept = [*settings.covariates, "_ended", "since_week"]
+    episodes = merge_ranges(ranges, entity, kept, ["start_date", "span_id"]).drop("_ended")
+    managers = mgr_sup_id(inputs.hierarchy, "mgr_id", "sup_id", settings.default_managers)
+    managers = managers.select(*entity, "mgr_sup_id").filter("mgr_sup_id IS NOT NULL")
+    episodes = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")])
+    if settings.write_episodes:
+        episodes = materialize(episodes, "episodes")
+    first_week = _teams(episodes, settings).withColumnRenamed("week_start", "start_date")
+    return episodes.drop("since_week").join(first_week, ["mgr_sup_id", "start_date"], "left")
 
 
-def _teams(ranges: DataFrame, managers: DataFrame, entity: list[str], settings: Settings) -> DataFrame:
+def _teams(episodes: DataFrame, settings: Settings) -> DataFrame:
     """Weekly figures of teams of plausible size; tenure counts from the person's first span."""
-    led = dedup_left_join(ranges, managers, entity, [F.asc("mgr_sup_id")])
-    led = led.filter("mgr_sup_id IS NOT NULL").select(
-        "mgr_sup_id", "start_week", "end_week", "salary",
-        F.col("term_type").isNotNull().alias("terminates"), "since_week",
-        F.col("end_week").alias("last_week"),
+    led = episodes.filter("mgr_sup_id IS NOT NULL").select(
+        "mgr_sup_id", "salary", "since_week", F.col("start_date").alias("start_week"),
+        F.col("end_week_date").alias("end_week"),
+        F.when(F.col("term_type").isNotNull(), F.col("end_week_date")).alias("leaves"),
     )
     weekly = expand_weeks(led).withColumns(
         {
             "tenure_weeks": F.datediff("week_start", "since_week") / 7,
-            "leaving": F.col("terminates") & (F.col("week_start") == F.col("last_week")),
+            "leaving": F.col("week_start") == F.col("leaves"),
         }
     )
-    low, high = settings.team_size
     team = team_weekly(weekly, ["mgr_sup_id"], "salary", "tenure_weeks", "leaving")
+    low, high = settings.team_size
     return team.filter(F.col("headcount").between(low, high))
 
 

@@ -152,7 +152,7 @@ def q_team_weekly(spark, d):
 
 
 def q_span_of_control(spark, d):
-    return teams.span_of_control(_led_weeks(spark, d), ["manager"], "pers_id", 3, 60)
+    return teams.span_of_control(_led_weeks(spark, d), ["manager"], "pers_id", 3, 60, True)
 
 
 def q_keep_valid_managers(spark, d):

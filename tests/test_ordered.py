@@ -159,3 +159,13 @@ def test_week_ranges_of_a_large_entity_agree(skewed_spans):
     )
     assert same(make(None), make(30))
     assert same(make(None), weeks.start_stop(weekly, ["k"], ["span"]))
+
+
+@pytest.mark.parametrize("limit", [None, 40])
+def test_weekly_owned_agrees_on_overlapping_spans(skewed_spans, limit):
+    dated = skewed_spans.withColumns({"s": F.to_date("s"), "e": F.date_add(F.to_date("e"), F.col("span") % 50)})
+    plain = weeks.weekly_unique(
+        weeks.weekly_episodes(dated, "s", "e", "2020-07-01"), ["k"], "s", "span"
+    )
+    owned = weeks.weekly_owned(dated, ["k"], "s", "e", "span", "2020-07-01", limit)
+    assert same(plain, owned.select(plain.columns))
