@@ -8,6 +8,7 @@ tables.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from datetime import datetime
 from functools import reduce
@@ -23,7 +24,7 @@ from spanworks.sources.tables import CatalogSource, local_rows
 _PROBE = (
     "table_name string, opened boolean, error string, columns array<string>, "
     "properties map<string,string>, created_at timestamp, updated_at timestamp, "
-    "sample array<string>"
+    "sample array<string>, probe_seconds double"
 )
 _NOT_LISTED = "TABLE_OR_VIEW_NOT_FOUND: not in the catalog listing"
 
@@ -75,10 +76,11 @@ def _message(e: PySparkException) -> str:
 
 def _probe(source: CatalogSource, name: str, sample_rows: int):
     """Metadata row of one table, and the table if it opened."""
+    start = time.monotonic()
     try:
         df = source.open(name)
     except PySparkException as e:
-        return (name, False, _message(e), None, None, None, None, None), None
+        return (name, False, _message(e), None, None, None, None, None, _since(start)), None
     properties, created, updated, sample = {}, None, None, None
     try:
         properties, created, updated = source.details(name)
@@ -90,7 +92,12 @@ def _probe(source: CatalogSource, name: str, sample_rows: int):
             sample = [r["row"] for r in as_json.take(sample_rows)]
         except PySparkException:
             pass
-    return (name, True, None, df.columns, properties, created, updated, sample), df
+    row = (name, True, None, df.columns, properties, created, updated, sample, _since(start))
+    return row, df
+
+
+def _since(start: float) -> float:
+    return time.monotonic() - start
 
 
 def audit_tables(
@@ -109,7 +116,7 @@ def audit_tables(
     rows, opened = [], {}
     for name in wanted:
         if listed and name.lower() not in listed:
-            rows.append((name, False, _NOT_LISTED, None, None, None, None, None))
+            rows.append((name, False, _NOT_LISTED, None, None, None, None, None, 0.0))
             continue
         row, df = _probe(source, name, sample_rows)
         rows.append(row)
@@ -133,6 +140,7 @@ def audit_tables(
         "row_count",
         F.when(F.col("opened"), F.size("columns")).alias("column_count"),
         "columns", "properties", "created_at", "updated_at", "sample",
+        "probe_seconds",
         F.lit(datetime.now()).alias("check_time"),
     )
 

@@ -140,7 +140,9 @@ def interval_join(
         F.col(start).cast(time_type).alias("_start"), stop.alias("_stop"),
         *[F.col(v).alias(n) for v, n in renamed.items()],
     ).filter("_start < _stop")
-    first, last = (F.lit(t).cast(time_type) for t in facts.agg(F.min(time), F.max(time)).first())
+    # as text, because a literal time would pass through the time zone of this process
+    limits = facts.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
+    first, last = (F.lit(t).cast(time_type) for t in limits)
     lasting = lasting.filter((F.col("_stop") > first) & (F.col("_start") <= last))
     touched = F.sequence(
         bucket(F.greatest(F.col("_start"), first)), bucket(F.least(F.col("_stop"), last))

@@ -96,6 +96,19 @@ def uniqueness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def quick_view(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
+    """A first look: some rows as JSON in a stable order, with the size of the table.
+
+    Counts the table when called. Only ``rows`` rows of each task take part in the sort.
+    """
+    n_rows = df.count()
+    first = df.orderBy(*order).limit(rows)
+    return first.select(
+        F.to_json(F.struct(*df.columns)).alias("row"),
+        F.lit(n_rows).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+    )
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys held by more than one row, with their row count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")

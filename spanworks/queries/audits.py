@@ -157,8 +157,10 @@ def q_catalog_presence(spark, d):
 
 
 def q_table_properties(spark, d):
-    """Properties of the orders table beside its row count."""
-    properties = _source(spark, d).properties("sales.orders")
+    """Properties of the sales tables beside their row counts."""
+    source = _source(spark, d)
+    parts = [source.properties(f"sales.{t}") for t in SCHEMAS["sales"]]
+    properties = reduce(DataFrame.unionAll, parts)
     return properties.select("table_name", F.col("properties")["purpose"].alias("purpose")).join(
         _counts(spark, d), "table_name"
     )
@@ -491,7 +493,8 @@ FROM entries e LEFT JOIN counts c ON c.table_name = e.table_name""",
     ),
     "table_properties": (
         q_table_properties,
-        "SELECT 'sales.orders' AS table_name, 'audit' AS purpose, count(*) AS row_count FROM orders",
+        f"""WITH {_COUNTS_SQL}
+SELECT table_name, 'audit' AS purpose, row_count FROM counts WHERE table_name LIKE 'sales.%'""",
     ),
     "table_times": (
         q_table_times,

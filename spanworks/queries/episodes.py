@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanworks.functions.dates import iso_week
 from spanworks.operators import teams, weeks
-from spanworks.operators.ordered import forward_fill
+from spanworks.operators.ordered import forward_fill, next_value, previous_value
 from spanworks.operators.people import termination_type
 from spanworks.plans.workforce import rounded, start_stop_dataset
 from spanworks.queries.mapping import (
@@ -15,6 +15,7 @@ from spanworks.queries.mapping import (
     TERMINATION_RULES,
     WEEKLY_SQL,
     WORKFORCE_SPANS_SQL,
+    order_events,
     order_spans,
     workforce,
     workforce_spans,
@@ -62,6 +63,13 @@ def q_spans(spark, d):
     return order_spans(spark, d)
 
 
+def q_neighbour_spans(spark, d):
+    """Each span with the job codes before and after it."""
+    spans = order_events(spark, d).select("entity", "span_id", "start_date", "job_cd")
+    by = (["entity"], ["start_date", "span_id"], "job_cd")
+    return next_value(previous_value(spans, *by, "previous_job"), *by, "next_job")
+
+
 def q_weekly_episodes(spark, d):
     weekly = weeks.weekly_episodes(order_spans(spark, d), "start_date", "end_date", AS_OF)
     return weekly.select("entity", "span_id", "week_start", "iso_week")
@@ -73,6 +81,15 @@ def q_weekly_unique(spark, d):
     return unique.select("entity", "span_id", "week_start", "iso_week")
 
 
+def q_weekly_owned(spark, d):
+    """Spans that overlap: 60 or 400 days, or open, by status."""
+    start, status = F.col("start_date"), F.col("status")
+    end = F.when(status == "F", F.date_add(start, 60)).when(status == "P", F.date_add(start, 400))
+    spans = order_events(spark, d).select("entity", "span_id", "start_date", end.alias("end_date"))
+    owned = weeks.weekly_owned(spans, _ENTITY, "start_date", "end_date", "span_id", AS_OF)
+    return owned.select("entity", "span_id", "week_start", "iso_week")
+
+
 def q_start_stop(spark, d):
     weekly = weeks.weekly_episodes(order_spans(spark, d), "start_date", "end_date", AS_OF)
     unique = weeks.weekly_unique(weekly, _ENTITY, "start_date", "span_id")
@@ -215,6 +232,22 @@ SELECT CAST(t AS DATE) AS day, strftime(t, '%G-W%V') AS iso_week,
        CAST(quarter(t) AS INTEGER) AS quarter, CAST(year(t) AS INTEGER) AS year FROM days""",
     ),
     "spans_from_events": (q_spans, f"WITH {SPANS_SQL} SELECT * FROM spans"),
+    "neighbour_spans": (
+        q_neighbour_spans,
+        f"""WITH {SPANS_SQL}
+SELECT entity, span_id, start_date, job_cd, lag(job_cd) OVER w AS previous_job,
+       lead(job_cd) OVER w AS next_job
+FROM spans WINDOW w AS (PARTITION BY entity ORDER BY start_date, span_id)""",
+    ),
+    "weekly_owned": (
+        q_weekly_owned,
+        f"""WITH long_spans AS (
+  SELECT o_custkey AS entity, o_orderkey AS span_id, CAST(o_orderdate AS DATE) AS start_date,
+         CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 60
+              WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) + 400 END AS end_date
+  FROM orders),{WEEKLY_SQL.format(source="long_spans", entity="entity")}
+SELECT entity, span_id, week_start, strftime(week_start, '%G-W%V') AS iso_week FROM uniq""",
+    ),
     "weekly_episodes": (
         q_weekly_episodes,
         f"""WITH {SPANS_SQL},{_ORDER_WEEKS}

@@ -60,6 +60,10 @@ def q_quality_sketch(spark, d):
     return joined.select("column_name", (off <= F.col("exact") * 0.1).alias("close"))
 
 
+def q_quick_view(spark, d):
+    return quality.quick_view(load_table(spark, d, "customer").drop("c_acctbal"), ["c_custkey"], 3)
+
+
 def q_duplicate_keys(spark, d):
     return quality.duplicate_keys(load_table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
@@ -111,6 +115,13 @@ QUERIES = {
             for c in _ORDER_COLUMNS
         ),
     ),
+    "quick_view": (
+        q_quick_view,
+        """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey
+       || ',"c_mktsegment":"' || c_mktsegment || '"}' AS row,
+       (SELECT count(*) FROM customer) AS n_rows, 4 AS n_columns
+FROM customer ORDER BY c_custkey LIMIT 3""",
+    ),
     "duplicate_keys": (
         q_duplicate_keys,
         """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem

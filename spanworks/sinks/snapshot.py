@@ -13,7 +13,7 @@ import functools
 import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -115,7 +115,7 @@ class SnapshotSaver:
         return decorator
 
     def _run(self, df: DataFrame, step: Callable, name: str, config: SnapshotConfig) -> DataFrame:
-        stamp = datetime.now()
+        stamp = datetime.now(timezone.utc)
         if config.when in ("before", "both"):
             df = self.save(df, name, "before", config, stamp)
         result = step(df)
@@ -145,7 +145,7 @@ class SnapshotSaver:
         skipped = config.save_mode == "ignore" and _exists(df.sparkSession, path)
         writer.format(kind).options(**options).save(path)
         rows = None if skipped else seen.get.get("row_count", 0)
-        self.saves_log.append((name, phase, datetime.now(), path, rows))
+        self.saves_log.append((name, phase, datetime.now(timezone.utc), path, rows))
         if config.reuse == "reread":
             return df.sparkSession.read.schema(df.schema).format(kind).load(path)
         return df

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spanworks.operators import audit, report
 from spanworks.queries import audits
-from spanworks.sinks.reports import write_csv_report, write_lines
+from spanworks.sinks.reports import write_csv_report, write_lines, write_report_set
 from spanworks.sources.tables import (
     CatalogSource,
     flatten_table_list,
@@ -116,3 +116,10 @@ def test_preview_and_csv(spark, audited, tmp_path):
     back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
     assert back.count() == 17 and "sample" not in back.columns
     assert back.filter("table_name = 'geo.region'").first()["column_names"] == "r_regionkey, r_name"
+
+
+def test_report_set(spark, audited, tmp_path):
+    write_report_set(audited, str(tmp_path), "Audit", "lake", "audit", audits.STAGE_RULES, audits.CATEGORY_RULES)
+    main = spark.read.option("header", "true").csv(str(tmp_path / "main_csv"))
+    assert main.columns == list(report.MAIN_HEADERS.values()) and main.count() == 17
+    assert spark.read.text(str(tmp_path / "samples_md")).filter("value LIKE '### %'").count() == 14
