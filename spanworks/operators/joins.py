@@ -8,33 +8,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.operators.ordered import (
-    MAX_GROUP_ROWS,
-    forward_fill,
-    has_large_group,
-    latest_per_key,
-    null_safe,
-    running_max,
-)
+from spanworks.operators.ordered import forward_fill, latest_per_key, running_max
+from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group, join_unique
 
 
 def dedup_left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]
+    left: DataFrame, right: DataFrame, keys: Sequence[str], newest_first: Sequence[Column],
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Left join to one row per key, so that the left row count never changes."""
-    return left.join(latest_per_key(right, keys, newest_first), list(keys), "left")
+    return join_unique(left, latest_per_key(right, keys, newest_first), keys, "left", max_group_rows)
 
 
 def calc_join(
-    fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[str], Sequence[Column]]]
+    fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[str], Sequence[Column]]],
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """A fact with several dimensions, each ``(table, keys, newest-first order)``.
 
-    No broadcast is forced: Spark broadcasts a dimension whose measured size is
-    below its threshold and otherwise shuffles, splitting skewed keys at run time.
+    No broadcast of a dimension is forced: Spark does so when its size, as known from
+    the files, is below the threshold, and otherwise shuffles.
     """
     for dimension, keys, newest_first in dimensions:
-        fact = dedup_left_join(fact, dimension, keys, newest_first)
+        fact = dedup_left_join(fact, dimension, keys, newest_first, max_group_rows)
     return fact
 
 
@@ -62,9 +58,9 @@ def asof_join(
     looked_up = [F.col("_r")[v].alias(v) for v in values]
     if large:
         filled = _asof_fill(points.distinct(), records, names, max_group_rows)
-        filled = filled.withColumnRenamed("_t", "_at")
-        on = null_safe([*keys, left_time], [*names, "_at"])
-        return left.join(filled, on, "left").select(*left.columns, *looked_up)
+        placed = left.withColumns(dict(zip([*names, "_t"], [F.col(c) for c in (*keys, left_time)], strict=True)))
+        joined = join_unique(placed, filled, [*names, "_t"], "left", max_group_rows)
+        return joined.select(*left.columns, *looked_up)
     rows = left.select(*keyed, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_l"))
     filled = _asof_fill(rows, records, names, None)
     return filled.select(*[F.col("_l")[c].alias(c) for c in left.columns], *looked_up)
@@ -170,16 +166,17 @@ def _uncovered(
     The furthest end so far, taken in order of time, decides this without pairs.
     """
     ends = lasting.groupBy(*names, "_start").agg(F.max("_stop").alias("_stop"))
-    ends = ends.filter(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names]))
-    points = facts.select(
-        *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(time).alias("_at")
-    ).distinct()
+    placed = facts.withColumns(
+        dict(zip([*names, "_at"], [F.col(c) for c in (*keys, time)], strict=True))
+    )
+    placeless = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in (*names, "_at")])
+    points = placed.filter(~placeless).select(*names, "_at").distinct()
     events = ends.select(*names, F.col("_start").alias("_at"), "_stop", F.lit(0).alias("_side"))
     events = events.unionByName(points.withColumn("_side", F.lit(1)), allowMissingColumns=True)
     reach = running_max(events, names, ["_at", "_side"], "_stop", "_reach", max_group_rows)
-    open_points = reach.filter("_side = 1 AND (_reach IS NULL OR _reach <= _at OR _at IS NULL)")
-    on = null_safe([*keys, time], [*names, "_at"])
-    return facts.join(open_points.select(*names, "_at"), on, "left_semi")
+    bare = reach.filter("_side = 1 AND (_reach IS NULL OR _reach <= _at)").select(*names, "_at")
+    uncovered = join_unique(placed, bare, [*names, "_at"], "left_semi", max_group_rows)
+    return uncovered.unionByName(placed.filter(placeless)).select(facts.columns)
 
 
 def manager_lookup(

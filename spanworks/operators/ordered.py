@@ -1,12 +1,10 @@
 """Ordered per-key operators that keep working when one key is very large.
 
-A window puts a whole key into one task. Every function here first compares the
-largest key with ``max_group_rows`` (a count per key over the key columns only,
-combined map-side). Below the limit the plain window runs: one shuffle on the
-keys. Above it, only the rows of the large keys take another way: they are
-range-partitioned on (keys, order) into chunks of bounded size and written; the
-window then runs per (keys, chunk), and what crosses a chunk border comes from a
-table with one row per chunk. ``max_group_rows=None`` skips the check.
+A window puts a whole key into one task. Below ``max_group_rows`` rows per key the
+plain window runs: one shuffle on the keys. Above it, only the rows of the large keys
+take another way: they are range-partitioned on (keys, order) into chunks of bounded
+size and written; the window then runs per (keys, chunk), and what crosses a chunk
+border comes from a table with one row per chunk.
 
 ``order`` must be a total order within the keys, else results (as with any
 window) depend on chance and equal rows cannot be told apart when splitting.
@@ -16,34 +14,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanworks.operators.skew import MAX_GROUP_ROWS, LargeKeys, large_keys, null_safe
 from spanworks.workdir import materialize
 
-MAX_GROUP_ROWS = 5_000_000
-# Largest key or chunk list sent to every executor; beyond it the join shuffles.
-MAX_BROADCAST_ROWS = 100_000
-
 _CHUNK = "_chunk"
 
 
-def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def has_large_group(df: DataFrame, keys: Sequence[str], max_rows: int | None) -> bool:
-    """True if some key holds more than ``max_rows`` rows (runs a counting job)."""
-    if max_rows is None:
-        return False
-    large = group_sizes(df, keys).filter(F.col("_n") > max_rows)
-    return not large.limit(1).isEmpty()
-
-
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
     """One row per key: the first in ``newest_first`` order.
 
@@ -54,65 +35,45 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Co
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-@dataclass(frozen=True)
-class _Parts:
-    small: DataFrame
-    chunks: DataFrame | None = None
-    n_chunks: int = 0
-
-
-def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
-    pairs = (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True))
-    return reduce(lambda x, y: x & y, pairs)
-
-
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
-def _split(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None) -> _Parts:
-    if max_rows is None:
-        return _Parts(df)
-    large = group_sizes(df, keys).filter(F.col("_n") > max_rows)
-    n_keys, n_rows = large.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    if not n_keys:
-        return _Parts(df)
-    names = [f"_large{i}" for i in range(len(keys))]
-    large = large.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)])
-    large = _maybe_broadcast(materialize(large, "large-keys"), n_keys)
-    match = null_safe(keys, names)
-    small = df.join(large, match, "left_anti")
-    pieces = math.ceil(2 * n_rows / max_rows)
+def _chunks(df: DataFrame, large: LargeKeys, order: Sequence[str]) -> DataFrame:
+    """Rows of the large keys in written chunks that follow ``order``."""
+    pieces = math.ceil(2 * large.n_rows / large.limit)
     chunks = (
-        df.join(large, match, "left_semi")
-        .repartitionByRange(pieces, *keys, *order)
+        large.rows_of(df)
+        .repartitionByRange(pieces, *large.keys, *order)
         .withColumn(_CHUNK, F.spark_partition_id())
     )
-    return _Parts(small, materialize(chunks, "chunks"), pieces + n_keys)
+    return materialize(chunks, "chunks")
 
 
 def _by_chunk(
-    parts: _Parts,
+    df: DataFrame,
     keys: Sequence[str],
+    order: Sequence[str],
+    max_group_rows: int | None,
     windowed: Callable[[DataFrame, Sequence[str]], DataFrame],
     carry: Callable[[DataFrame], DataFrame],
     combine: Mapping[str, Column],
 ) -> DataFrame:
-    """Window the small keys whole and the large ones by chunk, then mend the borders."""
-    small = windowed(parts.small, keys)
-    if parts.chunks is None:
-        return small.drop(*[c for c in small.columns if c.startswith("_edge")])
+    """Window the small keys whole and the large ones by chunk, then mend the borders.
+
+    ``carry`` yields one row per (keys, chunk): at most two chunks per ``limit`` rows
+    and one per large key, a few hundred thousand however large the table is.
+    """
+    large = large_keys(df, keys, max_group_rows)
+    if large is None:
+        return windowed(df, keys).drop("_edge")
+    small = windowed(large.rows_without(df), keys).drop("_edge")
+    chunks = _chunks(df, large, order)
     names = [f"_border{i}" for i in range(len(keys))] + ["_border_chunk"]
     by = [*keys, _CHUNK]
-    borders = carry(parts.chunks)
-    borders = borders.withColumnsRenamed(dict(zip(by, names, strict=True)))
+    borders = carry(chunks).withColumnsRenamed(dict(zip(by, names, strict=True)))
     mended = (
-        windowed(parts.chunks, by)
-        .join(_maybe_broadcast(borders, parts.n_chunks), null_safe(by, names), "left")
+        windowed(chunks, by)
+        .join(F.broadcast(borders), null_safe(by, names), "left")
         .withColumns(dict(combine))
     )
-    columns = [c for c in small.columns if not c.startswith("_edge")]
-    return small.select(columns).unionByName(mended.select(columns))
+    return small.unionByName(mended.select(small.columns))
 
 
 def forward_fill(
@@ -145,7 +106,7 @@ def forward_fill(
         )
 
     combine = {out: F.coalesce(F.col(out), F.col(f"_f_{out}")) for out in columns}
-    return _by_chunk(_split(df, keys, order, max_group_rows), keys, windowed, carry, combine)
+    return _by_chunk(df, keys, order, max_group_rows, windowed, carry, combine)
 
 
 def running_max(
@@ -163,7 +124,7 @@ def running_max(
         return largest.withColumn("_b", F.max("_b").over(earlier))
 
     combine = {alias: F.greatest(F.col(alias), F.col("_b"))}
-    return _by_chunk(_split(df, keys, order, max_group_rows), keys, windowed, carry, combine)
+    return _by_chunk(df, keys, order, max_group_rows, windowed, carry, combine)
 
 
 def _neighbour(df, keys, order, column, alias, max_group_rows, shift, border):
@@ -178,7 +139,7 @@ def _neighbour(df, keys, order, column, alias, max_group_rows, shift, border):
         return edge.withColumn("_b", shift(F.col("_b")).over(W.partitionBy(*keys).orderBy(_CHUNK)))
 
     combine = {alias: F.when(F.col("_edge"), F.col("_b")).otherwise(F.col(alias))}
-    return _by_chunk(_split(df, keys, order, max_group_rows), keys, windowed, carry, combine)
+    return _by_chunk(df, keys, order, max_group_rows, windowed, carry, combine)
 
 
 def next_value(

@@ -1,0 +1,95 @@
+"""Finding very large keys and keeping them out of single tasks.
+
+A count per key (over the key columns only, combined map-side) shows whether any key
+exceeds ``max_group_rows``. If none does, operators use the plain window or join.
+Otherwise the rows of the large keys take a way of their own, and the result is whole
+either way. The list of large keys is at most ``MAX_LARGE_KEYS`` long by construction
+(the limit rises with the table if need be), which is what allows broadcasting it.
+``max_group_rows=None`` skips the count.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spanworks.workdir import materialize
+
+MAX_GROUP_ROWS = 5_000_000
+MAX_LARGE_KEYS = 100_000
+
+
+def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
+    pairs = (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right, strict=True))
+    return reduce(lambda x, y: x & y, pairs)
+
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def has_large_group(df: DataFrame, keys: Sequence[str], max_rows: int | None) -> bool:
+    """True if some key holds more than ``max_rows`` rows (runs a counting job)."""
+    if max_rows is None:
+        return False
+    large = group_sizes(df, keys).filter(F.col("_n") > max_rows)
+    return not large.limit(1).isEmpty()
+
+
+@dataclass(frozen=True)
+class LargeKeys:
+    """Keys above ``limit`` rows, as a written table, and how many rows they hold."""
+
+    table: DataFrame
+    keys: tuple[str, ...]
+    limit: int
+    n_keys: int
+    n_rows: int
+
+    def _listed(self) -> tuple[DataFrame, Column]:
+        names = [f"_large{i}" for i in range(len(self.keys))]
+        listed = self.table.select(*[F.col(k).alias(n) for k, n in zip(self.keys, names, strict=True)])
+        return F.broadcast(listed), null_safe(self.keys, names)
+
+    def rows_of(self, df: DataFrame) -> DataFrame:
+        return df.join(*self._listed(), "left_semi")
+
+    def rows_without(self, df: DataFrame) -> DataFrame:
+        return df.join(*self._listed(), "left_anti")
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], max_rows: int | None) -> LargeKeys | None:
+    """The keys with more than ``max_rows`` rows, or None if there are none."""
+    if max_rows is None:
+        return None
+    sizes = group_sizes(df, keys)
+    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    limit = max(max_rows, (total or 0) // MAX_LARGE_KEYS)
+    if not total or largest <= limit:
+        return None
+    table = materialize(sizes.filter(F.col("_n") > limit), "large-keys")
+    n_keys, n_rows = table.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return LargeKeys(table, tuple(keys), limit, n_keys, n_rows)
+
+
+def join_unique(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left",
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
+    """Join to a side with at most one row per key, whatever the size of a left key.
+
+    Left rows of large keys (or of a frequent null) are not shuffled: their few right
+    rows, one per large key at most, are broadcast to them. ``how`` is left, inner,
+    left_semi or left_anti.
+    """
+    keys = list(keys)
+    large = large_keys(left, keys, max_group_rows)
+    if large is None:
+        return left.join(right, keys, how)
+    rest = large.rows_without(left).join(right, keys, how)
+    few = F.broadcast(large.rows_of(right))
+    return rest.unionByName(large.rows_of(left).join(few, keys, how))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanworks.operators.skew import MAX_GROUP_ROWS, join_unique
+
 
 def team_weekly(
     weekly: DataFrame, manager: Sequence[str], salary: str, tenure_weeks: str, leaving: str,
@@ -42,6 +44,9 @@ def span_of_control(
     return spans.filter(F.col("reports").between(lowest, highest))
 
 
-def keep_valid_managers(weekly: DataFrame, valid: DataFrame, manager: Sequence[str]) -> DataFrame:
+def keep_valid_managers(
+    weekly: DataFrame, valid: DataFrame, manager: Sequence[str],
+    max_group_rows: int | None = MAX_GROUP_ROWS,
+) -> DataFrame:
     """Weekly rows whose (manager, week) passed ``span_of_control``."""
-    return weekly.join(valid, [*manager, "week_start"], "left_semi")
+    return join_unique(weekly, valid, [*manager, "week_start"], "left_semi", max_group_rows)

@@ -18,12 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanworks.functions.dates import iso_week, week_start
-from spanworks.operators.ordered import (
-    MAX_GROUP_ROWS,
-    has_large_group,
-    latest_per_key,
-    next_value,
-)
+from spanworks.operators.ordered import latest_per_key, next_value
+from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group
 
 
 def spans_from_events(

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanworks.operators.clean import optout_filter
 from spanworks.operators.joins import dedup_left_join
-from spanworks.operators.ordered import MAX_GROUP_ROWS
 from spanworks.operators.people import mgr_sup_id, termination_type
+from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group, join_unique
 from spanworks.operators.teams import team_weekly
 from spanworks.operators.weeks import expand_weeks, merge_ranges, week_ranges
 from spanworks.workdir import materialize
@@ -49,15 +50,17 @@ def start_stop_dataset(inputs: Inputs, settings: Settings) -> DataFrame:
     before its shuffle.
     """
     entity = list(settings.entity)
-    opted_out = inputs.people.filter("optout").select(*entity)
-    active = inputs.assignments.join(opted_out, entity, "left_anti")
+    limit = settings.max_group_rows
+    if not has_large_group(inputs.assignments, entity, limit):
+        limit = None  # one count is enough for both steps that depend on it
+    active = optout_filter(inputs.assignments, inputs.people.filter("optout"), entity, limit)
     # an end after as_of is not known yet: the span is open and the event censored
     known = F.when(F.to_date("end_date") <= F.to_date(F.lit(settings.as_of)), F.col("end_date"))
     typed = termination_type(
         active.withColumn("end_date", known), "term_cd", "end_date", settings.termination_rules
     )
     ranges = week_ranges(
-        typed, entity, "start_date", "end_date", "span_id", settings.as_of, settings.max_group_rows
+        typed, entity, "start_date", "end_date", "span_id", settings.as_of, limit
     )
     # a span that ends in a termination never merges with another one
     ranges = ranges.withColumn("_ended", F.when(F.col("term_type").isNotNull(), F.col("span_id")))
@@ -65,11 +68,15 @@ def start_stop_dataset(inputs: Inputs, settings: Settings) -> DataFrame:
     episodes = merge_ranges(ranges, entity, kept, ["start_date", "span_id"]).drop("_ended")
     managers = mgr_sup_id(inputs.hierarchy, "mgr_id", "sup_id", settings.default_managers)
     managers = managers.select(*entity, "mgr_sup_id").filter("mgr_sup_id IS NOT NULL")
-    episodes = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")])
+    # the episodes of a person are bounded by the calendar: no large key to look for
+    episodes = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")], None)
     if settings.write_episodes:
         episodes = materialize(episodes, "episodes")
     first_week = _teams(episodes, settings).withColumnRenamed("week_start", "start_date")
-    return episodes.drop("since_week").join(first_week, ["mgr_sup_id", "start_date"], "left")
+    return join_unique(
+        episodes.drop("since_week"), first_week, ["mgr_sup_id", "start_date"], "left",
+        settings.max_group_rows,
+    )
 
 
 def _teams(episodes: DataFrame, settings: Settings) -> DataFrame:

@@ -7,15 +7,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from spanworks.operators import joins, weeks
 from spanworks.operators.ordered import (
     forward_fill,
-    has_large_group,
     latest_per_key,
     next_value,
     previous_value,
     running_max,
 )
+from spanworks.operators import clean, joins, skew, weeks
+from spanworks.operators.skew import has_large_group, join_unique
 from tests.compare import rows_of
 
 
@@ -169,3 +169,24 @@ def test_weekly_owned_agrees_on_overlapping_spans(skewed_spans, limit):
     )
     owned = weeks.weekly_owned(dated, ["k"], "s", "e", "span", "2020-07-01", limit)
     assert same(plain, owned.select(plain.columns))
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_join_unique_of_a_large_key(spark, skewed, how):
+    right = spark.createDataFrame([(1, "one"), (3, "three"), (None, "null"), (101, "x")], "k int, w string")
+    large = join_unique(skewed, right, ["k"], how, 300)
+    assert same(large, skewed.join(right, ["k"], how))
+    assert same(large, join_unique(skewed, right, ["k"], how, None))
+
+
+def test_large_keys_are_bounded(skewed, monkeypatch):
+    monkeypatch.setattr(skew, "MAX_LARGE_KEYS", 10)
+    large = skew.large_keys(skewed, ["k"], 10)
+    assert 1 <= large.n_keys <= 10
+    assert large.rows_of(skewed).count() == large.n_rows
+    assert large.rows_without(skewed).count() == skewed.count() - large.n_rows
+
+
+def test_optout_of_a_large_key(spark, skewed):
+    out = clean.optout_filter(skewed, spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"], 300)
+    assert same(out, skewed.filter("k IS NULL OR k NOT IN (1, 2)"))
