@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanworks.operators.ordered import forward_fill, latest_per_key, running_max
-from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group, join_unique
+from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group, join_unique, large_keys
 
 
 def dedup_left_join(
@@ -43,27 +43,33 @@ def asof_join(
 
     Both sides go through one union and one fill per key: one shuffle, no pairs.
     ``newest_first`` picks among right rows of the same key and time; leave it
-    empty when (keys, time) is unique on the right. With a very large key, the fill
-    runs over distinct (keys, time) points, which are then joined to the left rows.
+    empty when (keys, time) is unique on the right. The fill splits large keys along
+    time. Should one moment of a key be that large, the fill of the large keys runs
+    over distinct moments, which are then joined to the left rows.
     """
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, right_time)])
     right = right.filter(known)
     names = [f"_a{i}" for i in range(len(keys))]
     keyed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
-    large = has_large_group(left.select(keyed).union(right.select(keyed)), names, max_group_rows)
+    large = large_keys(left.select(keyed).union(right.select(keyed)), names, max_group_rows)
     if newest_first:
         right = latest_per_key(right, [*keys, right_time], newest_first)
-    points = left.select(*keyed, F.col(left_time).alias("_t"))
-    records = right.select(*keyed, F.col(right_time).alias("_t"), F.struct(*values).alias("_r"))
-    looked_up = [F.col("_r")[v].alias(v) for v in values]
-    if large:
-        filled = _asof_fill(points.distinct(), records, names, max_group_rows)
-        placed = left.withColumns(dict(zip([*names, "_t"], [F.col(c) for c in (*keys, left_time)], strict=True)))
-        joined = join_unique(placed, filled, [*names, "_t"], "left", max_group_rows)
-        return joined.select(*left.columns, *looked_up)
     rows = left.select(*keyed, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_l"))
-    filled = _asof_fill(rows, records, names, None)
-    return filled.select(*[F.col("_l")[c].alias(c) for c in left.columns], *looked_up)
+    records = right.select(*keyed, F.col(right_time).alias("_t"), F.struct(*values).alias("_r"))
+    if large is None:
+        filled = _asof_fill(rows, records, names, None)
+    elif not has_large_group(large.rows_of(rows), [*names, "_t"], max_group_rows):
+        filled = _asof_fill(rows, records, names, max_group_rows)
+    else:
+        filled = _asof_fill(large.rows_without(rows), large.rows_without(records), names, None)
+        crowded = large.rows_of(rows)
+        moments = crowded.select(*names, "_t").distinct()
+        moments = _asof_fill(moments, large.rows_of(records), names, max_group_rows)
+        found = join_unique(crowded, moments, [*names, "_t"], "left", max_group_rows)
+        filled = filled.unionByName(found)
+    return filled.select(
+        *[F.col("_l")[c].alias(c) for c in left.columns], *[F.col("_r")[v].alias(v) for v in values]
+    )
 
 
 def _asof_fill(

@@ -123,14 +123,21 @@ def test_interval_join_against_brute_force(skewed_facts, skewed_spans, limit, ho
     assert rows_of(joined.columns, joined.collect()) == expected
 
 
-@pytest.mark.parametrize("limit", [None, 50])
+@pytest.mark.parametrize("limit", [None, 300, 50])
 def test_asof_join_against_brute_force(skewed_facts, skewed_spans, limit):
+    """Without the size check, with keys split along time, and with a crowded moment as well."""
+    facts = skewed_facts.unionAll(
+        skewed_facts.filter("fact = 1").select(
+            F.lit(1).alias("k"), F.explode(F.sequence(F.lit(3000), F.lit(3080))).alias("fact"),
+            F.lit(dt.datetime(2020, 2, 2)).cast("timestamp_ntz").alias("t"),
+        )
+    )
     joined = joins.asof_join(
-        skewed_facts, skewed_spans, ["k"], "t", "s", ["span", "e"], [F.desc("span")], limit
+        facts, skewed_spans, ["k"], "t", "s", ["span", "e"], [F.desc("span")], limit
     )
     spans = [tuple(r) for r in skewed_spans.collect()]
     expected = []
-    for k, fact, t in (tuple(r) for r in skewed_facts.collect()):
+    for k, fact, t in (tuple(r) for r in facts.collect()):
         past = [(a, s, b) for sk, s, a, b in spans if k is not None and sk == k and t and a <= t]
         _, s, b = max(past, key=lambda x: (x[0], x[1])) if past else (None, None, None)
         expected.append((k, fact, t, s, b))
