@@ -9,7 +9,7 @@ tables.
 from __future__ import annotations
 
 import time
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spanworks.functions.text import name_part
 from spanworks.operators.classify import with_error_class
-from spanworks.sources.tables import CatalogSource, local_rows
+from spanworks.sources.tables import CatalogSource, flatten_table_list, local_rows, table_list
 
 _PROBE = (
     "table_name string, opened boolean, error string, columns array<string>, "
@@ -145,6 +145,23 @@ def audit_tables(
     )
 
 
+def audit_table(
+    source: CatalogSource, name: str, description: str = "", sample_rows: int = 5
+) -> DataFrame:
+    """The audit of a single table."""
+    entries = flatten_table_list(table_list(source.spark, {"": [(name, description)]}))
+    return audit_tables(source, entries, sample_rows)
+
+
+def run_audit(
+    source: CatalogSource, categories: Mapping[str, Sequence[tuple[str, str]]], sample_rows: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """The audit of a list of tables by category, and its summary per category."""
+    entries = flatten_table_list(table_list(source.spark, categories))
+    audited = audit_tables(source, entries, sample_rows)
+    return audited, by_category(entries, audited)
+
+
 def accessible(audit: DataFrame) -> DataFrame:
     return audit.filter("accessible")
 

@@ -105,7 +105,7 @@ def quick_view(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
     first = df.orderBy(*order).limit(rows)
     return first.select(
         F.to_json(F.struct(*df.columns)).alias("row"),
-        F.lit(n_rows).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+        F.lit(n_rows).cast("long").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
     )
 
 

@@ -329,7 +329,15 @@ def q_report_markdown_lines(spark, d):
 
 
 def q_report_sample_lines(spark, d):
-    return report.sample_lines(_audit(spark, d, sample_rows=5), CATEGORY_RULES)
+    """The sample report, with samples in key order for the two tables of places."""
+    sampled = []
+    for table, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
+        rows = quality.quick_view(load_table(spark, d, table), [key], 5)
+        rows = rows.agg(F.array_sort(F.collect_list("row")).alias("sample"))
+        sampled.append(rows.select(F.lit(f"geo.{table}").alias("table_name"), "sample"))
+    samples = reduce(DataFrame.unionAll, sampled)
+    audited = _audit(spark, d).drop("sample").join(samples, "table_name", "left")
+    return report.sample_lines(audited, CATEGORY_RULES)
 
 
 def _quoted(text: str) -> str:
@@ -423,6 +431,32 @@ blocks AS (
   UNION ALL
   SELECT 4, serial, ['| ' || concat_ws(' | ', serial, "table", catalog, "schema", source, accessible,
                                        records, columns, primary_key, comments) || ' |'] FROM main)"""
+_SAMPLES_SQL = f"""{_AUDIT_SQL},
+placed AS (
+  SELECT *, CASE WHEN schema_name IN ('sales', 'stream') THEN 'Business Tables'
+                 WHEN schema_name = 'geo' THEN 'Place Tables' ELSE 'Other Tables' END AS section
+  FROM audit WHERE accessible),
+numbered AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY section, table_name) AS INTEGER) AS r,
+         row_number() OVER (PARTITION BY section ORDER BY table_name) = 1 AS is_first
+  FROM placed),
+nation_rows AS (
+  SELECT list('| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' ORDER BY n_nationkey)
+           AS lines FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 5)),
+region_rows AS (
+  SELECT list('| ' || r_regionkey || ' | ' || r_name || ' |' ORDER BY r_regionkey) AS lines
+  FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 5)),
+blocks AS (
+  SELECT r, CASE WHEN is_first THEN ['## ' || section, ''] ELSE [] END
+    || ['### ' || table_name, '**Description:** ' || description]
+    || CASE short_name
+         WHEN 'nation' THEN ['**Columns:** 3 | **Sample Rows:** 5', '',
+             '| n_nationkey | n_name | n_regionkey |', '|---|---|---|']
+           || (SELECT lines FROM nation_rows) || ['']
+         WHEN 'region' THEN ['**Columns:** 2 | **Sample Rows:** 5', '',
+             '| r_regionkey | r_name |', '|---|---|'] || (SELECT lines FROM region_rows) || ['']
+         ELSE ['*No data available*', ''] END AS block
+  FROM numbered)"""
 _IMPORTANT = [
     ("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("supplier", "s_name"),
     ("part", "p_name"), ("part", "p_type"), ("orders", "o_orderstatus"), ("lineitem", "l_discount"),
@@ -563,7 +597,7 @@ FROM audit GROUP BY schema_name""",
         q_audit_overall,
         f"""WITH {_AUDIT_SQL}
 SELECT count(*) AS total, count(*) FILTER (WHERE accessible) AS accessible_count,
-       count(*) FILTER (WHERE "exists") AS existing_count, 0 AS blocked_count,
+       count(*) FILTER (WHERE "exists") AS existing_count, CAST(0 AS BIGINT) AS blocked_count,
        count(*) FILTER (WHERE NOT "exists") AS missing_count,
        round(count(*) FILTER (WHERE accessible) * 100.0 / count(*), 1) AS accessible_percent,
        round(count(*) FILTER (WHERE "exists") * 100.0 / count(*), 1) AS existing_percent
@@ -606,5 +640,11 @@ SELECT section, CAST(r AS INTEGER) AS "row",
        CAST(unnest(generate_series(0, len(block) - 1)) AS INTEGER) AS ordinal, unnest(block) AS line
 FROM blocks""",
     ),
-    "report_sample_lines": (q_report_sample_lines, None),
+    "report_sample_lines": (
+        q_report_sample_lines,
+        f"""WITH {_SAMPLES_SQL}
+SELECT 1 AS section, r AS "row", CAST(unnest(generate_series(0, len(block) - 1)) AS INTEGER) AS ordinal,
+       unnest(block) AS line
+FROM blocks""",
+    ),
 }

@@ -123,3 +123,11 @@ def test_report_set(spark, audited, tmp_path):
     main = spark.read.option("header", "true").csv(str(tmp_path / "main_csv"))
     assert main.columns == list(report.MAIN_HEADERS.values()) and main.count() == 17
     assert spark.read.text(str(tmp_path / "samples_md")).filter("value LIKE '### %'").count() == 14
+
+
+def test_single_table_and_whole_run(spark, data_dir):
+    source = audits._source(spark, data_dir)
+    row = audit.audit_table(source, "geo.region", "Regions").first()
+    assert (row.row_count, row.column_count, len(row.sample)) == (5, 2, 5)
+    audited, summary = audit.run_audit(source, audits.TABLE_LIST, sample_rows=0)
+    assert audited.count() == 17 and summary.agg(F.sum("total")).first()[0] == 19
