@@ -6,7 +6,7 @@ are bounded by the length of the table list.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,9 +102,9 @@ def main_report(
     )
 
 
-def with_headers(report: DataFrame) -> DataFrame:
-    """The main report under its printed column names."""
-    return report.withColumnsRenamed(MAIN_HEADERS)
+def with_headers(report: DataFrame, headers: Mapping[str, str] | None = None) -> DataFrame:
+    """The main report under its printed column names; ``headers`` replaces some of them."""
+    return report.withColumnsRenamed({**MAIN_HEADERS, **(headers or {})})
 
 
 def csv_rows(audit: DataFrame) -> DataFrame:

@@ -28,6 +28,11 @@ def quote(name: str) -> str:
     return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
 
 
+def literal(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def qualified_name(name: str, catalog: str | None = None) -> str:
     """``schema.table`` placed in a catalog."""
     return f"{catalog}.{name}" if catalog else name
@@ -93,16 +98,16 @@ def register_tables(
     ``schemas`` maps a schema to its tables. ``prefix`` keeps the new schemas apart
     from existing ones; ``location`` is where the (empty) schemas are placed.
     """
-    settings = ", ".join(f"'{k}' = '{v}'" for k, v in (properties or {}).items())
+    settings = ", ".join(f"{literal(k)} = {literal(v)}" for k, v in (properties or {}).items())
     clause = f" TBLPROPERTIES ({settings})" if settings else ""
     for schema, names in schemas.items():
         spark.sql(
-            f"CREATE SCHEMA IF NOT EXISTS {quote(prefix + schema)} LOCATION '{location}/{schema}'"
+            f"CREATE SCHEMA IF NOT EXISTS {quote(prefix + schema)} LOCATION {literal(f'{location}/{schema}')}"
         )
         for name in names:
             spark.sql(
                 f"CREATE TABLE IF NOT EXISTS {quote(f'{prefix}{schema}.{name}')} USING parquet "
-                f"LOCATION '{directory}/{name}.parquet'{clause}"
+                f"LOCATION {literal(f'{directory}/{name}.parquet')}{clause}"
             )
     return CatalogSource(spark, schema_prefix=prefix)
 

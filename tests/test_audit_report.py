@@ -9,6 +9,7 @@ from spanworks.sinks.reports import write_csv_report, write_lines, write_report_
 from spanworks.sources.tables import (
     CatalogSource,
     flatten_table_list,
+    literal,
     local_rows,
     qualified_name,
     quote,
@@ -24,6 +25,7 @@ def audited(spark, data_dir):
 def test_names():
     assert qualified_name("s.t", "c") == "c.s.t" and qualified_name("s.t") == "s.t"
     assert quote("a.b`c") == "`a`.`b``c`"
+    assert literal("it's \\") == "'it\\'s \\\\'"
 
 
 def test_audit(audited):
@@ -90,6 +92,8 @@ def test_main_report(audited):
     assert rows[14].records == "-" and rows[14].created == "-" and rows[14].comments == "Cities | ❌ Table does not exist"
     assert rows[0].comments == "Nations | 🏗️ Raw | 📊 Unknown | ⚡ High migration priority"
     assert report.with_headers(report.main_report(audited, [], "c", "s")).columns[0] == "S.N."
+    named = report.with_headers(report.main_report(audited, [], "c", "s"), {"accessible": "Reachable"})
+    assert "Reachable" in named.columns and "Accessible" not in named.columns
 
 
 def test_markdown(spark, audited, tmp_path):

@@ -76,6 +76,40 @@ def test_interval_join_is_an_equi_join(spark, data_dir, no_broadcast):
     assert keys and keys[1].count(",") == 1 and "_bucket" in keys[1] and "entity" in keys[1]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_a_crowded_bucket_is_split(spark, no_broadcast, how):
+    """One key and bucket holds nearly all facts; the join splits it at run time."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    facts = spark.range(0, 400_000, 1, 8).select(
+        F.when(F.col("id") % 20 > 0, 1).otherwise(F.col("id") % 97).alias("k"), "id",
+        F.expr("timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 3600)").alias("t"),
+    )
+    spans = spark.range(97).select(
+        F.col("id").alias("k"), F.col("id").alias("span"),
+        F.expr("timestamp_ntz'2020-01-01 00:10:00'").alias("s"),
+        F.expr("timestamp_ntz'2020-01-01 00:20:00' + make_dt_interval(0, 0, id * 0)").alias("e"),
+    )
+    joined = joins.interval_join(
+        facts, spans, ["k"], "t", "s", "e", ["span"], "2021-01-01 00:00:00", how, bucket_hours=1
+    )
+    rows = joined.count()
+    counted = joined.agg(F.count("span"), F.sum("id"))
+    counted.collect()
+    plan = plan_of(counted)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    inside = facts.filter("t >= timestamp_ntz'2020-01-01 00:10:00' AND t < timestamp_ntz'2020-01-01 00:20:00'")
+    assert rows == (400_000 if how == "left" else inside.count())
+    assert "SortMergeJoin(skew=true)" in plan
+
+
 def test_counts_read_no_column(spark, data_dir):
     assert plan_of(all_queries()["table_row_counts"](spark, data_dir)).count("ReadSchema: struct<>") == 14
 

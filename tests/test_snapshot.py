@@ -1,4 +1,5 @@
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -128,6 +129,17 @@ def test_work_dir_follows_the_session(spark, df):
     assert sorted(materialize(df, "t").collect(), key=str) == sorted(df.collect(), key=str)
 
 
+def test_work_dir_without_the_setting():
+    def session(master):
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(conf={}, sparkContext=context)
+
+    first, second = (work_dir(session("local[2]"), "x") for _ in range(2))
+    assert first != second and os.path.dirname(first) == os.path.dirname(second)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(session("yarn"), "x")
+
+
 def test_config_decorator(df, tmp_path):
     config = SnapshotConfig(str(tmp_path))
     assert df.transform(config.get_decorator("both")(keep_large)).count() == 3

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import Window as W
 
 from spanworks.functions.dates import iso_week
 from spanworks.operators import weeks
+from spanworks.operators.ordered import next_value
 from spanworks.queries.mapping import AS_OF, order_spans
 
 D = dt.date
@@ -121,5 +123,52 @@ def test_golden_counts(spark):
     assert weeks.start_stop(unique, ["entity"], ["job_cd"]).count() == 12_135
 
 
+def brute_force(rows, as_of):
+    """Owner of every entity-week, then runs of equal values, in plain Python."""
+    owners = {}
+    for pers, start, end, *values, span in rows:
+        end = min(end or as_of, as_of)
+        day = start
+        while day < end:
+            week = day - dt.timedelta(days=day.weekday())
+            owners[pers, week] = max(owners.get((pers, week), (D.min,)), (start, span, tuple(values)))
+            day += dt.timedelta(days=1)
+    out = []
+    for (pers, week), (_, _, values) in sorted(owners.items()):
+        last = out[-1] if out else None
+        if last and last[0] == pers and last[3] == values and week - last[2] == dt.timedelta(days=7):
+            last[2] = week
+        else:
+            out.append([pers, week, week, values])
+    return [(p, a, b, *v) for p, a, b, v in out]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_spans_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    as_of, rows = D(2021, 3, 1), []
+    for span in range(120):
+        start = D(2019, 11, 1) + dt.timedelta(days=rnd.randrange(500))
+        length = rnd.choice([0, 1, 3, 6, 7, 8, 30, 200, -5])
+        end = None if rnd.random() < 0.1 else start + dt.timedelta(days=length)
+        term = rnd.choice([None, None, "Vol"])
+        rows.append((rnd.randrange(6), start, end, rnd.choice([1, 2]), rnd.choice(["a", "b"]), term, span))
+    df = spans(spark, rows)
+    fields = ["pers_id", "start_date", "end_week_date", *COVARIATES]
+    expected = brute_force(rows, as_of)
+    args = (["pers_id"], "start_date", "end_date", "span_id", str(as_of))
+    weekly = weeks.weekly_unique(
+        weeks.weekly_episodes(df, "start_date", "end_date", str(as_of)), ["pers_id"], "start_date", "span_id"
+    )
+    for way in (weekly, weeks.weekly_owned(df, *args)):
+        got = weeks.start_stop(way, ["pers_id"], COVARIATES).orderBy("pers_id", "start_date")
+        assert [tuple(r) for r in got.select(fields).collect()] == expected
+    # without overlaps the direct way agrees as well
+    flat = next_value(df.drop("end_date"), ["pers_id"], ["start_date", "span_id"], "start_date", "end_date")
+    flat_rows = [tuple(r) for r in flat.select(df.columns).collect()]
+    direct = weeks.start_stop_from_spans(flat, *args, COVARIATES).orderBy("pers_id", "start_date")
+    assert [tuple(r) for r in direct.select(fields).collect()] == brute_force(flat_rows, as_of)
+
+
 def test_calendar_of_nothing_is_empty(spark):
     assert weeks.calendar(spark.createDataFrame([], "d date"), "d").isEmpty()
