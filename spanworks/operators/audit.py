@@ -105,6 +105,8 @@ def audit_tables(
 ) -> DataFrame:
     """One row per distinct table of ``entries``.
 
+    Names missing from the listing of their schema are not probed; names without a
+    schema, or of a schema that cannot be listed, are.
     ``sample_rows`` rows are read as JSON per table. The counts run at once, and a
     table whose count fails keeps a null count and its error; ``isolate=False``
     leaves the counts in the returned plan instead, where a failure is one of all.
@@ -112,10 +114,16 @@ def audit_tables(
     spark = source.spark
     names = distinct_tables(entries)
     wanted = sorted(r["table_name"] for r in names.select("table_name").collect())
-    listed = {r["table_name"].lower() for r in source.listing(wanted).collect()}
+    listings = {s: source.tables_in(s) for s in {n.rpartition(".")[0] for n in wanted} - {""}}
+    listed = {
+        schema: {r["table_name"].lower() for r in tables.collect()}
+        for schema, tables in listings.items()
+        if tables is not None
+    }
     rows, opened = [], {}
     for name in wanted:
-        if listed and name.lower() not in listed:
+        schema = name.rpartition(".")[0]
+        if schema in listed and name.lower() not in listed[schema]:
             rows.append((name, False, _NOT_LISTED, None, None, None, None, None, 0.0))
             continue
         row, df = _probe(source, name, sample_rows)

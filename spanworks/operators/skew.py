@@ -3,9 +3,10 @@
 A count per key (over the key columns only, combined map-side) shows whether any key
 exceeds ``max_group_rows``. If none does, operators use the plain window or join.
 Otherwise the rows of the large keys take a way of their own, and the result is whole
-either way. The list of large keys is at most ``MAX_LARGE_KEYS`` long by construction
-(the limit rises with the table if need be), which is what allows broadcasting it.
-``max_group_rows=None`` skips the count.
+either way, provided the input gives the same rows each time it is evaluated. The list
+of large keys is at most ``MAX_LARGE_KEYS`` long by construction (the limit rises with
+the table if need be), which is what allows broadcasting it. ``max_group_rows=None``
+skips the count.
 """
 
 from __future__ import annotations

@@ -68,7 +68,7 @@ def weekly_owned(
     last = week_start(F.date_sub(F.col("_to"), 1))
     weeks = F.struct(week_start(F.col("_from")).alias("first"), last.alias("last"))
     followed = next_value(
-        clipped.withColumn("_own", weeks), entity, ["_from", tie], "_own", "_next", max_group_rows
+        clipped.withColumn("_own", weeks), entity, [start, tie], "_own", "_next", max_group_rows
     )
     own, following = F.col("_own"), F.col("_next")
     outlasted = following["last"] >= own["last"]
@@ -86,8 +86,9 @@ def week_ranges(
 ) -> DataFrame:
     """The weeks each span owns, as ``start_week`` .. ``end_week``, without listing them.
 
-    Adds ``since_week`` as well, the week in which the entity's first span starts. For spans of one entity that do not overlap. Equal to ``weekly_episodes`` +
-    ``weekly_unique`` but moves one row per span instead of one per week. An
+    For spans of one entity that do not overlap. Equal to ``weekly_episodes`` +
+    ``weekly_unique`` but moves one row per span instead of one per week. Adds
+    ``since_week`` as well, the week in which the entity's first span starts. An
     entity above ``max_group_rows`` is first reduced to one row per start week.
     """
     clipped = _clip(spans, start, end, as_of).withColumns(

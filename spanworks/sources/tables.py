@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -52,17 +53,22 @@ class CatalogSource:
     def open(self, name: str) -> DataFrame:
         return self.spark.table(quote(self.full_name(name)))
 
+    def tables_in(self, schema: str) -> DataFrame | None:
+        """``table_name`` of every table in a schema; None when it cannot be listed."""
+        try:
+            shown = self.spark.sql(f"SHOW TABLES IN {quote(self.full_name(schema))}")
+        except AnalysisException as e:
+            missing = e.getCondition() == "SCHEMA_NOT_FOUND"
+            return local_rows(self.spark, [], "table_name string") if missing else None
+        shown = shown.filter(~F.col("isTemporary"))
+        return shown.select(F.concat(F.lit(schema + "."), "tableName").alias("table_name"))
+
     def listing(self, names: Iterable[str]) -> DataFrame:
-        """``table_name`` of every table in the schemas of ``names``; a missing schema has none."""
-        found = self.spark.createDataFrame([], "table_name string")
-        for schema in sorted({n.rpartition(".")[0] for n in names} - {""}):
-            try:
-                shown = self.spark.sql(f"SHOW TABLES IN {quote(self.full_name(schema))}")
-            except AnalysisException:
-                continue
-            shown = shown.filter(~F.col("isTemporary"))
-            found = found.union(shown.select(F.concat(F.lit(schema + "."), "tableName")))
-        return found
+        """``table_name`` of every table in the schemas of ``names`` that can be listed."""
+        schemas = sorted({n.rpartition(".")[0] for n in names} - {""})
+        found = [local_rows(self.spark, [], "table_name string")]
+        found += [t for t in map(self.tables_in, schemas) if t is not None]
+        return reduce(DataFrame.unionAll, found)
 
     def properties(self, name: str) -> DataFrame:
         """Table properties as one row ``(table_name, properties map)``."""

@@ -69,6 +69,17 @@ def test_unlisted_schema_is_probed(spark):
     assert row.error_class in ("Invalid catalog", "Table does not exist")
 
 
+def test_name_without_schema_beside_listed_ones(spark, data_dir):
+    source = audits._source(spark, data_dir)
+    spark.range(4).createOrReplaceTempView("lone_view")
+    plain = CatalogSource(spark)
+    listed = source.full_name("geo.nation")
+    entries = flatten_table_list(table_list(spark, {"a": [("lone_view", "x"), (listed, "y")]}))
+    rows = {r.table_name: r for r in audit.audit_tables(plain, entries).collect()}
+    assert rows["lone_view"].row_count == 4 and rows["lone_view"].schema_name == "unknown"
+    assert rows[listed].row_count == 25
+
+
 def test_failed_count_keeps_the_table(spark, audited):
     good = spark.range(3)
     bad = spark.range(3).filter(F.raise_error(F.lit("boom")).isNull())
