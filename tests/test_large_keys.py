@@ -1,0 +1,42 @@
+"""The registered queries again, with nearly every key treated as a large one."""
+
+import os
+import subprocess
+import sys
+
+from tests.test_plans import plan_of
+from spanworks.operators import joins
+from spanworks.operators.ordered import forward_fill
+from spanworks.operators.skew import join_unique
+from spanworks.queries.mapping import order_events
+
+NAMES = (
+    "spans_from_events neighbour_spans forward_fill start_stop start_stop_direct weekly_owned "
+    "start_stop_dataset keep_valid_managers calc_join optout_filter interval_join covariate_at "
+    "asof_join manager_lookup transform_chain"
+).split()
+
+
+def test_queries_with_a_tiny_limit():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run(
+        [sys.executable, "-m", "tests.check", "/root/testdata/sf0.001", *NAMES],
+        cwd=root, env={**os.environ, "CHECK_MAX_GROUP_ROWS": "9"}, capture_output=True, text=True,
+        timeout=900,
+    )
+    assert "failed: 0" in run.stdout, run.stdout[-3000:]
+
+
+def test_split_plans_have_no_pairs(spark, data_dir):
+    events = order_events(spark, data_dir)
+    one_per_entity = events.select("entity").distinct()
+    parts = [
+        forward_fill(events, ["entity"], ["start_date", "span_id"], {"f": "job_cd"}, 9),
+        join_unique(events, one_per_entity, ["entity"], "left_semi", 9),
+        joins.asof_join(events, events.select("entity", "start_date", "salary").dropDuplicates(
+            ["entity", "start_date"]), ["entity"], "start_date", "start_date", ["salary"],
+            max_group_rows=9),
+    ]
+    for df in parts:
+        plan = plan_of(df)
+        assert "Union" in plan and "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
