@@ -48,6 +48,7 @@ PURPOSE_RULES = (
     Rule(("dim_", "dimension"), {"business_purpose": "Dimension Table"}),
     Rule(("fact_",), {"business_purpose": "Fact Table"}),
 )
+UNKNOWN_ERROR = "Unknown error"
 # Classes of access errors, by words in the error condition and message.
 # An unknown cause leaves ``exists`` null: a time-out is no evidence that a table exists.
 ERROR_RULES = (
@@ -117,7 +118,7 @@ def with_report_category(
 def with_error_class(df: DataFrame, message: str, rules: Sequence[Rule] = ERROR_RULES) -> DataFrame:
     """Adds ``error_class`` and ``exists`` (null when unknown) for an error text; null stays null."""
     text = F.upper(F.col(message))
-    known = first_match(text, rules, "error_class", "Unknown error")
+    known = first_match(text, rules, "error_class", UNKNOWN_ERROR)
     return df.withColumns(
         {
             "error_class": F.when(text.isNotNull(), known),

@@ -18,6 +18,7 @@ from spanworks.functions.text import anchor_link, truncate_cell, with_thousands
 from spanworks.operators.audit import accessible, by_schema, overall
 from spanworks.operators.classify import (
     PURPOSE_RULES,
+    UNKNOWN_ERROR,
     Rule,
     is_date_name,
     is_key_name,
@@ -69,8 +70,10 @@ def with_comments(
         F.concat(F.lit(MARK_DATES), _first_names(columns, is_date_name)),
         note,
     )
+    unclear = F.col("error_class") == UNKNOWN_ERROR
+    cause = F.when(unclear, F.concat("error_class", F.lit(": "), "error")).otherwise(F.col("error_class"))
     failed = F.concat_ws(
-        " | ", F.col("description"), F.concat(F.lit(MARK_ERROR), F.coalesce("error_class", F.lit("")))
+        " | ", F.col("description"), F.concat(F.lit(MARK_ERROR), F.coalesce(cause, F.lit("")))
     )
     return context.withColumn("comments", F.when(F.col("accessible"), known).otherwise(failed))
 
@@ -174,12 +177,22 @@ def _numbered(df: DataFrame, section: int, order: Sequence[str], lines: Column)
     )
 
 
-def main_lines(audit: DataFrame, report: DataFrame, title: str) -> DataFrame:
+def _head(title: str, catalog: str | None, generated: str | None) -> list[Column]:
+    lines = [f"# {title}", ""]
+    lines += [f"**Generated:** {generated}", ""] if generated else []
+    lines += [f"**Catalog:** {catalog}", ""] if catalog else []
+    return [F.lit(line) for line in lines]
+
+
+def main_lines(
+    audit: DataFrame, report: DataFrame, title: str, catalog: str | None = None,
+    generated: str | None = None,
+) -> DataFrame:
     """The Markdown main report: summary, schemas and the ranked table, as numbered lines."""
     percent = lambda c: F.concat(F.format_number(F.coalesce(c, F.lit(0.0)), 1), F.lit("%"))
     total, ok = F.col("total").cast("string"), F.col("accessible_count").cast("string")
     summary = F.array(
-        F.lit(f"# {title}"), F.lit(""), F.lit("## Summary Statistics"), F.lit(""),
+        *_head(title, catalog, generated), F.lit("## Summary Statistics"), F.lit(""),
         F.concat(F.lit("- **Total Tables Checked:** "), total),
         F.concat(F.lit("- **Accessible Tables:** "), ok, F.lit(" ("), percent(F.col("accessible_percent")), F.lit(")")),
         F.concat(F.lit("- **Tables with Access Issues:** "), F.col("blocked_count").cast("string")),
@@ -207,8 +220,17 @@ def main_lines(audit: DataFrame, report: DataFrame, title: str) -> DataFrame:
     )
 
 
-def sample_lines(audit: DataFrame, category_rules: Sequence[Rule]) -> DataFrame:
+def sample_lines(
+    audit: DataFrame, category_rules: Sequence[Rule], title: str, catalog: str | None = None,
+    generated: str | None = None,
+) -> DataFrame:
     """The Markdown sample report: per accessible table its description and sampled rows."""
+    totals = overall(audit)
+    summary = F.concat(
+        F.lit("**Summary:** "), F.col("accessible_count").cast("string"),
+        F.lit(" accessible tables out of "), F.col("total").cast("string"), F.lit(" checked"),
+    )
+    top = F.array(*_head(title, catalog, generated), summary, F.lit(""))
     named = with_report_category(accessible(audit), "table_name", category_rules)
     shown = F.slice("columns", 1, SAMPLE_COLUMNS)
     row_type = T.MapType(T.StringType(), T.StringType())
@@ -240,8 +262,9 @@ def sample_lines(audit: DataFrame, category_rules: Sequence[Rule]) -> DataFrame:
     by = ["report_category", "table_name"]
     first = F.row_number().over(W.partitionBy("report_category").orderBy("table_name")) == 1
     titled = named.withColumn("_first", first)
-    title = F.when(
+    heading = F.when(
         F.col("_first"), F.array(F.concat(F.lit("## "), "report_category"), F.lit(""))
     ).otherwise(F.array().cast("array<string>"))
     has_rows = F.coalesce(F.size("sample") > 0, F.lit(False))
-    return _numbered(titled, 1, by, F.concat(title, F.when(has_rows, full).otherwise(empty)))
+    body = F.concat(heading, F.when(has_rows, full).otherwise(empty))
+    return _numbered(totals, 1, ["total"], top).unionByName(_numbered(titled, 2, by, body))

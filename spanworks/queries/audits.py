@@ -325,7 +325,7 @@ def q_report_comments(spark, d):
 
 def q_report_markdown_lines(spark, d):
     audited = _audit(spark, d)
-    return report.main_lines(audited, _main(spark, d, audited), "Table Access Report")
+    return report.main_lines(audited, _main(spark, d, audited), "Table Access Report", "lake")
 
 
 def q_report_sample_lines(spark, d):
@@ -337,7 +337,7 @@ def q_report_sample_lines(spark, d):
         sampled.append(rows.select(F.lit(f"geo.{table}").alias("table_name"), "sample"))
     samples = reduce(DataFrame.unionAll, sampled)
     audited = _audit(spark, d).drop("sample").join(samples, "table_name", "left")
-    return report.sample_lines(audited, CATEGORY_RULES)
+    return report.sample_lines(audited, CATEGORY_RULES, "Table Samples")
 
 
 def _quoted(text: str) -> str:
@@ -416,7 +416,7 @@ schemas AS (
   SELECT schema_name, count(*) AS n, count(*) FILTER (WHERE accessible) AS ok,
          row_number() OVER (ORDER BY schema_name) AS r FROM audit GROUP BY schema_name),
 blocks AS (
-  SELECT 1 AS section, 1 AS r, ['# Table Access Report', '', '## Summary Statistics', '',
+  SELECT 1 AS section, 1 AS r, ['# Table Access Report', '', '**Catalog:** lake', '', '## Summary Statistics', '',
     '- **Total Tables Checked:** ' || n,
     '- **Accessible Tables:** ' || ok || ' (' || format('{{:.1f}}', ok * 100.0 / n) || '%)',
     '- **Tables with Access Issues:** 0', '- **Tables Not Found:** ' || (n - ok),
@@ -447,7 +447,11 @@ region_rows AS (
   SELECT list('| ' || r_regionkey || ' | ' || r_name || ' |' ORDER BY r_regionkey) AS lines
   FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 5)),
 blocks AS (
-  SELECT r, CASE WHEN is_first THEN ['## ' || section, ''] ELSE [] END
+  SELECT 1 AS section, 1 AS r, ['# Table Samples', '',
+    '**Summary:** ' || count(*) FILTER (WHERE accessible) || ' accessible tables out of ' || count(*)
+      || ' checked', ''] AS block FROM audit
+  UNION ALL
+  SELECT 2, r, CASE WHEN is_first THEN ['## ' || section, ''] ELSE [] END
     || ['### ' || table_name, '**Description:** ' || description]
     || CASE short_name
          WHEN 'nation' THEN ['**Columns:** 3 | **Sample Rows:** 5', '',
@@ -643,7 +647,7 @@ FROM blocks""",
     "report_sample_lines": (
         q_report_sample_lines,
         f"""WITH {_SAMPLES_SQL}
-SELECT 1 AS section, r AS "row", CAST(unnest(generate_series(0, len(block) - 1)) AS INTEGER) AS ordinal,
+SELECT section, r AS "row", CAST(unnest(generate_series(0, len(block) - 1)) AS INTEGER) AS ordinal,
        unnest(block) AS line
 FROM blocks""",
     ),

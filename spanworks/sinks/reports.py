@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
@@ -29,5 +30,6 @@ def write_report_set(
     main = report.main_report(audit, stage_rules, catalog, source, purpose_rules)
     write_csv_report(report.csv_rows(audit), f"{path}/audit_csv")
     write_csv_report(report.with_headers(main), f"{path}/main_csv")
-    write_lines(report.main_lines(audit, main, title), f"{path}/main_md")
-    write_lines(report.sample_lines(audit, category_rules), f"{path}/samples_md")
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    write_lines(report.main_lines(audit, main, title, catalog, now), f"{path}/main_md")
+    write_lines(report.sample_lines(audit, category_rules, title, catalog, now), f"{path}/samples_md")

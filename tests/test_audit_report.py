@@ -107,15 +107,22 @@ def test_main_report(audited):
     assert "Reachable" in named.columns and "Accessible" not in named.columns
 
 
+def test_unknown_error_is_spelled_out(audited):
+    odd = audited.withColumns({"accessible": F.lit(False), "error_class": F.lit("Unknown error"), "error": F.lit("boom")})
+    comments = report.with_comments(odd, []).select("comments").distinct().collect()
+    assert all(r.comments.endswith("❌ Unknown error: boom") for r in comments)
+
+
 def test_markdown(spark, audited, tmp_path):
     main = report.main_report(audited, audits.STAGE_RULES, "lake", "audit")
     write_lines(report.main_lines(audited, main, "Audit"), str(tmp_path / "main"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "main")).collect()]
     assert lines[0] == "# Audit" and "- **geo:** 2/3 accessible (66.7%)" in lines
     assert sum(line.startswith("| ") for line in lines) == 18
-    write_lines(report.sample_lines(audited, audits.CATEGORY_RULES), str(tmp_path / "samples"))
+    write_lines(report.sample_lines(audited, audits.CATEGORY_RULES, "Samples"), str(tmp_path / "samples"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "samples")).collect()]
-    assert lines[0] == "## Business Tables"
+    assert lines[:5] == [
+        "# Samples", "", "**Summary:** 14 accessible tables out of 17 checked", "", "## Business Tables"]
     assert "**Columns:** 11 | **Sample Rows:** 5" in lines
     assert "*Note: Showing first 8 of 11 columns*" in lines
     at = lines.index("### text.documents")
@@ -137,6 +144,7 @@ def test_report_set(spark, audited, tmp_path):
     write_report_set(audited, str(tmp_path), "Audit", "lake", "audit", audits.STAGE_RULES, audits.CATEGORY_RULES)
     main = spark.read.option("header", "true").csv(str(tmp_path / "main_csv"))
     assert main.columns == list(report.MAIN_HEADERS.values()) and main.count() == 17
+    assert spark.read.text(str(tmp_path / "main_md")).filter("value LIKE '**Generated:** 20%'").count() == 1
     assert spark.read.text(str(tmp_path / "samples_md")).filter("value LIKE '### %'").count() == 14
 
 
