@@ -41,6 +41,18 @@ def has_large_group(df: DataFrame, keys: Sequence[str], max_rows: int | None) ->
     return not large.limit(1).isEmpty()
 
 
+def co_locate(
+    df: DataFrame, keys: Sequence[str], max_group_rows: int | None = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Rows of a key brought together once, for several steps that group by it.
+
+    Windows on the keys, or on the keys and more columns, then need no shuffle of
+    their own. With a large key the rows stay where they are and each step shuffles
+    in its own, finer way.
+    """
+    return df if has_large_group(df, keys, max_group_rows) else df.repartition(*keys)
+
+
 @dataclass(frozen=True)
 class LargeKeys:
     """Keys above ``limit`` rows, as a written table, and how many rows they hold."""

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.operators import clean, people, weeks
+from spanworks.operators import clean, people, skew, weeks
 from spanworks.operators.ordered import forward_fill
 
 Step = Callable[[DataFrame], DataFrame]
@@ -25,6 +25,11 @@ def filter_live_primary() -> Step:
     return clean.filter_live_primary
 
 
+def co_locate(keys: Sequence[str], max_group_rows: int | None = skew.MAX_GROUP_ROWS) -> Step:
+    """Put before the first step that groups by the entity: the later ones share its shuffle."""
+    return lambda df: skew.co_locate(df, keys, max_group_rows)
+
+
 def timestamp_to_dates() -> Step:
     return clean.timestamp_to_dates
 

@@ -58,6 +58,11 @@ def test_weekly_way_from_spans_has_two_shuffles(spark, data_dir):
     assert exchanges(weeks.start_stop(weekly, ["entity"], ["job_cd"])) == 2
 
 
+def test_chain_has_one_shuffle(spark, data_dir):
+    plan = plan_of(all_queries()["transform_chain"](spark, data_dir))
+    assert len(re.findall(r"Exchange hash", plan)) == 1
+
+
 def test_fill_has_one_shuffle(spark, data_dir):
     assert exchanges(all_queries()["forward_fill"](spark, data_dir)) == 1
 
