@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanworks.llm import near_dedup
+from spanworks.llm import bpe, line_dedup, line_labels, near_dedup, packing, quality_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,44 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Each document's text without its repeated lines, and how many lines it had and lost."""
+    out = line_dedup.dedup_lines(table(spark, directory, "documents"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op3_line_crf(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return line_labels.verdicts(docs, line_labels.fit(docs, table(spark, directory, "labels")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, directory, "documents"))
 
 
+OP2_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS line FROM documents
+), words AS (
+  SELECT doc_id, k, line,
+    {WORDS_SQL.format(text="translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM lines
+), variants AS (
+  SELECT doc_id, k, len(w) AS n, 'same' AS kind, 0 AS i, array_to_string(w, ' ') AS x FROM words WHERE len(w) >= 5
+  UNION ALL
+  SELECT doc_id, k, len(w), 'without', unnest(range(1, len(w) + 1)),
+    unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[:i - 1] || w[i + 1:], ' '))) FROM words WHERE len(w) >= 5
+), repeats AS (
+  SELECT DISTINCT b.doc_id, b.k FROM variants a JOIN variants b ON a.x = b.x AND (a.doc_id, a.k) < (b.doc_id, b.k)
+  WHERE a.kind = 'same' OR b.kind = 'same' OR (a.n = b.n AND a.i = b.i)
+), kept AS (
+  SELECT doc_id, count(*) FILTER (repeats.k IS NOT NULL) AS n_dropped,
+    string_agg(line, chr(10) ORDER BY k) FILTER (repeats.k IS NULL) AS text
+  FROM lines LEFT JOIN repeats USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, coalesce(kept.text, '') AS text
+FROM documents d JOIN kept USING (doc_id)
+"""
+
 OP5_SQL = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, {WORDS_SQL.format(text=LOWER_SQL)} AS w FROM documents
@@ -42,8 +76,26 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN least ON u = doc_id
 """
 
+
+def op6_byte_bpe(spark: SparkSession, directory: str) -> DataFrame:
+    return bpe.digests(table(spark, directory, "documents"))
+
+
+def op7_mil_quality(spark: SparkSession, directory: str) -> DataFrame:
+    return quality_model.predictions(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+def op8_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack(table(spark, directory, "documents"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op2_line_dedup": (op2_line_dedup, OP2_SQL),
+    "op3_line_crf": (op3_line_crf, None),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, OP5_SQL),
+    "op6_byte_bpe": (op6_byte_bpe, None),
+    "op7_mil_quality": (op7_mil_quality, None),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
 }
 
 
