@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanworks.llm import bpe, line_dedup, line_labels, near_dedup, packing, quality_model
+from spanworks.llm import backoff_lm, bpe, inner_product, line_dedup, line_labels, near_dedup, packing, quality_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,35 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+#: crc32 of an id as text: bit by bit, over its characters.
+CRC_SQL = """xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST({id} AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [1::UBIGINT, 1, 1, 1, 1, 1, 1, 1],
+      lambda d, one: xor(d >> 1, 3988292384::UBIGINT * (d & one)))), 4294967295::UBIGINT)"""
+
+
+def op1_backoff_lm(spark: SparkSession, directory: str) -> DataFrame:
+    return backoff_lm.score(table(spark, directory, "documents"))
+
+
+OP1_SQL = f"""
+WITH texts AS (
+  SELECT doc_id, {CRC_SQL.format(id="doc_id")} % 10 = 0 AS held_out, {WORDS_SQL.format(text=LOWER_SQL)} || [''] AS w FROM documents
+), tokens AS (
+  SELECT doc_id, held_out, unnest(w) AS token, unnest([chr(1)] || w[:len(w) - 1]) AS before FROM texts
+), single AS (SELECT token, count(*) FILTER (NOT held_out) AS c FROM tokens GROUP BY token),
+double AS (SELECT before, token, count(*) FILTER (NOT held_out) AS c2 FROM tokens GROUP BY before, token),
+sums AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) FILTER (c > 0) AS v FROM single),
+parts AS (
+  SELECT doc_id, held_out, s.c, c2, coalesce(h.c, 0) AS ch, n, (s.c + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p
+  FROM tokens JOIN single s USING (token) JOIN double USING (before, token)
+    LEFT JOIN single h ON h.token = CASE WHEN before = chr(1) THEN '' ELSE before END, sums
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, any_value(n) AS train_tokens,
+  sum(log10(p)) AS base_score, sum(log10((c2 + 500 * p) / (ch + 500))) AS score
+FROM parts GROUP BY doc_id, held_out
+"""
+
+
 def op2_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Each document's text without its repeated lines, and how many lines it had and lost."""
     out = line_dedup.dedup_lines(table(spark, directory, "documents"), counts=True)
@@ -30,6 +59,24 @@ def op3_line_crf(spark: SparkSession, directory: str) -> DataFrame:
     return line_labels.verdicts(docs, line_labels.fit(docs, table(spark, directory, "labels")))
 
 
+def op4_inner_product_top_k(spark: SparkSession, directory: str) -> DataFrame:
+    return inner_product.top_k(table(spark, directory, "embeddings"))
+
+
+OP4_SQL = """
+WITH numbers AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+  FROM numbers q JOIN numbers v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op5_minhash_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, directory, "documents"))
 
@@ -90,8 +137,10 @@ def op8_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_backoff_lm": (op1_backoff_lm, OP1_SQL),
     "op2_line_dedup": (op2_line_dedup, OP2_SQL),
     "op3_line_crf": (op3_line_crf, None),
+    "op4_inner_product_top_k": (op4_inner_product_top_k, OP4_SQL),
     "op5_minhash_near_dedup": (op5_minhash_near_dedup, OP5_SQL),
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_mil_quality": (op7_mil_quality, None),
