@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanworks.llm import backoff_lm, bpe, inner_product, line_dedup, line_labels, near_dedup, packing, quality_model
+from spanworks.llm import (
+    backoff_lm, bpe, inner_product, licenses, line_dedup, line_labels, near_dedup, packing, quality_model, site_tree,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +139,34 @@ def op8_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack(table(spark, directory, "documents"))
 
 
+def op9_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents as files of the directories source/language."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    files = table(spark, directory, "documents").select("doc_id", path.alias("path"), "text")
+    return licenses.scan(files)
+
+
+def op10_site_tree(spark: SparkSession, directory: str) -> DataFrame:
+    return site_tree.extract(table(spark, directory, "pages"))
+
+
+#: For pages whose main text is an article of headings and paragraphs.
+OP10_SQL = r"""
+WITH inner_html AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1) AS h FROM pages
+), marked AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(h[1-6]|p)>', chr(1), 'g'), '<[^>]*(>|$)', ' ', 'g') AS h FROM inner_html
+), decoded AS (
+  SELECT page_id, url, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h,
+    '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&#0*39;|&#x0*27;|&apos;', '''', 'g'), '&nbsp;', ' ') AS h FROM marked
+), blocks AS (
+  SELECT page_id, url, list_filter(list_transform(string_split(regexp_replace(h, '&amp;?', '&', 'g'), chr(1)),
+    lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') AS b FROM decoded
+)
+SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text,
+  CAST(length(array_to_string(b, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM blocks
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_backoff_lm": (op1_backoff_lm, OP1_SQL),
     "op2_line_dedup": (op2_line_dedup, OP2_SQL),
@@ -145,6 +176,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_byte_bpe": (op6_byte_bpe, None),
     "op7_mil_quality": (op7_mil_quality, None),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
+    "op9_licenses": (op9_licenses, None),
+    "op10_site_tree": (op10_site_tree, OP10_SQL),
 }
 
 
