@@ -191,6 +191,6 @@ def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
         (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def keep_quality(docs: DataFrame, model: Attention | None) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    return with_scores(docs, fit(docs, labels, sample)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return with_scores(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
