@@ -100,8 +100,8 @@ class Automaton:
             at = np.flatnonzero(grams.place[k] >= 0)
             where = np.zeros(len(grams.keys[k]), np.int64)
             where[grams.place[k][at]] = at
-            context = grams.place[k - 1][where - 1]
-            seen = np.where(context >= 0, counts[k - 1][context], texts if k == 1 else 0)
+            context = grams.place[k - 1][where - 1]  # none but after a start token, which is no n-gram
+            seen = np.where(context >= 0, counts[k - 1][context], texts)
             below = lower[grams.place[k - 1][where]]
             lower = (counts[k] + strength * below) / (seen + strength)
             arcs.append(np.where(counts[k] > 0, np.log10(lower), np.nan))
@@ -119,7 +119,8 @@ class Automaton:
         open_ = np.flatnonzero(self.grams.place[0] >= 0)
         for k in range(len(self.arcs) - 1, -1, -1):
             number = self.grams.place[k][open_]
-            arc = np.where(number >= 0, self.arcs[k][number], np.nan)
+            arc = np.full(len(number), np.nan)
+            arc[number >= 0] = self.arcs[k][number[number >= 0]]
             found = ~np.isnan(arc)
             weight[open_[found]] += arc[found]
             missed = ~found & (number >= 0)

@@ -34,9 +34,8 @@ from spanworks.llm.words import mix, powers, prepare, split_words, text_pieces,
 from spanworks.workdir import materialize
 
 MIN_WORDS = 5
-_U = np.uint64
-_PREFIX, _SUFFIX, _WHOLE, _SWAP = (_U(k) for k in (0x51ED270B, 0x2545F491, 0x9FB21C65, 0x6C078965))
-_K = _U(0xD6E8FEB86659FD93)
+_PREFIX, _SUFFIX, _WHOLE, _SWAP = (np.array([k], np.uint64) for k in (0x51ED270B, 0x2545F491, 0x9FB21C65, 0x6C078965))
+_K = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Runs:
@@ -51,7 +50,7 @@ class Runs:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
-def _key(value: np.ndarray, kind: np.uint64, size: np.ndarray) -> np.ndarray:
+def _key(value: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(mix(value + kind * _K) + size.astype(np.uint64) * _K)
 
 
@@ -79,16 +78,17 @@ def _lines(min_words: int):
                 keep = np.flatnonzero(size >= min_words)
                 if not len(keep):
                     continue
-                owner = np.searchsorted(bounds, edges[:-1], "right") - 1
-                number = np.searchsorted(breaks, edges[:-1], "right") - np.searchsorted(breaks, bounds[:-1], "right")[owner]
+                begin = edges[:-1][keep]
+                owner = np.searchsorted(bounds, begin, "right") - 1
+                number = np.searchsorted(breaks, begin, "right") - np.searchsorted(breaks, bounds[owner], "right")
                 runs = Runs(word_hashes(words))
                 start, size = words.first[:-1][keep], size[keep]
                 whole = _key(runs.plain(start, start + size), _WHOLE, size)
-                owner = owner[keep] + low
+                owner = owner + low
                 longs = [whole, *half_keys(runs, start, size)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs[owner].astype(np.int64)), pa.array(hashes[owner].astype(np.int64)),
-                     pa.array(number[keep].astype(np.int32)), pa.array(size.astype(np.int32)),
+                     pa.array(number.astype(np.int32)), pa.array(size.astype(np.int32)),
                      *[pa.array(x.view(np.int64)) for x in longs]], names=names)
 
     return run, ", ".join(f"{n} {'int' if n in ('line', 'size') else 'long'}" for n in names)
@@ -132,11 +132,11 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ]
             rows = [row[swap], row[cut], np.flatnonzero(longer)]
             kind = np.repeat([0, 1, 2], [len(r) for r in rows])
-            part = batch.slice(low, high - low).take(pa.array(np.concatenate(rows)))
+            names = ["whole", "doc_id", "th", "line"]  # and never the text, which would be repeated per variant
+            part = batch.select(names).slice(low, high - low).take(pa.array(np.concatenate(rows)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(kind.astype(np.int32)),
-                 *[part.column(name) for name in ("whole", "doc_id", "th", "line")]],
-                names=["key", "kind", "whole", "doc_id", "th", "line"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(kind.astype(np.int32)), *part.columns],
+                names=["key", "kind", *names])
 
 
 def within_one_edit(a: list[str], b: list[str]) -> bool:
