@@ -14,8 +14,8 @@ def join_dealt_anew(left: DataFrame, right: DataFrame, key: str, how: str = "inn
     An aggregate keeps its partitioning, and adaptive execution splits a large key only
     between two fresh exchanges; joining on the complement of the key asks for them.
     """
-    right = right.withColumn("_key", F.bitwise_not(key)).drop(key)
-    return left.withColumn("_key", F.bitwise_not(key)).join(right, "_key", how).drop("_key")
+    right = right.withColumn("_dealt", F.bitwise_not(key)).drop(key)
+    return left.withColumn("_dealt", F.bitwise_not(key)).join(right, "_dealt", how).drop("_dealt")
 
 
 def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -33,20 +33,24 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node is either the end of edges alone or the start of one edge alone."""
+    nodes = edges.select(F.col("u").alias("node"), F.lit(1).alias("starts"), F.lit(0).alias("ends")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0), F.lit(1)))
+    per_node = nodes.groupBy("node").agg(F.sum("starts").alias("starts"), F.max("ends").alias("ends"))
+    return per_node.where("starts > 1 or (starts > 0 and ends > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (u, v), for nodes with an edge.
 
     Alternates between linking larger and linking smaller neighbours to the least one
-    until nothing changes, so that each node ends as the leaf of a star. The number of
-    rounds grows with the logarithm of the longest path. Only counts reach the driver.
+    until every component is a star around its least node. The number of rounds grows
+    with the logarithm of the longest path. Only one truth value a round reaches the driver.
     """
-    edges = materialize(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    state = None
-    while True:
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = materialize(edges, "edges")
+    while not _is_star_forest(edges):
         edges = materialize(_toward_least(_toward_least(edges, True), False), "edges")
-        row = edges.select(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
-        if tuple(row) == state or not row[0]:
-            break
-        state = tuple(row)
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())
+    stars = edges.select("u", F.col("v").alias("component"))
+    return stars.withColumnRenamed("u", "node").unionAll(stars.select(F.col("component").alias("node"), "component").distinct())

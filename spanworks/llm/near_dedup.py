@@ -141,68 +141,83 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
-def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that may link, per sorted run of (key, i, j)."""
-
-    def pairs(run: list[tuple]) -> Iterator[tuple[int, int]]:
-        ids = np.array([r[0] for r in run], np.int64)
-        component = np.array([r[1] for r in run], np.int64)
-        size = np.array([r[2] for r in run], np.int64)
-        block = np.array([r[3] for r in run], np.int64)
-        cells = np.frombuffer(b"".join(r[4] for r in run), np.uint16).reshape(len(run), REGISTERS)
-        i, j = run[0][5], run[0][6]
-        left = np.flatnonzero(block == i)
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """The link test on whole sets."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common > 0 and 100 * common >= SIMILARITY * (len(a) + len(b) - common)
+
+
+class Run:
+    """The members of one band, or of two of its blocks, compared in memory.
+
+    A pair is looked at in the first band that it shares, unless known to be in one
+    component; estimates rule out most pairs, the whole sets decide on the rest.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.key = np.int64(rows[0][0])
+        self.block, self.component, self.size = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
+        self.pair = rows[0][1:3]
+        self.cells = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), REGISTERS)
+        self.keys = band_keys(self.cells).view(np.int64)
+        self.texts, self.sets = [r[8] for r in rows], {}
+
+    def words(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            self.sets[k] = next(column_sets(pa.array([self.texts[k]], pa.string()), SHINGLE))
+        return self.sets[k]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs of components, the larger first, that a link joins."""
+        i, j = self.pair
+        left = np.flatnonzero(self.block == i)
+        right = left if i == j else np.flatnonzero(self.block == j)
         for n, at in enumerate(left):
-            other = left[n + 1 :] if i == j else np.flatnonzero(block == j)
-            other = other[component[other] != component[at]]
-            if len(other):
-                ok = may_link(cells[[at]], cells[other], size[[at]], size[other])
-                yield from ((int(max(ids[at], ids[o])), int(min(ids[at], ids[o]))) for o in other[ok])
+            other = right[n + 1 :] if i == j else right
+            other = other[self.component[other] != self.component[at]]
+            if not len(other):
+                continue
+            other = other[may_link(self.cells[[at]], self.cells[other], self.size[[at]], self.size[other])]
+            shared = self.keys[other] == self.keys[at]
+            band = np.argmax(self.keys[at] == self.key)
+            for o in other[np.argmax(shared, 1) == band] if len(other) else ():
+                u, v = self.component[at], self.component[o]
+                if u != v and linked(self.words(at), self.words(o)):
+                    yield int(max(u, v)), int(min(u, v))
+                    self.component[self.component == max(u, v)] = min(u, v)
 
-    def emit(found: set) -> pa.RecordBatch:
-        rows = sorted(found)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
 
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components from sorted runs of (key, i, j); see ``Run`` for the other columns."""
     run, at, found = [], None, set()
     for batch in batches:
-        key, i, j, block, rep, component, size, cells = (c.to_pylist() for c in batch.columns)
-        for n, here in enumerate(zip(key, i, j)):
-            if here != at:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != at:
                 if run:
-                    found.update(pairs(run))
-                run, at = [], here
-            run.append((rep[n], component[n], size[n], block[n], cells[n], i[n], j[n]))
-        if len(found) > 100_000:
-            yield emit(found)
-            found = set()
+                    found.update(Run(run).links())
+                run, at = [], row[:3]
+            run.append(row)
     if run:
-        found.update(pairs(run))
-    yield emit(found)
+        found.update(Run(run).links())
+    rows = sorted(found)
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs that link on their whole sets; columns u, v, text_u, text_v."""
     for batch in batches:
-        keep = []
-        for a, b in zip(column_sets(batch.column(2), SHINGLE), column_sets(batch.column(3), SHINGLE)):
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(common > 0 and 100 * common >= SIMILARITY * (len(a) + len(b) - common))
+        keep = [linked(a, b) for a, b in zip(column_sets(batch.column(2), SHINGLE), column_sets(batch.column(3), SHINGLE))]
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, estimated: bool) -> DataFrame:
+def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose documents link; estimates first, then whole sets."""
-    if not estimated:
-        cells = classes.select("rep", "n_shingles", "cells")
-        for side in ("u", "v"):
-            pairs = pairs.join(cells.toDF(side, f"n_{side}", f"cells_{side}"), side)
-        pairs = pairs.select("u", "v", "n_u", "cells_u", "n_v", "cells_v").mapInArrow(_estimate, "u long, v long")
-    pairs = materialize(pairs, "pairs")
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    some = materialize(texts.join(involved, "doc_id", "left_semi"), "texts")
+    cells = classes.select("rep", "n_shingles", "cells")
+    for side in ("u", "v"):
+        pairs = pairs.join(cells.toDF(side, f"n_{side}", f"cells_{side}"), side)
+    pairs = pairs.select("u", "v", "n_u", "cells_u", "n_v", "cells_v").mapInArrow(_estimate, "u long, v long")
     for side in ("u", "v"):
-        pairs = pairs.join(some.toDF(side, f"text_{side}"), side)
+        pairs = pairs.join(texts.toDF(side, f"text_{side}"), side)
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_confirm, "u long, v long")
 
 
@@ -220,30 +235,42 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     tops = bands.groupBy("key").agg(F.min("rep").alias("top"), F.count(F.lit(1)).alias("members")).where("members > 1")
     members = materialize(join_dealt_anew(bands, tops, "key"), "bands")
 
+    # texts of all documents that share a band with another; never a broadcast, whatever the size
+    involved = members.select(F.col("rep").alias("doc_id")).distinct()
+    some = materialize(texts.join(involved.hint("merge"), "doc_id", "left_semi"), "texts")
+
     stars = members.where("rep <> top").select(F.col("rep").alias("u"), F.col("top").alias("v")).distinct()
-    links = materialize(_linked(stars, classes, texts, False), "links")
+    parts = materialize(components(_linked(stars, classes, some)), "parts")
 
     # bands that are not yet in one component: exact comparison within blocks
-    parts = components(links)
     wide = members.where("members > 2").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     wide = materialize(wide.select("key", "rep", "members", F.coalesce("component", "rep").alias("component")), "wide")
-    split = wide.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key", "a")
-    blocks = F.ceil(F.col("members") / block).cast("int")
+    # the largest component of a band is "in"; what is "out" meets everything, "in" meets "out" alone
+    split = (
+        wide.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        .agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all")).where("main.n < all")
+        .select("key", F.col("main.component").alias("main"),
+                F.ceil((F.col("all") - F.col("main.n")) / block).cast("int").alias("outs"),
+                F.ceil(F.col("main.n") / block).cast("int").alias("ins"))
+    )
+    out, spread = F.col("component") != F.col("main"), F.xxhash64("rep")
     todo = (
-        join_dealt_anew(wide, split, "key").drop("a")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        join_dealt_anew(wide, split, "key")
+        .withColumn("block", F.when(out, F.pmod(spread, "outs")).otherwise(F.col("outs") + F.pmod(spread, "ins")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(out, F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
         .join(classes.select("rep", "n_shingles", "cells"), "rep")
-        .select("key", "i", "j", "block", "rep", "component", "n_shingles", "cells")
+        .join(some.withColumnRenamed("doc_id", "rep"), "rep")
+        .select("key", "i", "j", "block", "rep", "component", "n_shingles", "cells", "text")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     )
-    rest = todo.mapInArrow(_compare_blocks, "u long, v long").distinct()
-    more = materialize(_linked(rest, classes, texts, True), "links")
-    if more.isEmpty():
-        final = parts
-    else:
-        final = components(links.unionAll(more))
+    more = materialize(todo.mapInArrow(_compare_blocks, "u long, v long").distinct(), "links")
+    final = parts
+    if not more.isEmpty():
+        joined = components(more).toDF("component", "least")
+        classes_of = classes.select(F.col("rep").alias("node")).join(parts, "node", "left")
+        classes_of = classes_of.select("node", F.coalesce("component", "node").alias("component"))
+        final = classes_of.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
 
     reps = (
         classes.select(*same, "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -125,6 +125,14 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
     """Per text, the sorted distinct hashes of its ``size``-word shingles.
 
@@ -135,7 +143,7 @@ def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
     runs = window_hashes(hashes, size)
     for low, high in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
         if high - low >= size:
-            yield np.unique(runs[low : high - size + 1])
+            yield distinct(runs[low : high - size + 1])
         elif high > low:
             yield window_hashes(hashes[low:high], high - low)
         else:
