@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from spanworks.functions.dates import open_end_to_sentinel, parse_timestamp
 from spanworks.functions.text import clean_text
-from spanworks.operators.skew import MAX_GROUP_ROWS, join_unique
 
 
 def lower_case_names(df: DataFrame) -> DataFrame:
@@ -72,8 +71,6 @@ def parse_dates(df: DataFrame, column: str, formats: Sequence[str], out: str) ->
 
 def optout_filter(
     df: DataFrame, opted_out: DataFrame, keys: Sequence[str],
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Rows whose key is not on the opt-out list."""
-    listed = opted_out.select(*keys).distinct()
-    return join_unique(df, listed, keys, "left_anti", max_group_rows)
+    return df.join(opted_out.select(*keys), list(keys), "left_anti")

@@ -8,21 +8,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.operators.ordered import forward_fill, latest_per_key, running_max
-from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group, join_unique, large_keys
+from pyspark.sql import types as T
+
+from spanworks.operators.ordered import forward_fill, latest_per_key
 
 
 def dedup_left_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], newest_first: Sequence[Column],
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Left join to one row per key, so that the left row count never changes."""
-    return join_unique(left, latest_per_key(right, keys, newest_first), keys, "left", max_group_rows)
+    return left.join(latest_per_key(right, keys, newest_first), list(keys), "left")
 
 
 def calc_join(
     fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[str], Sequence[Column]]],
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """A fact with several dimensions, each ``(table, keys, newest-first order)``.
 
@@ -30,62 +29,53 @@ def calc_join(
     the files, is below the threshold, and otherwise shuffles.
     """
     for dimension, keys, newest_first in dimensions:
-        fact = dedup_left_join(fact, dimension, keys, newest_first, max_group_rows)
+        fact = dedup_left_join(fact, dimension, keys, newest_first)
     return fact
 
 
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
-    values: Sequence[str], newest_first: Sequence[Column] = (),
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    values: Sequence[str], newest_first: Sequence[Column] = (), chunk: int | None = None,
 ) -> DataFrame:
     """Every left row with the latest right ``values`` at or before its time.
 
-    Both sides go through one union and one fill per key: one shuffle, no pairs.
-    ``newest_first`` picks among right rows of the same key and time; leave it
-    empty when (keys, time) is unique on the right. The fill splits large keys along
-    time. Should one moment of a key be that large, the fill of the large keys runs
-    over distinct moments, which are then joined to the left rows.
+    Both sides go through one union and one fill per key and chunk of time: one shuffle,
+    no pairs. ``newest_first`` picks among right rows of the same key and time; leave it
+    empty when (keys, time) is unique on the right. Left rows without a key or a time
+    match nothing and take no part in the fill.
     """
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, right_time)])
-    right = right.filter(known)
+    def known(time: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, time)])
+
+    right = right.filter(known(right_time))
     names = [f"_a{i}" for i in range(len(keys))]
     keyed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
-    large = large_keys(left.select(keyed).union(right.select(keyed)), names, max_group_rows)
     if newest_first:
         right = latest_per_key(right, [*keys, right_time], newest_first)
-    rows = left.select(*keyed, F.col(left_time).alias("_t"), F.struct(*left.columns).alias("_l"))
-    records = right.select(*keyed, F.col(right_time).alias("_t"), F.struct(*values).alias("_r"))
-    if large is None:
-        filled = _asof_fill(rows, records, names, None)
-    elif not has_large_group(large.rows_of(rows), [*names, "_t"], max_group_rows):
-        filled = _asof_fill(rows, records, names, max_group_rows)
-    else:
-        filled = _asof_fill(large.rows_without(rows), large.rows_without(records), names, None)
-        crowded = large.rows_of(rows)
-        moments = crowded.select(*names, "_t").distinct()
-        moments = _asof_fill(moments, large.rows_of(records), names, max_group_rows)
-        found = join_unique(crowded, moments, [*names, "_t"], "left", max_group_rows)
-        filled = filled.unionByName(found)
-    return filled.select(
+    time = wider(left.schema[left_time].dataType, right.schema[right_time].dataType)
+    rows = left.filter(known(left_time)).select(
+        *keyed, F.col(left_time).cast(time).alias("_t"), F.struct(*left.columns).alias("_l"), F.lit(1).alias("_late"))
+    records = right.select(
+        *keyed, F.col(right_time).cast(time).alias("_t"), F.struct(*values).alias("_r"), F.lit(0).alias("_late"))
+    events = records.unionByName(rows, allowMissingColumns=True)
+    filled = forward_fill(events, names, ["_t", "_late"], {"_r": "_r"}, chunk).filter("_late = 1")
+    matched = filled.select(
         *[F.col("_l")[c].alias(c) for c in left.columns], *[F.col("_r")[v].alias(v) for v in values]
     )
+    placeless = left.filter(~known(left_time))
+    return matched.unionByName(placeless.select(
+        *left.columns, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values if v not in left.columns]
+    ), allowMissingColumns=True)
 
 
-def _asof_fill(
-    points: DataFrame, records: DataFrame, names: Sequence[str], max_group_rows: int | None
-) -> DataFrame:
-    """Points with the latest record ``_r`` at or before ``_t``; records count before points."""
-    events = records.withColumn("_side", F.lit(0)).unionByName(
-        points.withColumn("_side", F.lit(1)), allowMissingColumns=True
-    )
-    filled = forward_fill(events, names, ["_t", "_side"], {"_r": "_r"}, max_group_rows)
-    return filled.filter("_side = 1").drop("_side")
+def wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which two times are compared: a timestamp if either is one."""
+    return b if isinstance(a, T.DateType) else a
 
 
 def covariate_at(
     facts: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str,
-    values: Sequence[str], tie: str, max_group_rows: int | None = MAX_GROUP_ROWS,
+    values: Sequence[str], tie: str, chunk: int | None = None,
 ) -> DataFrame:
     """Span values valid at the time of each fact, for spans of a key that do not overlap.
 
@@ -100,8 +90,7 @@ def covariate_at(
         *[F.col(v).alias(n) for v, n in renamed.items()],
     )
     joined = asof_join(
-        facts, lasting, keys, time, "_start", list(renamed.values()), [F.desc("_span_tie")],
-        max_group_rows,
+        facts, lasting, keys, time, "_start", list(renamed.values()), [F.desc("_span_tie")], chunk,
     )
     ended = F.col(renamed[end])
     inside = ended.isNull() | (F.col(time) < ended)
@@ -113,18 +102,14 @@ def covariate_at(
 def interval_join(
     facts: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, start: str, end: str,
     values: Sequence[str], as_of: str, how: str = "left", bucket_hours: int = 24 * 28,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Every pair of a fact and a span of its key with ``start <= time < end``.
 
     Spans may overlap. Each span is listed once per bucket of ``bucket_hours`` it
     touches, and the join is on (keys, bucket): a key with many facts and many spans
-    is compared only within a bucket; buckets before the first or after the last
-    fact are not listed. Spark splits large buckets at run time, on the fact side of
-    a left join and on both sides of an inner join; when a key has more spans than
-    ``max_group_rows``, a left join is therefore done as an inner join plus the facts
-    no span covers. Open spans end at ``as_of``. Where the spans of a key never
-    overlap, ``covariate_at`` needs no buckets.
+    is compared only within a bucket, and Spark splits large buckets at run time. Open
+    spans end at ``as_of``. A bound of one type and a time of another are compared as
+    timestamps. Where the spans of a key never overlap, ``covariate_at`` needs no buckets.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -135,63 +120,30 @@ def interval_join(
 
     renamed = {v: f"_v{i}" for i, v in enumerate(values)}
     names = [f"_span_k{i}" for i in range(len(keys))]
-    time_type = facts.schema[time].dataType
-    stop = F.coalesce(F.col(end).cast(time_type), F.lit(as_of).cast(time_type))
+    kind = wider(facts.schema[time].dataType, wider(spans.schema[start].dataType, spans.schema[end].dataType))
+    stop = F.coalesce(F.col(end).cast(kind), F.lit(as_of).cast(kind))
     lasting = spans.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
-        F.col(start).cast(time_type).alias("_start"), stop.alias("_stop"),
+        F.col(start).cast(kind).alias("_start"), stop.alias("_stop"),
         *[F.col(v).alias(n) for v, n in renamed.items()],
     ).filter("_start < _stop")
-    # as text, because a literal time would pass through the time zone of this process
-    limits = facts.agg(F.min(time).cast("string"), F.max(time).cast("string")).first()
-    first, last = (F.lit(t).cast(time_type) for t in limits)
-    lasting = lasting.filter((F.col("_stop") > first) & (F.col("_start") <= last))
-    touched = F.sequence(
-        bucket(F.greatest(F.col("_start"), first)), bucket(F.least(F.col("_stop"), last))
-    )
-    listed = lasting.withColumn("_bucket", F.explode(touched))
-    placed = facts.withColumn("_fact_bucket", bucket(F.col(time)))
+    listed = lasting.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_start")), bucket(F.col("_stop")))))
+    at = F.col(time).cast(kind)
+    placed = facts.withColumns({"_fact_bucket": bucket(at), "_at": at})
     on = F.col("_fact_bucket") == F.col("_bucket")
     for k, n in zip(keys, names, strict=True):
         on = on & (F.col(k) == F.col(n))
-    on = on & (F.col(time) >= F.col("_start")) & (F.col(time) < F.col("_stop"))
+    on = on & (F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_stop"))
     columns = [*facts.columns, *[F.col(n).alias(v) for v, n in renamed.items()]]
-    if how == "inner" or not has_large_group(lasting, names, max_group_rows):
-        return placed.join(listed, on, how).select(columns)
-    matched = placed.join(listed, on, "inner").select(columns)
-    bare = _uncovered(facts, lasting, keys, names, time, max_group_rows)
-    return matched.unionByName(bare, allowMissingColumns=True)
-
-
-def _uncovered(
-    facts: DataFrame, lasting: DataFrame, keys: Sequence[str], names: Sequence[str], time: str,
-    max_group_rows: int | None,
-) -> DataFrame:
-    """Facts for which no span that started by then is still running.
-
-    The furthest end so far, taken in order of time, decides this without pairs.
-    """
-    ends = lasting.groupBy(*names, "_start").agg(F.max("_stop").alias("_stop"))
-    placed = facts.withColumns(
-        dict(zip([*names, "_at"], [F.col(c) for c in (*keys, time)], strict=True))
-    )
-    placeless = reduce(lambda a, b: a | b, [F.col(n).isNull() for n in (*names, "_at")])
-    points = placed.filter(~placeless).select(*names, "_at").distinct()
-    events = ends.select(*names, F.col("_start").alias("_at"), "_stop", F.lit(0).alias("_side"))
-    events = events.unionByName(points.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    reach = running_max(events, names, ["_at", "_side"], "_stop", "_reach", max_group_rows)
-    bare = reach.filter("_side = 1 AND (_reach IS NULL OR _reach <= _at)").select(*names, "_at")
-    uncovered = join_unique(placed, bare, [*names, "_at"], "left_semi", max_group_rows)
-    return uncovered.unionByName(placed.filter(placeless)).select(facts.columns)
+    return placed.join(listed, on, how).select(columns)
 
 
 def manager_lookup(
     assignments: DataFrame, hierarchy: DataFrame, entity: str, at: str,
-    valid_from: str, valid_to: str, values: Sequence[str], tie: str,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    valid_from: str, valid_to: str, values: Sequence[str], tie: str, chunk: int | None = None,
 ) -> DataFrame:
     """Assignments with the manager relation valid at date ``at``; none gives nulls."""
     return covariate_at(
-        assignments, hierarchy, [entity], at, valid_from, valid_to, values, tie, max_group_rows
+        assignments, hierarchy, [entity], at, valid_from, valid_to, values, tie, chunk
     )
 

@@ -1,28 +1,28 @@
-"""Ordered per-key operators that keep working when one key is very large.
+"""Ordered per-key operators in which no key goes whole into one task.
 
-A window puts a whole key into one task. Below ``max_group_rows`` rows per key the
-plain window runs: one shuffle on the keys. Above it, only the rows of the large keys
-take another way: they are range-partitioned on (keys, order) into chunks of bounded
-size and written; the window then runs per (keys, chunk), and what crosses a chunk
-border comes from a table with one row per chunk.
+Rows are windowed per (keys, chunk): a chunk is a fixed stretch of the first order
+column, ``CHUNK_DAYS`` days of a date or timestamp or ``CHUNK_VALUES`` of a number. What
+crosses the border of a chunk comes as one carry row per (keys, chunk) at its head or
+tail, made from an aggregate that combines before its shuffle. So the rows themselves are
+shuffled once, whatever the size of a key, and no job runs while the plan is built. Order
+columns of other types have one chunk.
 
-``order`` must be a total order within the keys, else results (as with any
-window) depend on chance and equal rows cannot be told apart when splitting.
+``order`` must be a total order within the keys, else results (as with any window)
+depend on chance. Null keys are a key of their own; null times come first.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from spanworks.operators.skew import MAX_GROUP_ROWS, LargeKeys, large_keys, null_safe
-from spanworks.workdir import materialize
-
-_CHUNK = "_chunk"
+CHUNK_DAYS = 28
+CHUNK_VALUES = 1_000_000
+_CHUNK, _SIDE = "_chunk", "_side"
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -35,124 +35,96 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Co
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _chunks(df: DataFrame, large: LargeKeys, order: Sequence[str]) -> DataFrame:
-    """Rows of the large keys in written chunks that follow ``order``."""
-    pieces = math.ceil(2 * large.n_rows / large.limit)
-    chunks = (
-        large.rows_of(df)
-        .repartitionByRange(pieces, *large.keys, *order)
-        .withColumn(_CHUNK, F.spark_partition_id())
-    )
-    return materialize(chunks, "chunks")
-
-
-def _by_chunk(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    max_group_rows: int | None,
-    windowed: Callable[[DataFrame, Sequence[str]], DataFrame],
-    carry: Callable[[DataFrame], DataFrame],
-    combine: Mapping[str, Column],
-) -> DataFrame:
-    """Window the small keys whole and the large ones by chunk, then mend the borders.
+def chunk_of(df: DataFrame, column: str, size: int | None = None) -> Column:
+    """The chunk of a row, which never falls as ``column`` rises."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.floor(F.unix_date(F.to_date(F.col(column))) / F.lit(size or CHUNK_DAYS))
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(column) / F.lit(size or CHUNK_VALUES)).cast("long")
+    return F.lit(0).cast("long")
+
+
+def _with_carry(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int | None,
+    summary: Mapping[str, Column], shift: Callable[[str, W], Column], side: int,
+) -> tuple[DataFrame, W]:
+    """Rows and carry rows, and the window per (keys, chunk) that reads both.
 
-    ``carry`` yields one row per (keys, chunk): at most two chunks per ``limit`` rows
-    and one per large key, a few hundred thousand however large the table is.
+    ``summary`` gives the columns of a chunk's summary; ``shift`` turns the summaries of
+    a key, in order of their chunks, into what a chunk receives from the others.
     """
-    large = large_keys(df, keys, max_group_rows)
-    if large is None:
-        return windowed(df, keys).drop("_edge")
-    small = windowed(large.rows_without(df), keys).drop("_edge")
-    chunks = _chunks(df, large, order)
-    names = [f"_border{i}" for i in range(len(keys))] + ["_border_chunk"]
-    by = [*keys, _CHUNK]
-    borders = carry(chunks).withColumnsRenamed(dict(zip(by, names, strict=True)))
-    mended = (
-        windowed(chunks, by)
-        .join(F.broadcast(borders), null_safe(by, names), "left")
-        .withColumns(dict(combine))
-    )
-    return small.unionByName(mended.select(small.columns))
+    chunked = df.withColumn(_CHUNK, chunk_of(df, order[0], size))
+    per_chunk = chunked.groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
+    chunks = W.partitionBy(*keys).orderBy(_CHUNK)
+    carried = per_chunk.withColumns({n: shift(n, chunks) for n in summary})
+    received = [F.col(n).isNotNull() for n in summary]
+    carried = carried.filter(received[0] if len(received) == 1 else F.greatest(*received))
+    rows = chunked.withColumn(_SIDE, F.lit(0))
+    events = rows.unionByName(carried.withColumn(_SIDE, F.lit(side)), allowMissingColumns=True)
+    return events, W.partitionBy(*keys, _CHUNK).orderBy(_SIDE, *order)
+
+
+def _rows(events: DataFrame) -> DataFrame:
+    return events.filter(F.col(_SIDE) == 0).drop(_SIDE, _CHUNK)
+
+
+def _before(w: W) -> W:
+    return w.rowsBetween(W.unboundedPreceding, -1)
+
+
+def _so_far(w: W) -> W:
+    return w.rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def forward_fill(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    columns: Mapping[str, str],
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
+    chunk: int | None = None,
 ) -> DataFrame:
     """Last non-null value so far per key; ``columns`` maps output name to input column.
 
     Leading nulls stay null and a value that is present never changes.
     """
-    def windowed(part: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return part.withColumns(
-            {out: F.last(src, ignorenulls=True).over(w) for out, src in columns.items()}
-        )
-
-    def carry(chunks: DataFrame) -> DataFrame:
-        last = chunks.groupBy(*keys, _CHUNK).agg(
-            *[
-                F.max_by(src, F.when(F.col(src).isNotNull(), F.struct(*order))).alias(f"_f_{out}")
-                for out, src in columns.items()
-            ]
-        )
-        earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-        return last.withColumns(
-            {f"_f_{out}": F.last(f"_f_{out}", ignorenulls=True).over(earlier) for out in columns}
-        )
-
-    combine = {out: F.coalesce(F.col(out), F.col(f"_f_{out}")) for out in columns}
-    return _by_chunk(df, keys, order, max_group_rows, windowed, carry, combine)
-
-
-def running_max(
+    place = F.struct(*order)
+    sources = {f"_f{i}": src for i, src in enumerate(dict.fromkeys(columns.values()))}
+    given = {src: name for name, src in sources.items()}
+    summary = {n: F.max_by(src, F.when(F.col(src).isNotNull(), place)) for n, src in sources.items()}
+    copied = df.withColumns({n: F.col(src) for n, src in sources.items()})
+    events, w = _with_carry(
+        copied, keys, order, chunk, summary, lambda n, c: F.last(n, ignorenulls=True).over(_before(c)), -1)
+    filled = events.withColumns({n: F.last(n, ignorenulls=True).over(_so_far(w)) for n in sources})
+    return _rows(filled).withColumns({out: F.col(given[src]) for out, src in columns.items()}).drop(*sources)
+
+
+def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    combine: Callable[[str], Column] = F.max, chunk: int | None = None,
 ) -> DataFrame:
-    """Largest ``column`` so far per key, the current row included."""
-    def windowed(part: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return part.withColumn(alias, F.max(column).over(w))
-
-    def carry(chunks: DataFrame) -> DataFrame:
-        largest = chunks.groupBy(*keys, _CHUNK).agg(F.max(column).alias("_b"))
-        earlier = W.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(W.unboundedPreceding, -1)
-        return largest.withColumn("_b", F.max("_b").over(earlier))
-
-    combine = {alias: F.greatest(F.col(alias), F.col("_b"))}
-    return _by_chunk(df, keys, order, max_group_rows, windowed, carry, combine)
+    """``combine`` (``F.max`` or ``F.min``) of ``column`` so far per key, the current row included."""
+    copied = df.withColumn("_v", F.col(column))
+    events, w = _with_carry(
+        copied, keys, order, chunk, {"_v": combine("_v")}, lambda n, c: combine(n).over(_before(c)), -1)
+    return _rows(events.withColumn("_r", combine("_v").over(_so_far(w)))).withColumn(alias, F.col("_r")).drop("_r", "_v")
 
 
-def _neighbour(df, keys, order, column, alias, max_group_rows, shift, border):
-    def windowed(part: DataFrame, by: Sequence[str]) -> DataFrame:
-        w = W.partitionBy(*by).orderBy(*order)
-        return part.withColumns(
-            {alias: shift(F.col(column)).over(w), "_edge": shift(F.lit(True)).over(w).isNull()}
-        )
-
-    def carry(chunks: DataFrame) -> DataFrame:
-        edge = chunks.groupBy(*keys, _CHUNK).agg(border(column, F.struct(*order)).alias("_b"))
-        return edge.withColumn("_b", shift(F.col("_b")).over(W.partitionBy(*keys).orderBy(_CHUNK)))
-
-    combine = {alias: F.when(F.col("_edge"), F.col("_b")).otherwise(F.col(alias))}
-    return _by_chunk(df, keys, order, max_group_rows, windowed, carry, combine)
+def _neighbour(df, keys, order, column, alias, chunk, shift, border, side):
+    # the value is wrapped, so that a carry row with a null value is still a row
+    copied = df.withColumn("_v", F.struct(F.col(column).alias("v")))
+    summary = {"_v": border("_v", F.struct(*order))}
+    events, w = _with_carry(copied, keys, order, chunk, summary, lambda n, c: shift(F.col(n)).over(c), side)
+    moved = events.withColumn("_r", shift(F.col("_v")).over(w))
+    return _rows(moved).withColumn(alias, F.col("_r")["v"]).drop("_r", "_v")
 
 
 def next_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str, chunk: int | None = None,
 ) -> DataFrame:
     """``column`` of the following row of the same key, null on the last."""
-    return _neighbour(df, keys, order, column, alias, max_group_rows, F.lead, F.min_by)
+    return _neighbour(df, keys, order, column, alias, chunk, F.lead, F.min_by, 1)
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str, chunk: int | None = None,
 ) -> DataFrame:
     """``column`` of the preceding row of the same key, null on the first."""
-    return _neighbour(df, keys, order, column, alias, max_group_rows, F.lag, F.max_by)
+    return _neighbour(df, keys, order, column, alias, chunk, F.lag, F.max_by, -1)

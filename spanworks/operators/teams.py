@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.operators.skew import MAX_GROUP_ROWS, join_unique
+#: Decimal places of salaries that count; more than any currency has.
+SALARY_PLACES = 6
 
 
 def team_weekly(
@@ -17,10 +18,10 @@ def team_weekly(
 
     ``weekly`` has one row per entity and week; ``leaving`` is true in the last
     week of an entity that terminates. Everything combines map-side, so the rows
-    per week are never shuffled. The mean is taken of a sum in hundredths, which
-    does not depend on the order in which partial sums meet.
+    per week are never shuffled. The mean is taken of an exact sum to ``SALARY_PLACES``
+    places, which does not depend on the order in which partial sums meet.
     """
-    exact = F.sum(F.col(salary).cast("decimal(18,2)")).cast("double")
+    exact = F.sum(F.col(salary).cast(f"decimal(28,{SALARY_PLACES})")).cast("double")
     return weekly.groupBy(*manager, "week_start").agg(
         F.count(F.lit(1)).alias("headcount"),
         F.count_if(F.col(leaving)).alias("leavers"),
@@ -46,7 +47,6 @@ def span_of_control(
 
 def keep_valid_managers(
     weekly: DataFrame, valid: DataFrame, manager: Sequence[str],
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Weekly rows whose (manager, week) passed ``span_of_control``."""
-    return join_unique(weekly, valid, [*manager, "week_start"], "left_semi", max_group_rows)
+    return weekly.join(valid, [*manager, "week_start"], "left_semi")

@@ -19,15 +19,13 @@ from pyspark.sql import Window as W
 
 from spanworks.functions.dates import iso_week, week_start
 from spanworks.operators.ordered import latest_per_key, next_value
-from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group
 
 
 def spans_from_events(
-    df: DataFrame, entity: Sequence[str], start: str, tie: str, end: str = "end_date",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    df: DataFrame, entity: Sequence[str], start: str, tie: str, end: str = "end_date", chunk: int | None = None,
 ) -> DataFrame:
     """Each row is valid until the next row of the entity; the last one stays open."""
-    return next_value(df, entity, [start, tie], start, end, max_group_rows)
+    return next_value(df, entity, [start, tie], start, end, chunk)
 
 
 def _clip(spans: DataFrame, start: str, end: str, as_of: str) -> DataFrame:
@@ -56,60 +54,61 @@ def weekly_unique(weekly: DataFrame, entity: Sequence[str], start: str, tie: str
 
 
 def weekly_owned(
-    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, chunk: int | None = None,
 ) -> DataFrame:
-    """``weekly_unique`` of ``weekly_episodes``, listing fewer weeks on the way.
-
-    A span that the next one outlasts owns nothing from the week in which that one
-    starts, so those weeks are not listed; what else overlaps is settled per week.
-    """
-    clipped = _clip(spans, start, end, as_of)
-    last = week_start(F.date_sub(F.col("_to"), 1))
-    weeks = F.struct(week_start(F.col("_from")).alias("first"), last.alias("last"))
-    followed = next_value(
-        clipped.withColumn("_own", weeks), entity, [start, tie], "_own", "_next", max_group_rows
-    )
-    own, following = F.col("_own"), F.col("_next")
-    outlasted = following["last"] >= own["last"]
-    until = F.when(outlasted, F.least(own["last"], F.date_sub(following["first"], 7)))
-    until = F.coalesce(until, own["last"])
-    listed = followed.withColumn("_until", until).filter(F.col("_until") >= own["first"])
-    weekly = listed.withColumn("week_start", _weeks(own["first"], F.col("_until")))
-    unique = weekly_unique(weekly.drop("_from", "_to", "_own", "_next", "_until"), entity, start, tie)
-    return unique.withColumn("iso_week", iso_week(F.col("week_start")))
+    """``weekly_unique`` of ``weekly_episodes``, by way of the ranges that each span owns."""
+    return expand_weeks(week_ranges(spans, entity, start, end, tie, as_of, chunk).drop("since_week", "last_week"))
 
 
 def week_ranges(
-    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, chunk: int | None = None,
 ) -> DataFrame:
-    """The weeks each span owns, as ``start_week`` .. ``end_week``, without listing them.
-
-    For spans of one entity that do not overlap. Equal to ``weekly_episodes`` +
-    ``weekly_unique`` but moves one row per span instead of one per week. Adds
-    ``since_week`` as well, the week in which the entity's first span starts. An
-    entity above ``max_group_rows`` is first reduced to one row per start week.
+    """The weeks each span owns, as ``start_week`` .. ``end_week``, listing only contested ones.
+
+    Equal to ``weekly_episodes`` + ``weekly_unique``, for overlapping spans too, but moves one
+    row per span instead of one per week. A span surely owns the weeks before the next one
+    starts. If it outlasts the next one, the weeks after that one's end are contested:
+    these are listed, and go to the latest started span that has them, unless some span
+    surely owns them. Adds ``since_week``, the first week of the entity, and ``last_week``,
+    the last week that the span owns, as a span may own several ranges.
     """
-    clipped = _clip(spans, start, end, as_of).withColumns(
-        {
-            "start_week": week_start(F.col("_from")),
-            "end_week": week_start(F.date_sub(F.col("_to"), 1)),
-        }
-    )
-    if has_large_group(spans, entity, max_group_rows):
-        clipped = latest_per_key(
-            clipped, [*entity, "start_week"], [F.desc("_from"), F.desc(tie)]
-        )
-    w = W.partitionBy(*entity).orderBy("_from", tie)
-    following = F.lead("start_week").over(w)
-    owned = clipped.withColumns(
+    clipped = _clip(spans, start, end, as_of)
+    first, last = week_start(F.col("_from")), week_start(F.date_sub(F.col("_to"), 1))
+    clipped = clipped.withColumn("_own", F.struct(first.alias("first"), last.alias("last")))
+    followed = next_value(clipped, entity, ["_from", tie], "_own", "_next", chunk)
+    own, following = F.col("_own"), F.col("_next")
+
+    def piece(low, high, contested):
+        return F.struct(low.alias("low"), high.alias("high"), F.lit(contested).alias("contested"))
+
+    none = F.array().cast("array<struct<low:date,high:date,contested:int>>")
+    until = F.least(own["last"], F.date_sub(following["first"], 7))
+    sure = F.when(own["first"] <= until, F.array(piece(own["first"], until, 0))).otherwise(none)
+    beyond = F.sequence(F.date_add(following["last"], 7), own["last"], F.expr("interval 7 days"))
+    tail = F.when(own["last"] > following["last"], F.transform(beyond, lambda d: piece(d, d, 1))).otherwise(none)
+    pieces = followed.withColumn("_piece", F.explode(F.concat(sure, tail))).drop("_own", "_next", "_to").withColumns(
+        {"start_week": F.col("_piece.low"), "end_week": F.col("_piece.high"), "_contested": F.col("_piece.contested")}
+    ).drop("_piece")
+    pieces = latest_per_key(pieces, [*entity, "start_week", "_contested"], [F.desc("_from"), F.desc(tie)])
+    # from here on an entity has at most two rows per calendar week
+    w = W.partitionBy(*entity).orderBy("start_week", "_contested")
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    sure_until = F.max(F.when(F.col("_contested") == 0, F.col("end_week"))).over(so_far)
+    owned = pieces.withColumn("_sure_until", sure_until).filter(
+        "_contested = 0 or _sure_until is null or _sure_until < start_week").drop("_contested", "_sure_until")
+    by_span = W.partitionBy(*entity, "_from", tie)
+    ordered = by_span.orderBy("start_week")
+    touching = F.col("start_week") == F.date_add(F.lag("end_week").over(ordered), 7)
+    numbered = owned.withColumn("_new", (~F.coalesce(touching, F.lit(False))).cast("int")).withColumn(
+        "_run", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    by_run = W.partitionBy(*entity, "_from", tie, "_run")
+    return numbered.withColumns(
         {
-            "end_week": F.least(F.col("end_week"), F.date_sub(following, 7)),
-            "since_week": F.first("start_week").over(w),
+            "end_week": F.max("end_week").over(by_run),
+            "last_week": F.max("end_week").over(by_span),
+            "since_week": F.min("start_week").over(W.partitionBy(*entity)),
         }
-    )
-    return owned.filter("start_week <= end_week").drop("_from", "_to")
+    ).filter("_new = 1").drop("_from", "_new", "_run")
 
 
 def expand_weeks(ranges: DataFrame) -> DataFrame:
@@ -120,16 +119,18 @@ def expand_weeks(ranges: DataFrame) -> DataFrame:
 
 def merge_ranges(
     ranges: DataFrame, entity: Sequence[str], covariates: Sequence[str],
-    order: Sequence[str] = ("start_week",),
+    term: str | None = None, span: str | None = None,
 ) -> DataFrame:
     """Join touching week ranges of an entity while no covariate changes.
 
-    ``order`` may name other columns in the same order (the sort of an earlier
-    window is then used again).
+    With ``term`` and ``span``, a span whose ``term`` is not null ends in a termination and
+    never merges with the next span, whatever the covariates.
     """
-    w = W.partitionBy(*entity).orderBy(*order)
+    w = W.partitionBy(*entity).orderBy("start_week")
     values = F.struct(*covariates)
     same = F.lag(values).over(w).eqNullSafe(values)
+    if term and span:
+        same = same & (F.lag(term).over(w).isNull() | (F.lag(span).over(w) == F.col(span)))
     touching = F.col("start_week") == F.date_add(F.lag("end_week").over(w), 7)
     marked = ranges.withColumn("_new", (~F.coalesce(same & touching, F.lit(False))).cast("int"))
     numbered = marked.withColumn(
@@ -148,21 +149,23 @@ def merge_ranges(
     )
 
 
-def start_stop(weekly: DataFrame, entity: Sequence[str], covariates: Sequence[str]) -> DataFrame:
+def start_stop(
+    weekly: DataFrame, entity: Sequence[str], covariates: Sequence[str], term: str | None = None, span: str | None = None,
+) -> DataFrame:
     """Weekly rows (one per entity and week) to periods in which no covariate changes."""
     ranges = weekly.withColumns(
         {"start_week": F.col("week_start"), "end_week": F.col("week_start")}
     )
-    return merge_ranges(ranges, entity, covariates)
+    return merge_ranges(ranges, entity, covariates, term, span)
 
 
 def start_stop_from_spans(
     spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str,
-    covariates: Sequence[str], max_group_rows: int | None = MAX_GROUP_ROWS,
+    covariates: Sequence[str], term: str | None = None, chunk: int | None = None,
 ) -> DataFrame:
-    """Start-stop rows straight from spans that do not overlap; same result as the weekly way."""
-    ranges = week_ranges(spans, entity, start, end, tie, as_of, max_group_rows)
-    return merge_ranges(ranges, entity, covariates)
+    """Start-stop rows straight from spans, overlapping or not; same result as the weekly way."""
+    ranges = week_ranges(spans, entity, start, end, tie, as_of, chunk)
+    return merge_ranges(ranges, entity, covariates, term, tie)
 
 
 def calendar(df: DataFrame, date: str) -> DataFrame:

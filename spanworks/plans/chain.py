@@ -7,11 +7,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.operators import clean, people, skew, weeks
+from spanworks.operators import clean, people, weeks
 from spanworks.operators.ordered import forward_fill
 
 Step = Callable[[DataFrame], DataFrame]
 
+#: Days of a chunk that holds any calendar.
+WHOLE = 10_000_000
+
 
 def lower_case_names() -> Step:
     return clean.lower_case_names
@@ -25,11 +28,6 @@ def filter_live_primary() -> Step:
     return clean.filter_live_primary
 
 
-def co_locate(keys: Sequence[str], max_group_rows: int | None = skew.MAX_GROUP_ROWS) -> Step:
-    """Put before the first step that groups by the entity: the later ones share its shuffle."""
-    return lambda df: skew.co_locate(df, keys, max_group_rows)
-
-
 def timestamp_to_dates() -> Step:
     return clean.timestamp_to_dates
 
@@ -53,10 +51,9 @@ def with_weekly_episodes(
 
 def with_forward_filled_job_cd(
     entity: Sequence[str], order: Sequence[str] = ("week_start",), column: str = "job_cd",
-    max_group_rows: int | None = None,
 ) -> Step:
-    """Fills missing job codes. Weekly rows are bounded by the calendar, hence no size check."""
-    return lambda df: forward_fill(df, entity, order, {column: column}, max_group_rows)
+    """Fills missing job codes; the weekly rows of an entity are bounded by the calendar: one chunk."""
+    return lambda df: forward_fill(df, entity, order, {column: column}, WHOLE)
 
 
 def with_mgr_sup_id(manager: str, supervisor: str, default_ids: Sequence[str] = ()) -> Step:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from spanworks.operators.clean import optout_filter
 from spanworks.operators.joins import dedup_left_join
 from spanworks.operators.people import mgr_sup_id, termination_type
-from spanworks.operators.skew import MAX_GROUP_ROWS, has_large_group, join_unique
 from spanworks.operators.teams import team_weekly
 from spanworks.operators.weeks import expand_weeks, merge_ranges, week_ranges
 from spanworks.workdir import materialize
@@ -34,8 +33,8 @@ class Settings:
     termination_rules: Mapping[str, str]
     default_managers: Sequence[str] = ()
     covariates: Sequence[str] = ("salary", "job_cd", "term_type")
-    team_size: tuple[int, int] = (1, 1_000_000)
-    max_group_rows: int | None = MAX_GROUP_ROWS
+    #: Teams outside these sizes have no figures; None: no limit.
+    team_size: tuple[int, int | None] = (1, None)
     entity: Sequence[str] = field(default=("pers_id",))
     write_episodes: bool = True
 
@@ -50,33 +49,25 @@ def start_stop_dataset(inputs: Inputs, settings: Settings) -> DataFrame:
     before its shuffle.
     """
     entity = list(settings.entity)
-    limit = settings.max_group_rows
-    if not has_large_group(inputs.assignments, entity, limit):
-        limit = None  # one count is enough for both steps that depend on it
-    active = optout_filter(inputs.assignments, inputs.people.filter("optout"), entity, limit)
+    active = optout_filter(inputs.assignments, inputs.people.filter("optout"), entity)
     # an end after as_of is not known yet: the span is open and the event censored
     known = F.when(F.to_date("end_date") <= F.to_date(F.lit(settings.as_of)), F.col("end_date"))
     typed = termination_type(
         active.withColumn("end_date", known), "term_cd", "end_date", settings.termination_rules
     )
-    ranges = week_ranges(
-        typed, entity, "start_date", "end_date", "span_id", settings.as_of, limit
-    )
-    # a span that ends in a termination never merges with another one
-    ranges = ranges.withColumn("_ended", F.when(F.col("term_type").isNotNull(), F.col("span_id")))
-    kept = [*settings.covariates, "_ended", "since_week"]
-    episodes = merge_ranges(ranges, entity, kept, ["start_date", "span_id"]).drop("_ended")
+    ranges = week_ranges(typed, entity, "start_date", "end_date", "span_id", settings.as_of)
+    # a span that others interrupt ends in its termination once, with its last week
+    final = F.col("end_week") == F.col("last_week")
+    ranges = ranges.withColumn("_leaves", F.when(final & F.col("term_type").isNotNull(), F.col("last_week")))
+    kept = [*settings.covariates, "since_week", "_leaves"]
+    episodes = merge_ranges(ranges, entity, kept, "term_type", "span_id")
     managers = mgr_sup_id(inputs.hierarchy, "mgr_id", "sup_id", settings.default_managers)
     managers = managers.select(*entity, "mgr_sup_id").filter("mgr_sup_id IS NOT NULL")
-    # the episodes of a person are bounded by the calendar: no large key to look for
-    episodes = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")], None)
+    episodes = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")])
     if settings.write_episodes:
         episodes = materialize(episodes, "episodes")
     first_week = _teams(episodes, settings).withColumnRenamed("week_start", "start_date")
-    return join_unique(
-        episodes.drop("since_week"), first_week, ["mgr_sup_id", "start_date"], "left",
-        settings.max_group_rows,
-    )
+    return episodes.drop("since_week", "_leaves").join(first_week, ["mgr_sup_id", "start_date"], "left")
 
 
 def _teams(episodes: DataFrame, settings: Settings) -> DataFrame:
@@ -84,7 +75,7 @@ def _teams(episodes: DataFrame, settings: Settings) -> DataFrame:
     led = episodes.filter("mgr_sup_id IS NOT NULL").select(
         "mgr_sup_id", "salary", "since_week", F.col("start_date").alias("start_week"),
         F.col("end_week_date").alias("end_week"),
-        F.when(F.col("term_type").isNotNull(), F.col("end_week_date")).alias("leaves"),
+        F.col("_leaves").alias("leaves"),
     )
     weekly = expand_weeks(led).withColumns(
         {
@@ -94,7 +85,8 @@ def _teams(episodes: DataFrame, settings: Settings) -> DataFrame:
     )
     team = team_weekly(weekly, ["mgr_sup_id"], "salary", "tenure_weeks", "leaving")
     low, high = settings.team_size
-    return team.filter(F.col("headcount").between(low, high))
+    plausible = F.col("headcount") >= low
+    return team.filter(plausible if high is None else plausible & (F.col("headcount") <= high))
 
 
 def rounded(dataset: DataFrame) -> DataFrame:

@@ -195,7 +195,6 @@ def q_transform_chain(spark, d):
         ("lower_case_names", chain.lower_case_names()),
         ("filter_sources", chain.filter_sources(["1-URGENT", "2-HIGH", "5-LOW"])),
         ("filter_live_primary", chain.filter_live_primary()),
-        ("co_locate", chain.co_locate(["pers_id"])),
         ("timestamp_to_dates", chain.timestamp_to_dates()),
         ("with_clean_end_dates", chain.with_clean_end_dates()),
         ("with_clean_terminations",

@@ -28,7 +28,7 @@ _ORDER_WEEKS = WEEKLY_SQL.format(source="spans", entity="entity")
 # Episodes out of ``uniq``: a new island wherever a covariate or the run of weeks breaks.
 _ISLANDS_SQL = """
 flagged AS (
-  SELECT *, CASE WHEN {same}
+  SELECT *, CASE WHEN {same}{terminal}
                   AND lag(week_start) OVER w = week_start - 7 THEN 0 ELSE 1 END AS new_island
   FROM uniq WINDOW w AS (PARTITION BY {entity} ORDER BY week_start)),
 islands AS (
@@ -38,11 +38,12 @@ episodes AS (
   FROM islands GROUP BY {entity}, island, {covariates})"""
 
 
-def _islands(entity: str, covariates: list[str]) -> str:
+def _islands(entity: str, covariates: list[str], terminal: bool = False) -> str:
     same = " AND ".join(
         f"lag({c}) OVER w IS NOT DISTINCT FROM {c}" for c in covariates
     )
-    return _ISLANDS_SQL.format(same=same, entity=entity, covariates=", ".join(covariates))
+    own = " AND (lag(term_type) OVER w IS NULL OR lag(span_id) OVER w = span_id)" if terminal else ""
+    return _ISLANDS_SQL.format(same=same, terminal=own, entity=entity, covariates=", ".join(covariates))
 
 
 _EPISODE_COLUMNS = """strftime(start_date, '%G-W%V') AS start_week,
@@ -81,12 +82,28 @@ def q_weekly_unique(spark, d):
     return unique.select("entity", "span_id", "week_start", "iso_week")
 
 
-def q_weekly_owned(spark, d):
+def _long_spans(spark, d):
     """Spans that overlap: 60 or 400 days, or open, by status."""
     start, status = F.col("start_date"), F.col("status")
     end = F.when(status == "F", F.date_add(start, 60)).when(status == "P", F.date_add(start, 400))
-    spans = order_events(spark, d).select("entity", "span_id", "start_date", end.alias("end_date"))
-    owned = weeks.weekly_owned(spans, _ENTITY, "start_date", "end_date", "span_id", AS_OF)
+    return order_events(spark, d).select("entity", "span_id", "start_date", end.alias("end_date"), "status")
+
+
+def q_start_stop_overlapping(spark, d):
+    return weeks.start_stop_from_spans(
+        _long_spans(spark, d), _ENTITY, "start_date", "end_date", "span_id", AS_OF, ["status"]
+    )
+
+
+def q_start_stop_terminal(spark, d):
+    """Episodes by kind of termination alone, so that only the terminal marker keeps spans apart."""
+    return weeks.start_stop_from_spans(
+        _typed_spans(spark, d), ["pers_id"], "start_date", "end_date", "span_id", AS_OF, ["term_type"], "term_type"
+    )
+
+
+def q_weekly_owned(spark, d):
+    owned = weeks.weekly_owned(_long_spans(spark, d), _ENTITY, "start_date", "end_date", "span_id", AS_OF)
     return owned.select("entity", "span_id", "week_start", "iso_week")
 
 
@@ -143,7 +160,7 @@ def _led_weeks(spark, d):
     customer = load_table(spark, d, "customer").select(
         F.col("c_custkey").alias("pers_id"), F.col("c_nationkey").alias("manager")
     )
-    led = ranges.withColumn("last_week", F.col("end_week")).join(customer, "pers_id")
+    led = ranges.join(customer, "pers_id")
     return weeks.expand_weeks(led).withColumns(
         {
             "tenure_weeks": F.datediff("week_start", "since_week") / 7,
@@ -190,7 +207,7 @@ active AS (
   SELECT t.* FROM typed t
   WHERE pers_id NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')),
 {WEEKLY_SQL.format(source="active", entity="pers_id")},
-{_islands("pers_id", ["salary", "job_cd", "term_type"])},
+{_islands("pers_id", ["salary", "job_cd", "term_type"], True)},
 led AS (
   SELECT c_custkey AS pers_id,
          CASE WHEN c_nationkey = 0 THEN 'R' || n_regionkey ELSE CAST(c_nationkey AS VARCHAR) END
@@ -205,7 +222,7 @@ team_rows AS (
 teams AS (
   SELECT mgr_sup_id, week_start, count(*) AS headcount,
          CAST(count(*) FILTER (WHERE leaving) AS BIGINT) AS leavers,
-         CAST(sum(CAST(salary AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean_salary,
+         CAST(sum(CAST(salary AS DECIMAL(28, 6))) AS DOUBLE) / count(*) AS mean_salary,
          round(stddev_samp(salary), 2) AS sd_salary,
          avg(tenure) AS mean_tenure_weeks
   FROM team_rows GROUP BY ALL HAVING count(*) BETWEEN 2 AND 5000)
@@ -214,6 +231,12 @@ SELECT e.pers_id, salary, job_cd, term_type, {_EPISODE_COLUMNS}, l.mgr_sup_id,
 FROM episodes e LEFT JOIN led l USING (pers_id)
 LEFT JOIN teams t ON t.mgr_sup_id = l.mgr_sup_id AND t.week_start = e.start_date"""
 
+_LONG_SPANS_SQL = """long_spans AS (
+  SELECT o_custkey AS entity, o_orderkey AS span_id, CAST(o_orderdate AS DATE) AS start_date,
+         CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 60
+              WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) + 400 END AS end_date, o_orderstatus AS status
+  FROM orders)"""
+
 START_STOP_SQL = f"""WITH {SPANS_SQL},{_ORDER_WEEKS},{_islands("entity", ["job_cd"])}
 SELECT entity, {_EPISODE_COLUMNS}, job_cd FROM episodes"""
 
@@ -238,14 +261,20 @@ SELECT CAST(t AS DATE) AS day, strftime(t, '%G-W%V') AS iso_week,
 SELECT entity, span_id, start_date, job_cd, lag(job_cd) OVER w AS previous_job,
        lead(job_cd) OVER w AS next_job
 FROM spans WINDOW w AS (PARTITION BY entity ORDER BY start_date, span_id)""",
+    ),
+    "start_stop_overlapping": (
+        q_start_stop_overlapping,
+        f"""WITH {_LONG_SPANS_SQL},{WEEKLY_SQL.format(source="long_spans", entity="entity")},{_islands("entity", ["status"])}
+SELECT entity, {_EPISODE_COLUMNS}, status FROM episodes""",
+    ),
+    "start_stop_terminal": (
+        q_start_stop_terminal,
+        f"""WITH {_TYPED_SQL},{WEEKLY_SQL.format(source="typed", entity="pers_id")},{_islands("pers_id", ["term_type"], True)}
+SELECT pers_id, {_EPISODE_COLUMNS}, term_type FROM episodes""",
     ),
     "weekly_owned": (
         q_weekly_owned,
-        f"""WITH long_spans AS (
-  SELECT o_custkey AS entity, o_orderkey AS span_id, CAST(o_orderdate AS DATE) AS start_date,
-         CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 60
-              WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) + 400 END AS end_date
-  FROM orders),{WEEKLY_SQL.format(source="long_spans", entity="entity")}
+        f"""WITH {_LONG_SPANS_SQL},{WEEKLY_SQL.format(source="long_spans", entity="entity")}
 SELECT entity, span_id, week_start, strftime(week_start, '%G-W%V') AS iso_week FROM uniq""",
     ),
     "weekly_episodes": (
@@ -278,7 +307,7 @@ FROM uniq GROUP BY pers_id""",
         q_team_weekly,
         f"""WITH {_LED_SQL}
 SELECT manager, week_start, count(*) AS headcount, count(*) FILTER (WHERE leaving) AS leavers,
-       CAST(sum(CAST(salary AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS mean_salary,
+       CAST(sum(CAST(salary AS DECIMAL(28, 6))) AS DOUBLE) / count(*) AS mean_salary,
          round(stddev_samp(salary), 2) AS sd_salary,
        avg(tenure_weeks) AS mean_tenure_weeks
 FROM led GROUP BY manager, week_start""",

@@ -1,4 +1,4 @@
-"""Ordered operators: the chunked way for very large keys agrees with the plain window."""
+"""Ordered operators: whatever the chunks, the result is that of one window per key."""
 
 import datetime as dt
 import random
@@ -12,10 +12,9 @@ from spanworks.operators.ordered import (
     latest_per_key,
     next_value,
     previous_value,
-    running_max,
+    running,
 )
-from spanworks.operators import clean, joins, skew, weeks
-from spanworks.operators.skew import has_large_group, join_unique
+from spanworks.operators import clean, joins, weeks
 from tests.compare import rows_of
 
 
@@ -41,26 +40,50 @@ CHECKS = {
     "next_value": lambda df, n: next_value(df, ["k"], ["t", "id"], "v", "out", n),
     "next_in_place": lambda df, n: next_value(df, ["k"], ["t", "id"], "v", "v", n),
     "previous_value": lambda df, n: previous_value(df, ["k"], ["t", "id"], "v", "out", n),
-    "running_max": lambda df, n: running_max(df, ["k"], ["t", "id"], "v", "out", n),
+    "running_max": lambda df, n: running(df, ["k"], ["t", "id"], "v", "out", F.max, n),
 }
 
 
+def plain(name, df):
+    w = W.partitionBy("k").orderBy("t", "id")
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    value = {
+        "forward_fill": F.last("v", ignorenulls=True).over(so_far), "fill_in_place": F.last("v", ignorenulls=True).over(so_far),
+        "next_value": F.lead("v").over(w), "next_in_place": F.lead("v").over(w), "previous_value": F.lag("v").over(w),
+        "running_max": F.max("v").over(so_far),
+    }[name]
+    return df.withColumn("v" if "in_place" in name else "out", value)
+
+
 @pytest.mark.parametrize("name", CHECKS)
-@pytest.mark.parametrize("limit", [300])
-def test_chunked_equals_plain(skewed, name, limit):
-    assert has_large_group(skewed, ["k"], limit)
-    assert same(CHECKS[name](skewed, limit), CHECKS[name](skewed, None))
+@pytest.mark.parametrize("size", [None, 1, 7])
+def test_chunked_equals_plain(skewed, name, size):
+    assert same(CHECKS[name](skewed, size), plain(name, skewed))
 
 
-def test_no_large_key_takes_the_plain_window(skewed):
-    assert not has_large_group(skewed, ["k"], 10_000)
-    plan = forward_fill(skewed, ["k"], ["t", "id"], {"out": "v"}, 10_000)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in text and "Union" not in text
+@pytest.mark.parametrize("name", CHECKS)
+def test_null_and_text_order(spark, name):
+    df = spark.createDataFrame(
+        [(1, t, i, v) for i, (t, v) in enumerate([(None, "a"), (None, None), ("b", "x"), ("c", None), ("c", "y")])],
+        "k int, t string, id int, v string")
+    assert same(CHECKS[name](df, None), plain(name, df))
+    dated = df.withColumn("t", F.date_add(F.to_date(F.lit("2020-01-01")), F.when(F.col("t").isNotNull(), 40 * F.col("id"))))
+    assert same(CHECKS[name](dated, 30), plain(name, dated))
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, skewed, skewed_facts, skewed_spans):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "plans of keyed operators")
+    forward_fill(skewed, ["k"], ["t", "id"], {"out": "v"})
+    joins.asof_join(skewed_facts, skewed_spans, ["k"], "t", "s", ["span"], [F.desc("span")])
+    joins.interval_join(skewed_facts, skewed_spans, ["k"], "t", "s", "e", ["span"], "2021-01-01 00:00:00")
+    weeks.start_stop_from_spans(skewed_spans, ["k"], "s", "e", "span", "2020-07-01", ["span"])
+    assert list(tracker.getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("tests", "")
 
 
 def test_fill_keeps_values_and_leading_nulls(skewed):
-    filled = forward_fill(skewed, ["k"], ["t", "id"], {"out": "v"}, 100)
+    filled = forward_fill(skewed, ["k"], ["t", "id"], {"out": "v"}, 9)
     assert filled.filter("v IS NOT NULL AND NOT (out <=> v)").isEmpty()
     seen = F.count("v").over(W.partitionBy("k").orderBy("t", "id"))
     assert filled.withColumn("seen", seen).filter("(seen = 0) <> (out IS NULL)").isEmpty()
@@ -112,20 +135,27 @@ def brute_pairs(facts, spans, as_of):
     return rows_of(["k", "fact", "t", "span"], out)
 
 
-@pytest.mark.parametrize("limit", [None, 60])
 @pytest.mark.parametrize("hours", [6, 24 * 28])
-def test_interval_join_against_brute_force(skewed_facts, skewed_spans, limit, hours):
+def test_interval_join_against_brute_force(skewed_facts, skewed_spans, hours):
     joined = joins.interval_join(
         skewed_facts, skewed_spans, ["k"], "t", "s", "e", ["span"], "2021-01-01 00:00:00",
-        bucket_hours=hours, max_group_rows=limit,
+        bucket_hours=hours,
     )
     expected = brute_pairs(skewed_facts, skewed_spans, dt.datetime(2021, 1, 1))
     assert rows_of(joined.columns, joined.collect()) == expected
 
 
-@pytest.mark.parametrize("limit", [None, 300, 50])
+def test_interval_join_of_dates_on_timestamps(spark):
+    facts = spark.sql("SELECT 1 AS k, DATE '2020-01-01' AS t UNION ALL SELECT 1, DATE '2020-01-02'")
+    spans = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ '2020-01-01 15:00:00' AS s, TIMESTAMP_NTZ '2020-01-03 00:00:00' AS e, 7 AS span")
+    pairs = joins.interval_join(facts, spans, ["k"], "t", "s", "e", ["span"], "2021-01-01")
+    assert {r.t.day: r.span for r in pairs.collect()} == {1: None, 2: 7}
+    assert same(pairs, joins.covariate_at(facts, spans, ["k"], "t", "s", "e", ["span"], "span"))
+
+
+@pytest.mark.parametrize("limit", [None, 300, 1])
 def test_asof_join_against_brute_force(skewed_facts, skewed_spans, limit):
-    """Without the size check, with keys split along time, and with a crowded moment as well."""
+    """Chunks of the default size, one chunk, chunks of a day; and a crowded moment."""
     facts = skewed_facts.unionAll(
         skewed_facts.filter("fact = 1").select(
             F.lit(1).alias("k"), F.explode(F.sequence(F.lit(3000), F.lit(3080))).alias("fact"),
@@ -147,8 +177,8 @@ def test_asof_join_against_brute_force(skewed_facts, skewed_spans, limit):
 def test_covariate_at_large_key_agrees(spark, skewed_facts, skewed_spans):
     flat = next_value(skewed_spans.drop("e"), ["k"], ["s", "span"], "s", "e", None)
     args = (["k"], "t", "s", "e", ["span"], "span")
-    plain = joins.covariate_at(skewed_facts, flat, *args, max_group_rows=None)
-    large = joins.covariate_at(skewed_facts, flat, *args, max_group_rows=40)
+    plain = joins.covariate_at(skewed_facts, flat, *args)
+    large = joins.covariate_at(skewed_facts, flat, *args, chunk=2)
     pairs = joins.interval_join(
         skewed_facts, flat, ["k"], "t", "s", "e", ["span"], "2021-01-01 00:00:00"
     )
@@ -159,7 +189,7 @@ def test_week_ranges_of_a_large_entity_agree(skewed_spans):
     flat = next_value(skewed_spans.drop("e"), ["k"], ["s", "span"], "s", "e", None)
     flat = flat.withColumns({"s": F.to_date("s"), "e": F.to_date("e")})
     make = lambda n: weeks.start_stop_from_spans(
-        flat, ["k"], "s", "e", "span", "2020-07-01", ["span"], n
+        flat, ["k"], "s", "e", "span", "2020-07-01", ["span"], chunk=n
     )
     weekly = weeks.weekly_unique(
         weeks.weekly_episodes(flat, "s", "e", "2020-07-01"), ["k"], "s", "span"
@@ -178,22 +208,17 @@ def test_weekly_owned_agrees_on_overlapping_spans(skewed_spans, limit):
     assert same(plain, owned.select(plain.columns))
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_join_unique_of_a_large_key(spark, skewed, how):
-    right = spark.createDataFrame([(1, "one"), (3, "three"), (None, "null"), (101, "x")], "k int, w string")
-    large = join_unique(skewed, right, ["k"], how, 300)
-    assert same(large, skewed.join(right, ["k"], how))
-    assert same(large, join_unique(skewed, right, ["k"], how, None))
-
-
-def test_large_keys_are_bounded(skewed, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_LARGE_KEYS", 10)
-    large = skew.large_keys(skewed, ["k"], 10)
-    assert 1 <= large.n_keys <= 10
-    assert large.rows_of(skewed).count() == large.n_rows
-    assert large.rows_without(skewed).count() == skewed.count() - large.n_rows
+def test_overlapping_spans_keep_their_weeks(spark):
+    """A, with B inside: A, B, A; and two terminations that touch stay two rows."""
+    spans = spark.sql("""SELECT * FROM VALUES (1, 1, DATE '2020-01-06', DATE '2020-03-31', 'A', 'Vol'), (1, 2, DATE '2020-01-20', DATE '2020-01-28', 'B', 'Vol'),
+      (2, 3, DATE '2020-01-06', DATE '2020-01-20', 'J', 'Vol'), (2, 4, DATE '2020-01-20', DATE '2020-02-03', 'J', 'Vol'),
+      (2, 5, DATE '2020-02-03', DATE '2020-02-10', 'J', null) AS t(k, span, s, e, job, term)""")
+    got = weeks.start_stop_from_spans(spans, ["k"], "s", "e", "span", "2021-01-01", ["job"], "term").orderBy("k", "start_date")
+    assert [(r.k, str(r.start_date), str(r.end_week_date), r.job) for r in got.collect()] == [
+        (1, "2020-01-06", "2020-01-13", "A"), (1, "2020-01-20", "2020-01-27", "B"), (1, "2020-02-03", "2020-03-30", "A"),
+        (2, "2020-01-06", "2020-01-13", "J"), (2, "2020-01-20", "2020-01-27", "J"), (2, "2020-02-03", "2020-02-03", "J")]
 
 
 def test_optout_of_a_large_key(spark, skewed):
-    out = clean.optout_filter(skewed, spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"], 300)
+    out = clean.optout_filter(skewed, spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"])
     assert same(out, skewed.filter("k IS NULL OR k NOT IN (1, 2)"))
