@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from datetime import datetime
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ _PROBE = (
     "properties map<string,string>, created_at timestamp, updated_at timestamp, "
     "sample array<string>, probe_seconds double"
 )
+#: What reading a table may raise: Spark does not convert the failure of a task.
+_FAILURES = (PySparkException, Py4JJavaError)
 _NOT_LISTED = "TABLE_OR_VIEW_NOT_FOUND: not in the catalog listing"
 
 
@@ -59,17 +62,20 @@ def _isolated_counts(spark: SparkSession, tables: Mapping[str, DataFrame]):
     """Counts in one job; after a failure table by table, with the error of each."""
     try:
         rows = [(r[0], r[1], None) for r in row_counts(spark, tables).collect()]
-    except PySparkException:
+    except _FAILURES:
         rows = []
         for name, df in tables.items():
             try:
                 rows.append((name, df.count(), None))
-            except PySparkException as e:
+            except _FAILURES as e:
                 rows.append((name, None, _message(e)))
     return local_rows(spark, rows, "table_name string, row_count long, count_error string")
 
 
-def _message(e: PySparkException) -> str:
+def _message(e: Exception) -> str:
+    if isinstance(e, Py4JJavaError):
+        lines = str(e.java_exception.toString()).splitlines()
+        return next((line.strip() for line in lines if "[" in line and "]" in line), lines[0])
     condition = e.getCondition() if hasattr(e, "getCondition") else None
     return f"{condition}: {e}" if condition else str(e)
 
@@ -79,18 +85,18 @@ def _probe(source: CatalogSource, name: str, sample_rows: int):
     start = time.monotonic()
     try:
         df = source.open(name)
-    except PySparkException as e:
+    except _FAILURES as e:
         return (name, False, _message(e), None, None, None, None, None, _since(start)), None
     properties, created, updated, sample = {}, None, None, None
     try:
         properties, created, updated = source.details(name)
-    except PySparkException:
+    except _FAILURES:
         pass  # the table stays accessible without them
     if sample_rows:
         try:
             as_json = df.select(F.to_json(F.struct(*df.columns)).alias("row"))
             sample = [r["row"] for r in as_json.take(sample_rows)]
-        except PySparkException:
+        except _FAILURES:
             pass
     row = (name, True, None, df.columns, properties, created, updated, sample, _since(start))
     return row, df

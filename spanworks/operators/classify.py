@@ -49,6 +49,10 @@ PURPOSE_RULES = (
     Rule(("fact_",), {"business_purpose": "Fact Table"}),
 )
 UNKNOWN_ERROR = "Unknown error"
+ANALYSIS_ERROR = "Analysis error"
+#: An error condition at the start of a text, and names of tables and columns inside one.
+CONDITION = r"^\[?([A-Z][A-Z0-9]*(?:[._][A-Z0-9_]+)+)(?=\]|:|\s|$)"
+NAMES = r"`[^`]*`|'[^']*'|\"[^\"]*\"|\b[A-Za-z]\w*(?:\.\w+)+\b"
 # Classes of access errors, by words in the error condition and message.
 # An unknown cause leaves ``exists`` null: a time-out is no evidence that a table exists.
 ERROR_RULES = (
@@ -116,14 +120,22 @@ def with_report_category(
 
 
 def with_error_class(df: DataFrame, message: str, rules: Sequence[Rule] = ERROR_RULES) -> DataFrame:
-    """Adds ``error_class`` and ``exists`` (null when unknown) for an error text; null stays null."""
-    text = F.upper(F.col(message))
-    known = first_match(text, rules, "error_class", UNKNOWN_ERROR)
+    """Adds ``error_class`` and ``exists`` (null when unknown) for an error text; null stays null.
+
+    A text that begins with an error condition, such as ``[SCHEMA_NOT_FOUND]``, is classed by
+    it alone; one that no rule knows is an analysis error. Other texts are searched, without
+    the quoted and the dotted names in them, which are those of tables and columns.
+    """
+    condition = F.regexp_extract(F.col(message), CONDITION, 1)
+    told = F.upper(F.regexp_replace(F.col(message), NAMES, " "))
+    text = F.when(condition != "", condition).otherwise(told)
+    unknown = F.when(condition != "", F.lit(ANALYSIS_ERROR)).otherwise(F.lit(UNKNOWN_ERROR))
+    known = F.coalesce(first_match(text, rules, "error_class", None), unknown)
     return df.withColumns(
         {
-            "error_class": F.when(text.isNotNull(), known),
+            "error_class": F.when(F.col(message).isNotNull(), known),
             "exists": F.when(
-                text.isNotNull(), first_match(text, rules, "exists", None).cast("boolean")
+                F.col(message).isNotNull(), first_match(text, rules, "exists", None).cast("boolean")
             ),
         }
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,21 +73,17 @@ def quality_profile(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows and exact number of distinct non-null values per column.
 
-    Counted on (column, value) pairs, combined map-side: a frequent value sends one
-    row per map task, and the values of one column spread over all tasks.
+    One aggregate per column, on its own type and reading that column alone; values combine
+    map-side, so a frequent value sends one row per map task. An empty table gives zeros.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"))
-            for c in columns or df.columns
-        ]
-    )
-    values = df.select(F.inline(pairs)).groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return values.groupBy("column_name").agg(
-        F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct")
-    )
+    def counted(name: str) -> DataFrame:
+        value = F.col(f"`{name}`")
+        if isinstance(df.schema[name].dataType, T.MapType):
+            value = F.to_json(value)
+        return df.select(value.alias("v")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("v").alias("n_distinct")).select(
+            F.lit(name).alias("column_name"), "n_rows", "n_distinct")
+
+    return reduce(DataFrame.unionAll, [counted(c) for c in columns or df.columns])
 
 
 def uniqueness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -115,7 +112,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def type_validation(df: DataFrame, expected: T.StructType) -> DataFrame:
-    """Declared against actual type per expected column, and values that do not convert."""
+    """Declared against actual type per expected column, and values that do not come back unchanged."""
     actual = {f.name: f.dataType for f in df.schema.fields}
     measures = [F.count(F.lit(1)).alias("n_rows")]
     for i, f in enumerate(expected.fields):
@@ -123,7 +120,8 @@ def type_validation(df: DataFrame, expected: T.StructType) -> DataFrame:
             broken = F.lit(False)
         else:
             c = F.col(f"`{f.name}`")
-            broken = c.isNotNull() & c.try_cast(f.dataType).isNull()
+            back = c.try_cast(f.dataType).try_cast(actual[f.name])
+            broken = c.isNotNull() & ~c.eqNullSafe(back)
         measures.append(F.count_if(broken).alias(f"cast_failures|{i}"))
     names = [f.name for f in expected.fields]
     types = {

@@ -13,8 +13,10 @@ from spanworks.operators.classify import Rule
 from spanworks.sources.tables import (
     column_catalog,
     flatten_table_list,
+    literal,
     load_table,
     local_rows,
+    quote,
     register_tables,
     table_list,
 )
@@ -157,9 +159,9 @@ def q_catalog_presence(spark, d):
 
 
 def q_table_properties(spark, d):
-    """Properties of the sales tables beside their row counts."""
+    """Properties of all tables beside their row counts."""
     source = _source(spark, d)
-    parts = [source.properties(f"sales.{t}") for t in SCHEMAS["sales"]]
+    parts = [source.properties(f"{s}.{t}") for s, names in SCHEMAS.items() for t in names]
     properties = reduce(DataFrame.unionAll, parts)
     return properties.select("table_name", F.col("properties")["purpose"].alias("purpose")).join(
         _counts(spark, d), "table_name"
@@ -191,6 +193,43 @@ def q_audit_isolated(spark, d):
     )
 
 
+def q_audit_unreadable(spark, d):
+    """The audit with a table of broken files among the others: it alone has no count."""
+    source = _source(spark, d)
+    path = f"{work_dir(spark, 'broken')}/broken.parquet"
+    spark.range(9).selectExpr("repeat(cast(id AS string), 99) AS value").write.text(path)
+    name = source.full_name("stream.broken")
+    spark.sql(f"DROP TABLE IF EXISTS {quote(name)}")
+    spark.sql(f"CREATE TABLE {quote(name)} (a INT) USING parquet LOCATION {literal(path)}")
+    listed = {**TABLE_LIST, "broken": [("stream.broken", "Broken files")]}
+    entries = flatten_table_list(table_list(spark, listed))
+    audited = audit.audit_tables(source, entries)
+    spark.sql(f"DROP TABLE {quote(name)}")
+    return audited.select("table_name", "accessible", "row_count", (F.col("accessible") & F.col("error").isNotNull()).alias("failed"))
+
+
+def q_audit_single(spark, d):
+    """The audit of one table, under its qualified name, with the time of the check."""
+    source = _source(spark, d)
+    audited = audit.audit_table(source, "sales.lineitem", "Order lines", 0)
+    qualified = source.full_name("sales.lineitem").rpartition(".")[2]
+    return audited.select(
+        "table_name", F.lit(qualified).alias("qualified"), "description", "accessible", "row_count", "column_count",
+        (F.abs(F.timestamp_diff("MINUTE", F.col("check_time"), F.current_timestamp())) < 1440).alias("checked_today"))
+
+
+def q_run_audit(spark, d):
+    """The audit of the whole list with its summary per category, joined."""
+    audited, summary = audit.run_audit(_source(spark, d), TABLE_LIST, 0)
+    rows = _entries(spark).join(audited.select("table_name", "row_count"), "table_name")
+    return rows.groupBy("category").agg(F.sum("row_count").alias("rows")).join(summary, "category")
+
+
+def q_report_headers(spark, d):
+    """The main report under its printed headers."""
+    return report.with_headers(_main(spark, d)).select("`S.N.`", "Table", "Accessible")
+
+
 def q_audit_accessible(spark, d):
     return audit.accessible(_audit(spark, d)).select("table_name", "row_count")
 
@@ -532,7 +571,7 @@ FROM entries e LEFT JOIN counts c ON c.table_name = e.table_name""",
     "table_properties": (
         q_table_properties,
         f"""WITH {_COUNTS_SQL}
-SELECT table_name, 'audit' AS purpose, row_count FROM counts WHERE table_name LIKE 'sales.%'""",
+SELECT table_name, 'audit' AS purpose, row_count FROM counts""",
     ),
     "table_times": (
         q_table_times,
@@ -549,6 +588,29 @@ SELECT table_name, schema_name, short_name, description, "exists", accessible, e
         f"""WITH {_AUDIT_SQL}
 SELECT table_name, row_count, CAST(CASE WHEN accessible THEN least(row_count, 5) ELSE 0 END AS INTEGER) AS sampled FROM audit""",
     ),
+    "audit_unreadable": (
+        q_audit_unreadable,
+        f"""WITH {_AUDIT_SQL}
+SELECT table_name, accessible, row_count, false AS failed FROM audit
+UNION ALL SELECT 'stream.broken', true, NULL, true""",
+    ),
+    "audit_single": (
+        q_audit_single,
+        """SELECT 'sales.lineitem' AS table_name, 'lineitem' AS qualified, 'Order lines' AS description, true AS accessible,
+  (SELECT count(*) FROM lineitem) AS row_count,
+  (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)) AS column_count, true AS checked_today""",
+    ),
+    "run_audit": (
+        q_run_audit,
+        f"""WITH {_AUDIT_SQL}
+SELECT category, CAST(sum(row_count) AS BIGINT) AS rows, count(*) AS total, count(*) FILTER (WHERE accessible) AS accessible_count,
+       count(*) FILTER (WHERE "exists") AS existing_count
+FROM entries JOIN audit USING (table_name) GROUP BY category""",
+    ),
+    "report_headers": (
+        q_report_headers,
+        f"""WITH {_MAIN_SQL} SELECT serial AS "S.N.", "table" AS "Table", accessible AS "Accessible" FROM main""",
+    ),
     "audit_accessible": (
         q_audit_accessible, f"WITH {_AUDIT_SQL} SELECT table_name, row_count FROM audit WHERE accessible"
     ),

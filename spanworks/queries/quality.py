@@ -52,16 +52,16 @@ def q_quality_profile(spark, d):
 
 
 def q_quality_sketch(spark, d):
-    """Whether the one-pass distinct counts come within a tenth of the exact ones."""
+    """The exact distinct counts, and whether the one-pass ones come within a tenth of them."""
     gaps = _with_gaps(spark, d)
     exact = quality.distinct_counts(gaps).select("column_name", F.col("n_distinct").alias("exact"))
     joined = quality.quality_profile(gaps).join(exact, "column_name")
     off = F.abs(F.col("n_distinct") - F.col("exact"))
-    return joined.select("column_name", (off <= F.col("exact") * 0.1).alias("close"))
+    return joined.select("column_name", F.col("exact"), (off <= F.col("exact") * 0.1).alias("close"))
 
 
 def q_quick_view(spark, d):
-    return quality.quick_view(load_table(spark, d, "customer").drop("c_acctbal"), ["c_custkey"], 3)
+    return quality.quick_view(load_table(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)")), ["c_custkey"], 3)
 
 
 def q_duplicate_keys(spark, d):
@@ -111,15 +111,15 @@ QUERIES = {
     "quality_sketch": (
         q_quality_sketch,
         f"WITH {_GAPS_SQL} " + " UNION ALL ".join(
-            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) > 0 AS close FROM gaps"
+            f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS exact, true AS close FROM gaps"
             for c in _ORDER_COLUMNS
         ),
     ),
     "quick_view": (
         q_quick_view,
         """SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey
-       || ',"c_mktsegment":"' || c_mktsegment || '"}' AS row,
-       (SELECT count(*) FROM customer) AS n_rows, 4 AS n_columns
+       || ',"c_acctbal":' || CAST(c_acctbal AS DECIMAL(18, 2)) || ',"c_mktsegment":"' || c_mktsegment || '"}' AS row,
+       (SELECT count(*) FROM customer) AS n_rows, 5 AS n_columns
 FROM customer ORDER BY c_custkey LIMIT 3""",
     ),
     "duplicate_keys": (
@@ -130,8 +130,8 @@ GROUP BY ALL HAVING count(*) > 1""",
     "type_validation": (
         q_type_validation,
         """WITH failures AS (
-  SELECT count(*) FILTER (WHERE TRY_CAST(l_quantity AS INTEGER) IS NULL) AS quantity,
-         count(*) FILTER (WHERE TRY_CAST(l_shipdate AS DATE) IS NULL) AS shipdate,
+  SELECT count(*) FILTER (WHERE l_quantity <> trunc(l_quantity)) AS quantity,
+         count(*) FILTER (WHERE l_shipdate <> date_trunc('day', l_shipdate)) AS shipdate,
          count(*) FILTER (WHERE TRY_CAST(l_returnflag AS INTEGER) IS NULL) AS returnflag
   FROM lineitem)
 SELECT 'l_orderkey' AS column_name, 'bigint' AS expected, 'bigint' AS actual, true AS ok, 0 AS cast_failures

@@ -82,6 +82,15 @@ def q_snapshot_append(spark, d):
     return _reread(spark, saver, orders.schema)
 
 
+def q_snapshot_ignore(spark, d):
+    """A second save into the same path, of other rows, is ignored."""
+    saver = _saver(spark, save_mode="ignore", include_timestamp=False)
+    orders = load_table(spark, d, "orders")
+    orders.transform(saver.save_transform()(large_orders))
+    orders.filter("o_orderstatus = 'F'").transform(saver.save_transform()(large_orders))
+    return _reread(spark, saver, orders.schema, 0)
+
+
 def q_snapshot_coalesced(spark, d):
     saver = _saver(spark, coalesce_partitions=2)
     orders = load_table(spark, d, "orders")
@@ -154,6 +163,7 @@ QUERIES = {
 UNION ALL SELECT event_id, 'after' FROM events WHERE event_type = 'error'""",
     ),
     "snapshot_append": (q_snapshot_append, f"{_LARGE} UNION ALL {_LARGE}"),
+    "snapshot_ignore": (q_snapshot_ignore, _LARGE),
     "snapshot_coalesced": (
         q_snapshot_coalesced, f"SELECT count(*) AS n, true AS few_files FROM ({_LARGE})"
     ),

@@ -88,6 +88,13 @@ def test_failed_count_keeps_the_table(spark, audited):
     assert "boom" in rows["b"].count_error
 
 
+def test_unreadable_files_keep_the_other_tables(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 this is no parquet file PAR1")
+    bad = spark.read.schema("a int").parquet(str(tmp_path / "bad.parquet"))
+    rows = {r.table_name: r for r in audit._isolated_counts(spark, {"g": spark.range(3), "b": bad.filter("a > 0")}).collect()}
+    assert rows["g"].row_count == 3 and rows["b"].row_count is None and rows["b"].count_error
+
+
 def test_presence_ignores_case(spark):
     entries = local_rows(spark, [("S.T",), ("s.x",)], "table_name string")
     listing = local_rows(spark, [("s.t",)], "table_name string")

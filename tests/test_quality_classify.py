@@ -80,8 +80,21 @@ def test_error_classes(spark):
         ("Connection refused", "Connection error", None),
         ("out of memory", "Memory error", None),
         ("boom", "Unknown error", None),
+        ("[UNSUPPORTED_FEATURE.X] not for hr.employee_permission", "Analysis error", None),
+        ("[UNRESOLVED_COLUMN.WITH_SUGGESTION] `memory_mb`", "Analysis error", None),
+        ("cannot read hr.permission_memory", "Unknown error", None),
         (None, None, None),
     ]
     df = spark.createDataFrame([(i, m) for i, (m, _, _) in enumerate(cases)], "i int, m string")
     rows = classify.with_error_class(df, "m").orderBy("i").collect()
     assert [(r.error_class, r.exists) for r in rows] == [(c, e) for _, c, e in cases]
+
+
+def test_empty_table_and_lossy_casts(spark):
+    empty = spark.createDataFrame([], "a int, b string")
+    assert {(r.column_name, r.n_rows, r.n_distinct) for r in quality.uniqueness(empty, ["a", "b"]).collect()} == {("a", 0, 0), ("b", 0, 0)}
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(1.5,), (2.0,), (None,)], "x double")
+    row = quality.type_validation(df, T.StructType([T.StructField("x", T.IntegerType())])).first()
+    assert row.cast_failures == 1
