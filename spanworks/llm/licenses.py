@@ -14,7 +14,8 @@ the directories above them, so the join is small whatever a directory holds.
 
 Cases: null and empty texts have no licence of their own and may inherit one. A null path
 has no directory. Among equally similar templates the first in order counts. Rows that
-repeat a path each get a result. An empty table gives no rows; extra columns pass through.
+repeat a path each get a result. The top directory, with or without a slash, is '' and above
+all others. An empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def scan(files: DataFrame, notices=TEMPLATES, similarity: float = SIMILARITY) ->
     parts = F.split("_dir", "/")
     above = scanned.where(F.col("_dir").isNotNull()).select("_dir", "_key").distinct().select(
         "_dir", "_key", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn(
-        "up", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")).where("depth > 0 or _dir like '/%' or up = ''")
+        "up", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     inherited = (
         above.join(speaking.withColumnRenamed("_dir", "up"), "up").groupBy("_dir", "_key")
         .agg(F.max(F.struct("depth", "up", "best")).alias("from"))

@@ -76,8 +76,8 @@ def test_licences(spark):
     assert len(rows) == len(FILES)
     got = [(rows[k].licence, rows[k].inherited_from) for k in range(len(FILES))]
     assert got == [
-        ("Apache-2.0", None), ("MIT", "a"), ("MIT", "a"), ("MIT", None), ("MIT", "a"), (None, None),
-        ("all-rights-reserved", None), ("all-rights-reserved", "a/x/y/z"), (None, None), ("all-rights-reserved", None), (None, None),
+        ("Apache-2.0", None), ("MIT", "a"), ("MIT", "a"), ("MIT", None), ("MIT", "a"), ("CC-BY-4.0", ""),
+        ("all-rights-reserved", None), ("all-rights-reserved", "a/x/y/z"), (None, None), ("all-rights-reserved", None), ("CC-BY-4.0", ""),
         ("MIT", "a"), ("CC-BY-4.0", ""), ("CC-BY-4.0", None)]
     assert rows[0].licence_note == "s"
     empty = files.limit(0)
