@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanworks.operators.clean import optout_filter
 from spanworks.operators.joins import dedup_left_join
-from spanworks.operators.people import mgr_sup_id, termination_type
+from spanworks.operators.people import employment_class, mgr_sup_id, termination_type
 from spanworks.operators.teams import team_weekly
 from spanworks.operators.weeks import expand_weeks, merge_ranges, week_ranges
+from spanworks.sinks.episodes import write_start_stop
+from spanworks.sources.loads import load_dimension, load_fact, load_hierarchy
 from spanworks.workdir import materialize
 
 
@@ -48,6 +50,17 @@ def start_stop_dataset(inputs: Inputs, settings: Settings) -> DataFrame:
     read twice; weeks are listed only inside the team aggregation, which combines
     before its shuffle.
     """
+    episodes = _episodes(inputs, settings)
+    return _with_teams(episodes, _teams(episodes, settings))
+
+
+def _with_teams(episodes: DataFrame, weekly: DataFrame) -> DataFrame:
+    first_week = weekly.withColumnRenamed("week_start", "start_date")
+    return episodes.drop("since_week", "_leaves").join(first_week, ["mgr_sup_id", "start_date"], "left")
+
+
+def _episodes(inputs: Inputs, settings: Settings) -> DataFrame:
+    """Episodes with the manager of the person; written once, as teams and result both read them."""
     entity = list(settings.entity)
     active = optout_filter(inputs.assignments, inputs.people.filter("optout"), entity)
     # an end after as_of is not known yet: the span is open and the event censored
@@ -64,10 +77,37 @@ def start_stop_dataset(inputs: Inputs, settings: Settings) -> DataFrame:
     managers = mgr_sup_id(inputs.hierarchy, "mgr_id", "sup_id", settings.default_managers)
     managers = managers.select(*entity, "mgr_sup_id").filter("mgr_sup_id IS NOT NULL")
     episodes = dedup_left_join(episodes, managers, entity, [F.asc("mgr_sup_id")])
-    if settings.write_episodes:
-        episodes = materialize(episodes, "episodes")
-    first_week = _teams(episodes, settings).withColumnRenamed("week_start", "start_date")
-    return episodes.drop("since_week", "_leaves").join(first_week, ["mgr_sup_id", "start_date"], "left")
+    return materialize(episodes, "episodes") if settings.write_episodes else episodes
+
+
+def main_run(
+    inputs: Inputs, settings: Settings, path: str,
+    working_time: Mapping[str, str], permanence: Mapping[str, str], job: str = "job_cd",
+) -> tuple[DataFrame, DataFrame]:
+    """The whole run, from raw tables to written results: (episodes, weekly teams), read back.
+
+    Loads clean the raw tables, with one row per person and manager relations without
+    placeholders and self-management; the job code gives working time and permanence. The
+    episodes carry the team figures of their first week; the figures of all weeks are the
+    second table. Both are written below ``path``.
+    """
+    entity = list(settings.entity)
+    assignments = load_fact(inputs.assignments, ["start_date", "end_date"], [*entity, "start_date"])
+    classed = employment_class(assignments, job, working_time, permanence)
+    people = load_dimension(inputs.people, entity, [F.desc("optout")])
+    managers = mgr_sup_id(inputs.hierarchy, "mgr_id", "sup_id", settings.default_managers)
+    managers = load_hierarchy(managers, entity[0], "mgr_sup_id")
+    settings = replace(settings, covariates=[*settings.covariates, "working_time", "permanence"], default_managers=())
+    loaded = Inputs(classed, people, managers.select(
+        *entity, F.lit(None).cast("string").alias("mgr_id"), F.col("mgr_sup_id").alias("sup_id")))
+    spark = inputs.assignments.sparkSession
+    episodes = _episodes(loaded, settings)
+    weekly = _teams(episodes, settings)
+    weekly.write.mode("overwrite").parquet(f"{path}/teams")
+    weekly = spark.read.schema(weekly.schema).parquet(f"{path}/teams")
+    joined = _with_teams(episodes, weekly)
+    write_start_stop(joined, f"{path}/episodes")
+    return spark.read.parquet(f"{path}/episodes"), weekly
 
 
 def _teams(episodes: DataFrame, settings: Settings) -> DataFrame:

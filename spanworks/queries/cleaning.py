@@ -60,7 +60,7 @@ def q_clean_end_dates(spark, d):
 
 
 def q_clean_strings(spark, d):
-    return clean.clean_strings(load_table(spark, d, "documents"), ["text", "source"])
+    return clean.clean_strings(load_table(spark, d, "documents"))
 
 
 def q_parse_dates(spark, d):
@@ -233,7 +233,8 @@ SELECT entity, span_id, end_date, coalesce(end_date, DATE '9999-12-31') AS clean
     ),
     "clean_strings": (
         q_clean_strings,
-        f"""SELECT doc_id, nullif(trim(regexp_replace(text, {_WS})), '') AS text, lang,
+        f"""SELECT doc_id, nullif(trim(regexp_replace(text, {_WS})), '') AS text,
+       nullif(trim(regexp_replace(lang, {_WS})), '') AS lang,
        nullif(trim(regexp_replace(source, {_WS})), '') AS source, n_chars FROM documents""",
     ),
     "parse_dates": (

@@ -8,7 +8,7 @@ from spanworks.functions.dates import iso_week
 from spanworks.operators import teams, weeks
 from spanworks.operators.ordered import forward_fill, next_value, previous_value
 from spanworks.operators.people import termination_type
-from spanworks.plans.workforce import rounded, start_stop_dataset
+from spanworks.plans.workforce import main_run, rounded, start_stop_dataset
 from spanworks.queries.mapping import (
     AS_OF,
     SPANS_SQL,
@@ -21,6 +21,7 @@ from spanworks.queries.mapping import (
     workforce_spans,
 )
 from spanworks.sources.tables import load_table
+from spanworks.workdir import work_dir
 
 _ENTITY = ["entity"]
 _ORDER_WEEKS = WEEKLY_SQL.format(source="spans", entity="entity")
@@ -202,6 +203,24 @@ def q_start_stop_dataset(spark, d):
     return rounded(start_stop_dataset(*workforce(spark, d)))
 
 
+_FULL_TIME = {"1-URGENT": "Full time", "2-HIGH": "Full time", "3-MEDIUM": "Part time"}
+_REGULAR = {"1-URGENT": "Regular", "5-LOW": "Temporary"}
+
+
+def q_main_run(spark, d):
+    """The whole run, from loads to the written table, read back."""
+    inputs, settings = workforce(spark, d)
+    episodes, _ = main_run(inputs, settings, work_dir(spark, "main"), _FULL_TIME, _REGULAR)
+    return rounded(episodes)
+
+
+def q_main_run_teams(spark, d):
+    """The second table of the whole run: team figures of every week."""
+    inputs, settings = workforce(spark, d)
+    _, weekly = main_run(inputs, settings, work_dir(spark, "main"), _FULL_TIME, _REGULAR)
+    return rounded(weekly)
+
+
 _DATASET_SQL = f"""WITH {_TYPED_SQL},
 active AS (
   SELECT t.* FROM typed t
@@ -231,6 +250,16 @@ SELECT e.pers_id, salary, job_cd, term_type, {_EPISODE_COLUMNS}, l.mgr_sup_id,
 FROM episodes e LEFT JOIN led l USING (pers_id)
 LEFT JOIN teams t ON t.mgr_sup_id = l.mgr_sup_id AND t.week_start = e.start_date"""
 
+# The whole run leaves out people who would manage themselves.
+_MAIN_SQL = _DATASET_SQL.replace(
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey)",
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey = 0 OR c_nationkey <> c_custkey)")
+_MAIN_RUN_SQL = f"""SELECT *, year(start_date)::INTEGER AS start_year,
+  CASE WHEN job_cd IN ('1-URGENT', '2-HIGH') THEN 'Full time' WHEN job_cd = '3-MEDIUM' THEN 'Part time' ELSE 'Unknown' END AS working_time,
+  CASE job_cd WHEN '1-URGENT' THEN 'Regular' WHEN '5-LOW' THEN 'Temporary' ELSE 'Unknown' END AS permanence
+FROM ({_MAIN_SQL})"""
+_MAIN_TEAMS_SQL = _MAIN_SQL[: _MAIN_SQL.index("SELECT e.pers_id")] + "SELECT * FROM teams"
+
 _LONG_SPANS_SQL = """long_spans AS (
   SELECT o_custkey AS entity, o_orderkey AS span_id, CAST(o_orderdate AS DATE) AS start_date,
          CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 60
@@ -327,4 +356,6 @@ SELECT manager, count(*) AS person_weeks, count(DISTINCT week_start) AS n_weeks
 FROM led SEMI JOIN valid USING (manager, week_start) GROUP BY manager""",
     ),
     "start_stop_dataset": (q_start_stop_dataset, _DATASET_SQL),
+    "main_run": (q_main_run, _MAIN_RUN_SQL),
+    "main_run_teams": (q_main_run_teams, _MAIN_TEAMS_SQL),
 }

@@ -67,8 +67,8 @@ def q_dedup_latest(spark, d):
 
 
 def q_dedup_left_join(spark, d):
-    """Orders with the profile of their first line, of which there may be several records."""
-    lines = load_table(spark, d, "lineitem").filter("l_linenumber = 1").select(
+    """Orders with the latest of their lines."""
+    lines = load_table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), *_LINE_ORDER
     )
     orders = load_table(spark, d, "orders").select("o_orderkey", "o_custkey")
@@ -199,7 +199,7 @@ LEFT JOIN region ON n_regionkey = r_regionkey""",
     "dedup_left_join": (
         q_dedup_left_join,
         f"""SELECT o_orderkey, o_custkey, l_shipdate, l_extendedprice, l_partkey, l_suppkey
-FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1 QUALIFY {_LINE_RANK})
+FROM orders LEFT JOIN (SELECT * FROM lineitem QUALIFY {_LINE_RANK.replace(", l_linenumber", "")})
   ON l_orderkey = o_orderkey""",
     ),
     "optout_filter": (

@@ -41,4 +41,5 @@ def load_hierarchy(
     df = lower_case_names(raw).withColumnsRenamed(dict(renames or {}))
     if default_ids:
         df = null_default_ids(df, [manager], default_ids)
-    return df.filter(F.col(manager).isNotNull() & (F.col(manager) != F.col(entity)))
+    own = F.col(manager).cast("string") == F.col(entity).cast("string")
+    return df.filter(F.col(manager).isNotNull() & ~F.coalesce(own, F.lit(False)))
