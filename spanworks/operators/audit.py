@@ -17,6 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanworks.functions.text import name_part
 from spanworks.operators.classify import with_error_class
@@ -29,6 +30,8 @@ _PROBE = (
 )
 #: What reading a table may raise: Spark does not convert the failure of a task.
 _FAILURES = (PySparkException, Py4JJavaError)
+#: Longest text of a cell in a sampled row.
+SAMPLE_CHARS = 200
 _NOT_LISTED = "TABLE_OR_VIEW_NOT_FOUND: not in the catalog listing"
 
 
@@ -80,6 +83,16 @@ def _message(e: Exception) -> str:
     return f"{condition}: {e}" if condition else str(e)
 
 
+def _cut(df: DataFrame) -> list:
+    """The columns, texts and nested values cut to ``SAMPLE_CHARS`` before rows leave the executors."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        plain = isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))
+        out.append((c if plain else F.substring(c.cast("string"), 1, SAMPLE_CHARS)).alias(f.name))
+    return out
+
+
 def _probe(source: CatalogSource, name: str, sample_rows: int):
     """Metadata row of one table, and the table if it opened."""
     start = time.monotonic()
@@ -94,7 +107,7 @@ def _probe(source: CatalogSource, name: str, sample_rows: int):
         pass  # the table stays accessible without them
     if sample_rows:
         try:
-            as_json = df.select(F.to_json(F.struct(*df.columns)).alias("row"))
+            as_json = df.select(F.to_json(F.struct(*_cut(df))).alias("row"))
             sample = [r["row"] for r in as_json.take(sample_rows)]
         except _FAILURES:
             pass
