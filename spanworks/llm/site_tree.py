@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.llm.graph import join_dealt_anew
 from spanworks.llm.words import prepare
 from spanworks.workdir import materialize
 
 #: Pages that a node needs on its host, and the importance from which it stays.
 MIN_PAGES, IMPORTANCE = 5, 0.2
+#: Tasks that may share the pages of one site.
+PARTS = 32
 
 # Elements of HTML by their role here.
 BLOCKS = frozenset(
@@ -239,5 +240,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, importance: float = IM
     nodes = plain.where("site is not null").select("site", "html").mapInArrow(_nodes, "site long, path long, shape long, text long")
     nodes = materialize(nodes, "nodes")
     low = low_branches(nodes, min_pages, importance)
-    joined = join_dealt_anew(plain, low, "site", "left").select("page_id", "url", "html", "low")
+    # the pages of a site are dealt to several tasks, each with a copy of the site's list
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
+    copies = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    joined = plain.withColumn("part", part).join(copies, ["site", "part"], "left").select("page_id", "url", "html", "low")
     return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
