@@ -127,8 +127,14 @@ def interval_join(
         F.col(start).cast(kind).alias("_start"), stop.alias("_stop"),
         *[F.col(v).alias(n) for v, n in renamed.items()],
     ).filter("_start < _stop")
-    listed = lasting.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_start")), bucket(F.col("_stop")))))
     at = F.col(time).cast(kind)
+    # buckets before the first or after the last fact are not listed; null without facts
+    limits = facts.agg(F.struct(F.min(at).alias("first"), F.max(at).alias("last"))).scalar()
+    lasting = lasting.withColumn("_facts", limits)
+    lasting = lasting.filter("_stop > _facts.first and _start <= _facts.last")
+    touched = F.sequence(
+        bucket(F.greatest(F.col("_start"), F.col("_facts.first"))), bucket(F.least(F.col("_stop"), F.col("_facts.last"))))
+    listed = lasting.withColumn("_bucket", F.explode(touched))
     placed = facts.withColumns({"_fact_bucket": bucket(at), "_at": at})
     on = F.col("_fact_bucket") == F.col("_bucket")
     for k, n in zip(keys, names, strict=True):
