@@ -84,6 +84,49 @@ def test_licences(spark):
     assert licenses.scan(empty).count() == 0
 
 
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {}General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version."""
+BSD_HEADER = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+"""
+NOTICES = [
+    ("This is under the GNU General Public License, version 2", "GPL-2.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY 7.0.", None), ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), (" * SPDX-License-Identifier: MIT", "MIT"),
+    *((GPL_HEADER.format(kind, version), label) for kind, version, label in (
+        ("", 2, "GPL-2.0"), ("", 3, "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", 3, "LGPL-3.0"), ("Affero ", 3, "AGPL-3.0"))),
+    (BSD_HEADER, "BSD"), (BSD_HEADER + " * 1. in source\n * 2. in binary form must reproduce", "BSD-2-Clause"),
+    (BSD_HEADER + " * 1. in source\n * 2. in binary form must reproduce\n * 3. Neither the name of the", "BSD-3-Clause"),
+]
+
+
+def test_wrapped_notices_and_variants(spark):
+    """Headers over several comment lines of a long file, and variants and versions told apart."""
+    code = "".join(f"x{k} = call_of({k}, some other words)\n" for k in range(300))
+    rows = [(k, f"d{k}/f", notice + "\n" + code) for k, (notice, _) in enumerate(NOTICES)]
+    files = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in licenses.scan(files).collect()}
+    assert [got[k] for k in range(len(NOTICES))] == [label for _, label in NOTICES]
+
+
+def test_whole_licence_texts(spark):
+    """Every whole text is known, speaks for its directory, and is not taken for another one."""
+    texts = dict(licenses.TEXTS)
+    texts["AGPL-3.0"] = texts["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1)
+    texts["BSD-2-Clause"] = texts.pop("BSD")
+    rows = [row for label, t in texts.items() for row in ((f"{label}/text", t), (f"{label}/sub/code", "plain words"))]
+    files = spark.createDataFrame(rows, "path string, text string")
+    for r in licenses.scan(files).collect():
+        assert r.licence == r.path.split("/")[0]
+        assert (r.inherited_from is None) == r.path.endswith("text")
+
+
 def test_cosines_by_force(spark):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
