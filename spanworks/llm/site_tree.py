@@ -8,6 +8,12 @@ left out of each page, as are elements whose name, class, id or role says that t
 no part of an article. If a page marks its main text (``main`` or ``article``), only that
 is taken, and the tree is not applied within it: passages repeated there are content.
 
+A name is the whole of a class or id, its first word (``sidebar-left``), or its last one after
+words of place (``site-footer``); other words (``has-sidebar``, ``category-advertising``) tell a
+state or a subject. Names and low importance never leave out the page, ``main`` and ``article``
+themselves or a ``main`` below the named element; an ``article`` below one is taken if the page
+marks no other text and it is longer than what else is left.
+
 The marked roles are needed because menus and adverts that differ from page to page have
 a high entropy and would stay by the tree alone.
 
@@ -54,6 +60,11 @@ LEFT_OUT_NAMES = frozenset(
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
 #: Outside the marked main text only.
 HEADERS = frozenset(["header"])
+#: Words before the one that names the element ("site-footer"), and after one that only tells a state ("sidebar-open").
+PLACES = frozenset("site main page global top bottom left right primary secondary mobile desktop side sub inner outer fixed sticky the".split())
+STATES = frozenset("open opened closed active visible enabled disabled collapsed expanded loaded".split())
+#: Elements that hold the page or its main text: their names tell nothing against it.
+WHOLE = frozenset("html body main article".split())
 #: A start tag of a key closes an open element of its values, up to the nearest of ``SCOPES``.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -70,8 +81,17 @@ _SPACE = re.compile(r"\s+")
 _MASK = (1 << 63) - 1
 
 
+def _roles(name: str) -> tuple[str, ...]:
+    """The words of a class or id that may say what the element is: the whole, the first, and the last after words of place."""
+    words = [w for w in _PARTS.split(name) if w]
+    if len(words) < 2:
+        return tuple(words)
+    first = () if words[-1] in STATES else (words[0],)
+    return (*first, words[-1]) if PLACES.issuperset(words[:-1]) else first
+
+
 def _label(tag: str, attributes: str) -> tuple[str, set[str], set[str]]:
-    """The node's name in the tree, the words of its class and id, and its roles."""
+    """The node's name in the tree, the telling words of its class and id, and its roles."""
     names, roles = set(), set()
     for key, value in _NAMED.findall(attributes) if attributes else ():
         value = entities.unescape(value.strip("\"'")).lower()
@@ -80,14 +100,19 @@ def _label(tag: str, attributes: str) -> tuple[str, set[str], set[str]]:
         else:
             names.update(value.split())
     label = f"{tag} {' '.join(sorted(names))}"
-    return label, {p for n in names for p in _PARTS.split(n)}, roles
+    return label, {w for n in names for w in _roles(n)}, roles
+
+
+SOFT, HARD = 1, 2
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "main", "shape", "text")
+    """``out`` is 0 in the text, ``SOFT`` if a name or the tree leaves it out, ``HARD`` if its kind does; ``held`` is in an article in a ``SOFT`` one."""
+
+    __slots__ = ("tag", "path", "out", "main", "held", "shape", "text")
 
-    def __init__(self, tag: str, path: int, out: bool, main: bool):
-        self.tag, self.path, self.out, self.main, self.shape, self.text = tag, path, out, main, 0, 0
+    def __init__(self, tag: str, path: int, out: int, main: bool, held: bool):
+        self.tag, self.path, self.out, self.main, self.held, self.shape, self.text = tag, path, out, main, held, 0, 0
 
 
 class Page:
@@ -101,7 +126,8 @@ class Page:
         self.low, self.with_nodes = low, with_nodes
         self.blocks: list[tuple[str, bool]] = []
         self.nodes: dict[int, tuple[int, int]] = {}
-        self.stack = [Element("", 1, False, False)]
+        self.stack = [Element("", 1, 0, False, False)]
+        self.held: list[str] = []
         self.run: list[str] = []
         at = 0
         while found := _TOKEN.search(html, at):
@@ -123,7 +149,7 @@ class Page:
             self.pop()
 
     def add(self, text: str) -> None:
-        if text and not self.stack[-1].out:
+        if text and (not self.stack[-1].out or self.stack[-1].held):
             self.run.append(entities.unescape(text) if "&" in text else text)
 
     def flush(self) -> None:
@@ -131,7 +157,9 @@ class Page:
             return
         text = _SPACE.sub(" ", "".join(self.run)).strip()
         self.run = []
-        if text:
+        if text and self.stack[-1].held:
+            self.held.append(text)
+        elif text:
             self.blocks.append((text, self.stack[-1].main))
             if self.with_nodes:
                 data = text.encode("utf-8", "replace")
@@ -168,18 +196,28 @@ class Page:
         label, names, roles = _label(tag, attributes)
         above = self.stack[-1]
         path = (above.path * 0x5851F42D4C957F2D + zlib.crc32(label.encode("utf-8", "replace")) + 1) & _MASK
-        main = above.main or tag in ("article", "main") or "main" in roles
-        out = (
-            above.out or tag in LEFT_OUT or bool(names & LEFT_OUT_NAMES) or bool(roles & LEFT_OUT_ROLES)
-            or (not main and (tag in HEADERS or bool(names & HEADERS) or path in self.low))
-        )
-        if out and not above.out:
+        root = tag == "main" or "main" in roles
+        main = above.main or root or tag == "article"
+        whole = root or tag in WHOLE
+        named = not whole and bool(names & LEFT_OUT_NAMES)
+        out, held = above.out, False
+        if out == HARD or tag in LEFT_OUT or roles & LEFT_OUT_ROLES:
+            out = HARD
+        elif out == SOFT and root:
+            out = 0
+        elif out == SOFT:
+            held = above.held or tag == "article"
+            out = HARD if above.held and named else SOFT
+        elif named or (not main and tag in HEADERS) or (not main and not whole and (names & HEADERS or path in self.low)):
+            out = HARD if main else SOFT
+        held = held and out == SOFT
+        if out != above.out or held != above.held:
             self.flush()
         if self.with_nodes:
             mark = label.encode("utf-8", "replace")
             for e in self.stack:
                 e.shape = zlib.crc32(mark, e.shape)
-        self.stack.append(Element(tag, path, out, main and not out))
+        self.stack.append(Element(tag, path, out, main and not out, held))
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -196,7 +234,9 @@ class Page:
 
     def text(self) -> str:
         marked = any(main for _, main in self.blocks)
-        return "\n\n".join(text for text, main in self.blocks if main or not marked)
+        text = "\n\n".join(text for text, main in self.blocks if main or not marked)
+        held = "" if marked else "\n\n".join(self.held)
+        return held if len(held) > len(text) else text
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,6 +169,15 @@ PAGES = [
     ("<article><p>a</p><aside>s</aside>tail</article>", "a\n\ntail"), ("<ul><li>a<li>b</ul>c", "a\n\nb\n\nc"),
     ("<p>a\xa0 b&nbsp;c\n\td</p>", "a b c d"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n\n2\n\n3"),
     ("<div role=navigation>n</div><div class='cookie-notice'>k</div>t</div></p>", "t"), ("<article></article>", ""),
+    ("<body class='has-sidebar modal-open'><article><p>t</p></article></body>", "t"), ("<body class=sidebar><p>t</p></body>", "t"),
+    ("<div id=content-with-sidebar><article class='post category-advertising'><p>t</p></article></div>", "t"),
+    ("<article class='ad widget'><p>t</p></article>", "t"), ("<div class='sidebar-open'><p>t</p></div>", "t"),
+    ("<div class=sidebar><main class=widget><p>t</p></main>s</div>x", "t"),
+    ("<div class='widget wide'><p>w</p><article><p>The text.</p><div class=share>s</div></article></div>x", "The text."),
+    ("<article><p>t</p></article><div id=comments><article><p>A comment, longer.</p></article></div>", "t"),
+    ("<div class=related><article>r</article></div><p>Without a mark.</p>", "Without a mark."),
+    ("<div class=sidebar-left>s</div><div class=site-footer>f</div><div class='main_nav top-ad'>n</div><p class=shared-memory>t</p>", "t"),
+    ("<article role=main class=nav><p>t</p></article>", "t"), ("<div class=sticky-header><p>h</p></div><p>t</p>", "t"),
     ("<p>&#233;&#x4e2d;</p>", "é中"), ("<title>t</title><form>f<input></form><p>x</p>", "x"),
 ]
 
