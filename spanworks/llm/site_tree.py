@@ -6,7 +6,9 @@ host's pages; the entropy of their distribution, as a share of the greatest poss
 is the node's importance. Branches of low importance are the site's own furniture and are
 left out of each page, as are elements whose name, class, id or role says that they are
 no part of an article. If a page marks its main text (``main`` or ``article``), only that
-is taken, and the tree is not applied within it: passages repeated there are content.
+is taken, and within it the tree leaves out only branches with a class or id of their own:
+passages that merely repeat there are content. Should nothing of the marked text be left, as
+on a host of copies of one page, the tree is not applied within it.
 
 A name is the whole of a class or id, its first word (``sidebar-left``), or its last one after
 words of place (``site-footer``); other words (``has-sidebar``, ``category-advertising``) tell a
@@ -107,26 +109,28 @@ SOFT, HARD = 1, 2
 
 
 class Element:
-    """``out`` is 0 in the text, ``SOFT`` if a name or the tree leaves it out, ``HARD`` if its kind does; ``held`` is in an article in a ``SOFT`` one."""
+    """``out`` is 0 in the text, ``SOFT`` if a name or the tree leaves it out, ``HARD`` if its kind does; ``held`` is in an article in a ``SOFT`` one; ``branch`` may be a node of the tree."""
 
-    __slots__ = ("tag", "path", "out", "main", "held", "shape", "text")
+    __slots__ = ("tag", "path", "out", "main", "held", "branch", "shape", "text")
 
-    def __init__(self, tag: str, path: int, out: int, main: bool, held: bool):
-        self.tag, self.path, self.out, self.main, self.held, self.shape, self.text = tag, path, out, main, held, 0, 0
+    def __init__(self, tag: str, path: int, out: int, main: bool, held: bool, branch: bool):
+        self.tag, self.path, self.out, self.main, self.held, self.branch = tag, path, out, main, held, branch
+        self.shape, self.text = 0, 0
 
 
 class Page:
     """One pass over a page: its blocks of text, and the nodes of its tree.
 
     ``blocks`` has (text, whether in the marked main text); ``nodes`` has for each path
-    outside it the hashes of structure and text below.
+    outside it, or with a class or id inside it, the hashes of structure and text below.
+    ``trimmed`` tells whether the tree left out a branch inside it; not if ``within`` is false.
     """
 
-    def __init__(self, html: str, low: frozenset[int] = frozenset(), with_nodes: bool = False):
-        self.low, self.with_nodes = low, with_nodes
+    def __init__(self, html: str, low: frozenset[int] = frozenset(), with_nodes: bool = False, within: bool = True):
+        self.low, self.with_nodes, self.within, self.trimmed = low, with_nodes, within, False
         self.blocks: list[tuple[str, bool]] = []
         self.nodes: dict[int, tuple[int, int]] = {}
-        self.stack = [Element("", 1, 0, False, False)]
+        self.stack = [Element("", 1, 0, False, False, True)]
         self.held: list[str] = []
         self.run: list[str] = []
         at = 0
@@ -168,7 +172,7 @@ class Page:
 
     def pop(self) -> None:
         e = self.stack.pop()
-        if self.with_nodes and not e.main and not e.out:
+        if self.with_nodes and e.branch and not e.out:
             shape, text = self.nodes.get(e.path, (0, 0))
             self.nodes[e.path] = (shape * 31 + e.shape) & _MASK, (text * 31 + e.text) & _MASK
 
@@ -210,6 +214,9 @@ class Page:
             out = HARD if above.held and named else SOFT
         elif named or (not main and tag in HEADERS) or (not main and not whole and (names & HEADERS or path in self.low)):
             out = HARD if main else SOFT
+        branch = not main or (above.main and not whole and label != f"{tag} ")
+        if main and branch and not out and self.within and path in self.low:
+            out, self.trimmed = HARD, True
         held = held and out == SOFT
         if out != above.out or held != above.held:
             self.flush()
@@ -217,7 +224,7 @@ class Page:
             mark = label.encode("utf-8", "replace")
             for e in self.stack:
                 e.shape = zlib.crc32(mark, e.shape)
-        self.stack.append(Element(tag, path, out, main and not out, held))
+        self.stack.append(Element(tag, path, out, main and not out, held, branch))
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -239,6 +246,13 @@ class Page:
         return held if len(held) > len(text) else text
 
 
+def main_text(html: str, low: frozenset[int]) -> str:
+    page = Page(html, low)
+    if page.trimmed and not any(main for _, main in page.blocks):
+        page = Page(html, low, within=False)
+    return page.text()
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -265,7 +279,7 @@ def low_branches(nodes: DataFrame, min_pages: int = MIN_PAGES, importance: float
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(h or "", frozenset(low or ())).text() for h, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = [main_text(h or "", frozenset(low or ())) for h, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
             names=["page_id", "url", "text", "n_chars"])

@@ -204,6 +204,20 @@ def test_site_tree(spark):
     assert site_tree.extract(pages.limit(0)).count() == 0
 
 
+def test_site_tree_in_marked_text(spark):
+    """A branch with a class that repeats goes from marked text too; prose that repeats, and copies of one page, stay."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        own = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 99)) for _ in range(20))
+        box = "<div class=q1><p>Call us today</p></div>"
+        rows.append((k, f"https://one.example/{k}", f"<main>{box}<div class=q2><p>{own}</p></div><p>Same.</p></main>", f"{own}\n\nSame."))
+        rows.append((100 + k, f"https://two.example/{k}", f"<body><article>{box}<p>Same.</p></article></body>", "Same."))
+        rows.append((200 + k, f"https://three.example/{k}", f"<body><div class=q3><article>{box}</article></div></body>", "Call us today"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    assert {r.page_id: r.text for r in site_tree.extract(pages).collect()} == {i: t for i, _, _, t in rows}
+
+
 def test_long_and_broken_pages():
     assert Page("<div>" * 20_000 + "x").text() == "x"
     assert Page("<p " + "a='" * 50_000).text() == ""
