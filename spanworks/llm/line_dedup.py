@@ -3,7 +3,8 @@
 A line is the text between line feeds; its words are compared with A-Z in lower case.
 Lines of at least ``MIN_WORDS`` words are near duplicates when one word inserted, deleted
 or replaced turns one into the other. A line goes when an earlier line, by (doc_id, line
-number), is equal or a near duplicate; shorter lines stay.
+number), is equal or a near duplicate; of shorter ones, those of at least ``exact_words``
+words go when equal to an earlier line, and the others stay.
 
 Deletion neighbourhood: a line has one variant per deleted word. Two lines of equal length
 are within one replacement exactly when their variants for the same place are equal; a
@@ -166,12 +167,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, line): the lines, counted from 0, that repeat an earlier one; ``th`` is a hash of the text."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where(
         "doc_id is not null and text is not null")
-    scan, schema = _lines(min_words)
+    scan, schema = _lines(min(min_words, exact_words))
     lines = materialize(texts.mapInArrow(scan, schema), "lines")
     place = F.struct("doc_id", "th", "line")
     halves = ["p0", "s0", "p1", "s1"]
@@ -181,7 +182,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             *[F.first(h).alias(h) for h in halves]), "unique")
 
     # halves shared by two distinct lines of fitting length
-    keyed = unique.select("whole", F.posexplode(F.array(*halves)).alias("kind", "key"))
+    keyed = unique.where(F.col("size") >= min_words).select("whole", F.posexplode(F.array(*halves)).alias("kind", "key"))
     groups = keyed.groupBy("key").agg(
         F.sum((F.col("kind") < 2).cast("int")).alias("shorter"), F.sum((F.col("kind") > 1).cast("int")).alias("longer"),
     ).where("shorter > 1 or (shorter > 0 and longer > 0)")
@@ -236,10 +237,10 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([one(t, g) for t, g in zip(texts, gone)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, exact_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``; with ``counts``, also n_lines and n_dropped."""
     per_doc = (
-        repeated_lines(docs, min_words).groupBy("doc_id", "th").agg(F.collect_set("line").alias("_gone"))
+        repeated_lines(docs, min_words, exact_words).groupBy("doc_id", "th").agg(F.collect_set("line").alias("_gone"))
         .select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "_gone")
     )
     match = (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th"))

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spanworks.llm import backoff_lm, bpe, line_dedup, line_labels, near_dedup, packing, quality_model, tokens
 from spanworks.llm.graph import components
 
@@ -155,6 +156,26 @@ def test_line_dedup(docs):
     assert sorted(r.text or "" for r in got if r.doc_id is None) == sorted(r.text or "" for r in docs.where("doc_id is null").collect())
 
 
+def test_short_lines_that_repeat(spark, docs):
+    """With ``exact_words``, short lines go only if equal to an earlier one; the pipeline takes out those of one word."""
+    for words in (1, 3):
+        seen, expected = [], {}
+        for i, t in sorted({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text is not None}):
+            kept = []
+            for line in t.split("\n"):
+                w = WORD.findall(low(line))
+                if len(w) < words or not (w in seen or (len(w) >= 5 and any(len(s) >= 5 and within(w, s) for s in seen))):
+                    kept.append(line)
+                seen.append(w)
+            expected[i] = "\n".join(kept)
+        got = line_dedup.dedup_lines(docs, exact_words=words).where("doc_id is not null and text is not null").collect()
+        assert {r.doc_id: r.text for r in got} == expected
+    rows = [(1, "All rights reserved.\nfirst"), (2, "ALL rights reserved.\nsecond one"), (3, "all rights  reserved.\nFirst"), (4, "rights reserved.")]
+    short = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, short, "").collect()}
+    assert got == {1: rows[0][1], 2: "second one", 4: "rights reserved."}
+
+
 def counts_by_force(text):
     text = text or ""
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
