@@ -6,8 +6,8 @@ lines of a text, and the share of words in content lines decides whether the tex
 Base rules reject texts that are short or repeat themselves, whatever the lines say.
 
 The CRF is fitted on the driver with numpy by maximum likelihood, on at most ``SAMPLE``
-labelled documents (those with the least hash of their id; of a longer one the first
-``SAMPLE_LINES`` lines): lines of documents of quality are taken for content, those of
+labelled documents (those with the least hash of their id; of a longer one a run
+of ``SAMPLE_LINES`` lines, its place chosen by a hash of the id): lines of documents of quality are taken for content, those of
 other documents for boilerplate. Decoding and rules are one pass without a shuffle.
 
 Cases: null and empty texts have zero counts and fail the base rules, as has any text
@@ -18,6 +18,7 @@ rows each get a result. Extra columns are ignored, or pass through ``keep_conten
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -175,14 +176,21 @@ def fit_chain(sets: list[np.ndarray], labels: np.ndarray) -> Chain | None:
     return chain
 
 
+def place_of_run(doc_id: int, lines: int) -> int:
+    """Where the ``SAMPLE_LINES`` lines of a text that are learnt from begin, by a hash of its id: any place, the last lines included."""
+    return zlib.crc32(str(doc_id).encode()) % (max(lines - SAMPLE_LINES, 0) + 1)
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cells = []
-        for _, _, data, bounds in text_pieces(batch.column(2)):
+        for low, _, data, bounds in text_pieces(batch.column(2)):
             words = split_words(data, bounds, lower=False)
             lines = split_lines(words)
             rows = stretch_features(words, lines.edges)
-            cells += [rows[a:b][:SAMPLE_LINES].astype("<f4").tobytes() for a, b in zip(lines.first[:-1], lines.first[1:])]
+            for n, (a, b) in enumerate(zip(lines.first[:-1], lines.first[1:]), low):
+                a += place_of_run(batch.column(0)[n].as_py(), int(b - a))
+                cells.append(rows[a : min(a + SAMPLE_LINES, b)].astype("<f4").tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["doc_id", "quality", "lines"])
 

@@ -176,6 +176,18 @@ def test_short_lines_that_repeat(spark, docs):
     assert got == {1: rows[0][1], 2: "second one", 4: "rights reserved."}
 
 
+def test_training_lines_of_long_texts(spark):
+    """The lines learnt from are a run anywhere in the text, its end included, and all of a short one."""
+    texts = [(k, 1, "\n".join(f"{'x' * (n + 1)} y" for n in range(100 if k else 5))) for k in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, quality int, text string").mapInArrow(
+        line_labels._line_rows, "doc_id long, quality int, lines binary").collect()
+    whole = {n: np.frombuffer(r.lines, "<f4").reshape(-1, len(line_labels.NAMES)) for n, r in ((r.doc_id, r) for r in rows)}
+    assert len(whole[0]) == 5 and {len(v) for k, v in whole.items() if k} == {line_labels.SAMPLE_LINES}
+    assert len({v.tobytes() for k, v in whole.items() if k}) > 10
+    places = {line_labels.place_of_run(k, 100) for k in range(2000)}
+    assert places == set(range(100 - line_labels.SAMPLE_LINES + 1))
+
+
 def counts_by_force(text):
     text = text or ""
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
