@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanworks.llm import (
-    backoff_lm, bpe, inner_product, licenses, line_dedup, line_labels, near_dedup, packing, quality_model, site_tree,
+    backoff_lm, bpe, fill_middle, inner_product, licenses, line_dedup, line_labels, near_dedup, packing, quality_model, site_tree,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,31 @@ SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text,
   CAST(length(array_to_string(b, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM blocks
 """
 
+def op12_piece_table(spark: SparkSession, directory: str) -> DataFrame:
+    return fill_middle.digests(table(spark, directory, "documents"))
+
+
+#: Units of a text, and the numbers that decide how it is cut and arranged.
+OP12_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), numbers AS (
+  SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+    CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM texts
+), parts AS (
+  SELECT doc_id, text, n,
+    CASE WHEN n = 0 OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+    array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+    array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s FROM numbers
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+    AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_backoff_lm": (op1_backoff_lm, OP1_SQL),
     "op2_line_dedup": (op2_line_dedup, OP2_SQL),
@@ -178,6 +203,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_licenses": (op9_licenses, None),
     "op10_site_tree": (op10_site_tree, OP10_SQL),
+    "op12_piece_table": (op12_piece_table, OP12_SQL),
 }
 
 
