@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanworks.llm import (
-    backoff_lm, bpe, fill_middle, inner_product, licenses, line_dedup, line_labels, near_dedup, packing, quality_model, site_tree,
+    backoff_lm, bpe, fill_middle, hard_negatives, inner_product, licenses, line_dedup, line_labels, near_dedup, packing, quality_model, site_tree, warc,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +167,20 @@ SELECT page_id, url, array_to_string(b, chr(10) || chr(10)) AS text,
   CAST(length(array_to_string(b, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM blocks
 """
 
+def op11_warc_transactions(spark: SparkSession, directory: str) -> DataFrame:
+    return warc.round_trip(table(spark, directory, "pages"))
+
+
+OP11_SQL = """
+WITH captures AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), groups AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM captures)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM groups
+"""
+
+
 def op12_piece_table(spark: SparkSession, directory: str) -> DataFrame:
     return fill_middle.digests(table(spark, directory, "documents"))
 
@@ -192,6 +206,32 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
     AS output_sha256, sha256(text) AS restored_sha256 FROM parts
 """
 
+def op13_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved on by one first, so that some positives are false."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, directory, "embeddings").withColumn("label", moved))
+
+
+OP13_SQL = """
+WITH numbers AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS alike, CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM numbers a JOIN numbers v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), negatives AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM positives JOIN scores USING (anchor_id)
+  WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 10
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_backoff_lm": (op1_backoff_lm, OP1_SQL),
     "op2_line_dedup": (op2_line_dedup, OP2_SQL),
@@ -203,7 +243,9 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_licenses": (op9_licenses, None),
     "op10_site_tree": (op10_site_tree, OP10_SQL),
+    "op11_warc_transactions": (op11_warc_transactions, OP11_SQL),
     "op12_piece_table": (op12_piece_table, OP12_SQL),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
 
 
