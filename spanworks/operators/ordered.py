@@ -1,28 +1,38 @@
 """Ordered per-key operators in which no key goes whole into one task.
 
-Rows are windowed per (keys, chunk): a chunk is a fixed stretch of the first order
-column, ``CHUNK_DAYS`` days of a date or timestamp or ``CHUNK_VALUES`` of a number. What
-crosses the border of a chunk comes as one carry row per (keys, chunk) at its head or
-tail, made from an aggregate that combines before its shuffle. So the rows themselves are
-shuffled once, whatever the size of a key, and no job runs while the plan is built. Order
-columns of other types have one chunk.
-
-``order`` must be a total order within the keys, else results (as with any window)
-depend on chance. Null keys are a key of their own; null times come first.
+What a row receives from the rows before it can be put together from summaries of stretches of
+rows. So rows are cut into pieces, ranges of (keys, order) whose borders are read off a sample of
+the rows themselves: a piece holds about ``PIECE_BYTES``, whatever the types of the columns, the
+spread of the times or the size of a key. Most keys lie within one piece. A key that goes on over
+a border has one summary per piece, combined before its shuffle; these few rows are carried along
+the pieces of the key, and reach the rows as one carry row at the head or the tail of a piece.
+The rows themselves cross one shuffle.
+
+An input that is more than a scan is written once before it is cut, so that the sample, the
+summaries and the rows come from one evaluation, and chains do not evaluate their source again
+and again. An input that fits one piece by Spark's estimate has no borders: one window, one shuffle
+and no second look at it.
+
+``order`` must be a total order within the keys, else results (as with any window) depend on
+chance. Any type that Spark can order will do: nulls come first, NaN last. Null keys are a key
+of their own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql import types as T
 
-CHUNK_DAYS = 28
-CHUNK_VALUES = 1_000_000
-_CHUNK, _SIDE = "_chunk", "_side"
+from spanworks.workdir import UNKNOWN_BYTES, estimated_bytes, materialize, once
+
+#: Bytes of a piece, by Spark's estimate (that of files for scans).
+PIECE_BYTES = 64 << 20
+#: The most pieces; and sampled rows for each, so that pieces differ little in size.
+MOST_PIECES, SAMPLED = 10_000, 32
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -31,42 +41,83 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Co
     Spark plans a limit per group before the shuffle, so a large key sends at
     most one row per map task.
     """
+    place = free_name(df, "_rn")
     w = W.partitionBy(*keys).orderBy(*newest_first)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place)
 
 
-def chunk_of(df: DataFrame, column: str, size: int | None = None) -> Column:
-    """The chunk of a row, which never falls as ``column`` rises."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_date(F.to_date(F.col(column))) / F.lit(size or CHUNK_DAYS))
-    if isinstance(kind, T.NumericType):
-        return F.floor(F.col(column) / F.lit(size or CHUNK_VALUES)).cast("long")
-    return F.lit(0).cast("long")
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores before it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
 
 
-def _with_carry(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int | None,
-    summary: Mapping[str, Column], shift: Callable[[str, W], Column], side: int,
-) -> tuple[DataFrame, W]:
-    """Rows and carry rows, and the window per (keys, chunk) that reads both.
+def _cut(df: DataFrame, pieces: int | None) -> tuple[DataFrame, int]:
+    """``df`` in a form that may be read several times if it has more than one piece, and how many it has."""
+    if pieces == 1 or pieces is None and estimated_bytes(df) <= PIECE_BYTES:
+        return df, 1
+    known = estimated_bytes(df) < UNKNOWN_BYTES
+    df = once(df, "ordered") if known else materialize(df, "ordered")
+    return df, pieces or min(MOST_PIECES, 1 + estimated_bytes(df) // PIECE_BYTES)
+
+
+def _borders(rows: DataFrame, place: Column, pieces: int, width: int) -> Column:
+    """The first place of each piece but one, as ``fine`` groups of ``width`` and the ``coarse`` first of each group."""
+    sample = rows.select(place.alias("p")).orderBy(F.xxhash64("p"), "p").limit(SAMPLED * pieces)
+    ranked = sample.agg(F.sort_array(F.collect_list("p")).alias("s"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(pieces)).cast("int"))
+    ranked = ranked.withColumn("step", step)
+    ranked = ranked.select(F.filter("s", lambda p, i: (i + 1) % F.col("step") == 0).alias("b"))
+    groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("b") / F.lit(width)).cast("int") - 1))
+    ranked = ranked.withColumn("fine", F.transform(groups, lambda g: F.slice("b", g * width + 1, F.lit(width))))
+    filled = F.filter("fine", lambda f: F.size(f) > 0)
+    return ranked.select(F.struct(filled.alias("fine"), F.transform(filled, lambda f: F.get(f, F.lit(0))).alias("coarse"))).scalar()
+
+
+def _passed(borders: Column, width: int, reached: Callable[[Column], Column]) -> Column:
+    """How many borders are ``reached``, which holds up to some border and for none after it."""
+    group = F.size(F.filter(borders["coarse"], reached))
+    last = F.get(borders["fine"], group - 1)
+    return F.when(group > 0, (group - 1) * width + F.size(F.filter(last, reached))).otherwise(F.lit(0))
 
-    ``summary`` gives the columns of a chunk's summary; ``shift`` turns the summaries of
-    a key, in order of their chunks, into what a chunk receives from the others.
+
+def _with_carry(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], pieces: int | None,
+    summary: Mapping[str, Column], shift: Callable[[str, W], Column], side: int, spread: bool = False,
+) -> tuple[DataFrame, W, Callable[[DataFrame], DataFrame]]:
+    """Rows and carry rows, the window that reads both, and what leaves the rows alone.
+
+    ``summary`` gives the columns of a piece's summary; ``shift`` turns the summaries of a key,
+    in order of its pieces, into what a piece receives from the others. ``spread`` keeps small
+    shuffle partitions apart, for rows that are multiplied later on.
     """
-    chunked = df.withColumn(_CHUNK, chunk_of(df, order[0], size))
-    per_chunk = chunked.groupBy(*keys, _CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
-    chunks = W.partitionBy(*keys).orderBy(_CHUNK)
-    carried = per_chunk.withColumns({n: shift(n, chunks) for n in summary})
+    df, pieces = _cut(df, pieces)
+    if pieces == 1:
+        if spread:
+            df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        return df, W.partitionBy(*keys).orderBy(*order), lambda rows: rows
+
+    piece, carried_side = free_name(df, "_piece"), free_name(df, "_side")
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    place = F.struct(key.alias("key"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("at"))
+    width = math.isqrt(pieces - 1) + 1
+    held = free_name(df, "_borders")
+    borders = F.col(held)
+    cut = df.withColumn(held, _borders(df, place, pieces, width)).withColumn(
+        piece, _passed(borders, width, lambda b: b <= place))
+    goes_on = _passed(borders, width, lambda b: b["key"] < key) < _passed(borders, width, lambda b: b["key"] <= key)
+    per_piece = cut.filter(goes_on).groupBy(*keys, piece).agg(*[c.alias(n) for n, c in summary.items()])
+    cut = cut.drop(held)
+    along = W.partitionBy(*keys).orderBy(piece)
+    carried = per_piece.withColumns({n: shift(n, along) for n in summary})
     received = [F.col(n).isNotNull() for n in summary]
     carried = carried.filter(received[0] if len(received) == 1 else F.greatest(*received))
-    rows = chunked.withColumn(_SIDE, F.lit(0))
-    events = rows.unionByName(carried.withColumn(_SIDE, F.lit(side)), allowMissingColumns=True)
-    return events, W.partitionBy(*keys, _CHUNK).orderBy(_SIDE, *order)
-
-
-def _rows(events: DataFrame) -> DataFrame:
-    return events.filter(F.col(_SIDE) == 0).drop(_SIDE, _CHUNK)
+    events = cut.withColumn(carried_side, F.lit(0)).unionByName(
+        carried.withColumn(carried_side, F.lit(side)), allowMissingColumns=True)
+    window = W.partitionBy(*keys, piece).orderBy(carried_side, *order)
+    return events, window, lambda rows: rows.filter(F.col(carried_side) == 0).drop(carried_side, piece)
 
 
 def _before(w: W) -> W:
@@ -79,52 +130,58 @@ def _so_far(w: W) -> W:
 
 def forward_fill(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str],
-    chunk: int | None = None,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Last non-null value so far per key; ``columns`` maps output name to input column.
 
     Leading nulls stay null and a value that is present never changes.
     """
     place = F.struct(*order)
-    sources = {f"_f{i}": src for i, src in enumerate(dict.fromkeys(columns.values()))}
-    given = {src: name for name, src in sources.items()}
-    summary = {n: F.max_by(src, F.when(F.col(src).isNotNull(), place)) for n, src in sources.items()}
-    copied = df.withColumns({n: F.col(src) for n, src in sources.items()})
-    events, w = _with_carry(
-        copied, keys, order, chunk, summary, lambda n, c: F.last(n, ignorenulls=True).over(_before(c)), -1)
-    filled = events.withColumns({n: F.last(n, ignorenulls=True).over(_so_far(w)) for n in sources})
-    return _rows(filled).withColumns({out: F.col(given[src]) for out, src in columns.items()}).drop(*sources)
+    names = {src: free_name(df, f"_f{i}") for i, src in enumerate(dict.fromkeys(columns.values()))}
+    summary = {n: F.max_by(src, F.when(F.col(src).isNotNull(), place)) for src, n in names.items()}
+    copied = df.withColumns({n: F.col(src) for src, n in names.items()})
+    events, w, rows = _with_carry(
+        copied, keys, order, pieces, summary, lambda n, along: F.last(n, ignorenulls=True).over(_before(along)), -1)
+    filled = events.withColumns({n: F.last(n, ignorenulls=True).over(_so_far(w)) for n in names.values()})
+    return rows(filled).withColumns({out: F.col(names[src]) for out, src in columns.items()}).drop(*names.values())
 
 
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str,
-    combine: Callable[[str], Column] = F.max, chunk: int | None = None,
+    combine: Callable[[str], Column] = F.max, pieces: int | None = None,
 ) -> DataFrame:
-    """``combine`` (``F.max`` or ``F.min``) of ``column`` so far per key, the current row included."""
-    copied = df.withColumn("_v", F.col(column))
-    events, w = _with_carry(
-        copied, keys, order, chunk, {"_v": combine("_v")}, lambda n, c: combine(n).over(_before(c)), -1)
-    return _rows(events.withColumn("_r", combine("_v").over(_so_far(w)))).withColumn(alias, F.col("_r")).drop("_r", "_v")
+    """``combine`` (``F.max``, ``F.min`` or ``F.sum``) of ``column`` so far per key, the current row included."""
+    value, so_far = free_name(df, "_v"), free_name(df, "_r")
+    events, w, rows = _with_carry(
+        df.withColumn(value, F.col(column)), keys, order, pieces, {value: combine(value)},
+        lambda n, along: combine(n).over(_before(along)), -1)
+    done = rows(events.withColumn(so_far, combine(value).over(_so_far(w))))
+    return done.withColumn(alias, F.col(so_far)).drop(so_far, value)
 
 
-def _neighbour(df, keys, order, column, alias, chunk, shift, border, side):
+def _neighbour(df, keys, order, column, alias, pieces, shift, border, side, spread=False):
     # the value is wrapped, so that a carry row with a null value is still a row
-    copied = df.withColumn("_v", F.struct(F.col(column).alias("v")))
-    summary = {"_v": border("_v", F.struct(*order))}
-    events, w = _with_carry(copied, keys, order, chunk, summary, lambda n, c: shift(F.col(n)).over(c), side)
-    moved = events.withColumn("_r", shift(F.col("_v")).over(w))
-    return _rows(moved).withColumn(alias, F.col("_r")["v"]).drop("_r", "_v")
+    value, moved = free_name(df, "_v"), free_name(df, "_r")
+    events, w, rows = _with_carry(
+        df.withColumn(value, F.struct(F.col(column).alias("v"))), keys, order, pieces,
+        {value: border(value, F.struct(*order))}, lambda n, along: shift(F.col(n)).over(along), side, spread)
+    done = rows(events.withColumn(moved, shift(F.col(value)).over(w)))
+    return done.withColumn(alias, F.col(moved)["v"]).drop(moved, value)
 
 
 def next_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str, chunk: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str, pieces: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
-    """``column`` of the following row of the same key, null on the last."""
-    return _neighbour(df, keys, order, column, alias, chunk, F.lead, F.min_by, 1)
+    """``column`` of the following row of the same key, null on the last.
+
+    ``spread`` says that the rows will be multiplied, so their small shuffle partitions are not joined.
+    """
+    return _neighbour(df, keys, order, column, alias, pieces, F.lead, F.min_by, 1, spread)
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str, chunk: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, alias: str, pieces: int | None = None,
 ) -> DataFrame:
     """``column`` of the preceding row of the same key, null on the first."""
-    return _neighbour(df, keys, order, column, alias, chunk, F.lag, F.max_by, -1)
+    return _neighbour(df, keys, order, column, alias, pieces, F.lag, F.max_by, -1)

@@ -19,13 +19,18 @@ def team_weekly(
     ``weekly`` has one row per entity and week; ``leaving`` is true in the last
     week of an entity that terminates. Everything combines map-side, so the rows
     per week are never shuffled. The mean is taken of an exact sum to ``SALARY_PLACES``
-    places, which does not depend on the order in which partial sums meet.
+    places, which does not depend on the order in which partial sums meet; in a week in which
+    some salary is no such number (NaN, infinite, beyond 22 places before the point) it is that of
+    doubles, so NaN for NaN.
     """
-    exact = F.sum(F.col(salary).cast(f"decimal(28,{SALARY_PLACES})")).cast("double")
+    money = F.col(salary).try_cast(f"decimal(28,{SALARY_PLACES})")
+    mean = F.when(
+        F.count(money) == F.count(salary), F.try_sum(money).cast("double") / F.nullif(F.count(salary), F.lit(0)))
+    mean = F.coalesce(mean, F.avg(F.col(salary).cast("double")))
     return weekly.groupBy(*manager, "week_start").agg(
         F.count(F.lit(1)).alias("headcount"),
         F.count_if(F.col(leaving)).alias("leavers"),
-        (exact / F.count(salary)).alias("mean_salary"),
+        mean.alias("mean_salary"),
         F.stddev_samp(salary).alias("sd_salary"),
         F.avg(tenure_weeks).alias("mean_tenure_weeks"),
     )

@@ -22,10 +22,10 @@ from spanworks.operators.ordered import latest_per_key, next_value
 
 
 def spans_from_events(
-    df: DataFrame, entity: Sequence[str], start: str, tie: str, end: str = "end_date", chunk: int | None = None,
+    df: DataFrame, entity: Sequence[str], start: str, tie: str, end: str = "end_date", pieces: int | None = None,
 ) -> DataFrame:
     """Each row is valid until the next row of the entity; the last one stays open."""
-    return next_value(df, entity, [start, tie], start, end, chunk)
+    return next_value(df, entity, [start, tie], start, end, pieces, spread=True)
 
 
 def _clip(spans: DataFrame, start: str, end: str, as_of: str) -> DataFrame:
@@ -54,14 +54,14 @@ def weekly_unique(weekly: DataFrame, entity: Sequence[str], start: str, tie: str
 
 
 def weekly_owned(
-    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, chunk: int | None = None,
+    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, pieces: int | None = None,
 ) -> DataFrame:
     """``weekly_unique`` of ``weekly_episodes``, by way of the ranges that each span owns."""
-    return expand_weeks(week_ranges(spans, entity, start, end, tie, as_of, chunk).drop("since_week", "last_week"))
+    return expand_weeks(week_ranges(spans, entity, start, end, tie, as_of, pieces).drop("since_week", "last_week"))
 
 
 def week_ranges(
-    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, chunk: int | None = None,
+    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, pieces: int | None = None,
 ) -> DataFrame:
     """The weeks each span owns, as ``start_week`` .. ``end_week``, listing only contested ones.
 
@@ -75,7 +75,7 @@ def week_ranges(
     clipped = _clip(spans, start, end, as_of)
     first, last = week_start(F.col("_from")), week_start(F.date_sub(F.col("_to"), 1))
     clipped = clipped.withColumn("_own", F.struct(first.alias("first"), last.alias("last")))
-    followed = next_value(clipped, entity, ["_from", tie], "_own", "_next", chunk)
+    followed = next_value(clipped, entity, ["_from", tie], "_own", "_next", pieces, spread=True)
     own, following = F.col("_own"), F.col("_next")
 
     def piece(low, high, contested):
@@ -161,10 +161,10 @@ def start_stop(
 
 def start_stop_from_spans(
     spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str,
-    covariates: Sequence[str], term: str | None = None, chunk: int | None = None,
+    covariates: Sequence[str], term: str | None = None, pieces: int | None = None,
 ) -> DataFrame:
     """Start-stop rows straight from spans, overlapping or not; same result as the weekly way."""
-    ranges = week_ranges(spans, entity, start, end, tie, as_of, chunk)
+    ranges = week_ranges(spans, entity, start, end, tie, as_of, pieces)
     return merge_ranges(ranges, entity, covariates, term, tie)
 
 

@@ -12,9 +12,6 @@ from spanworks.operators.ordered import forward_fill
 
 Step = Callable[[DataFrame], DataFrame]
 
-#: Days of a chunk that holds any calendar.
-WHOLE = 10_000_000
-
 
 def lower_case_names() -> Step:
     return clean.lower_case_names
@@ -52,8 +49,8 @@ def with_weekly_episodes(
 def with_forward_filled_job_cd(
     entity: Sequence[str], order: Sequence[str] = ("week_start",), column: str = "job_cd",
 ) -> Step:
-    """Fills missing job codes; the weekly rows of an entity are bounded by the calendar: one chunk."""
-    return lambda df: forward_fill(df, entity, order, {column: column}, WHOLE)
+    """Fills missing job codes; the weekly rows of an entity are bounded by the calendar: one piece."""
+    return lambda df: forward_fill(df, entity, order, {column: column}, pieces=1)
 
 
 def with_mgr_sup_id(manager: str, supervisor: str, default_ids: Sequence[str] = ()) -> Step:

@@ -38,3 +38,32 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Estimates from here on say that Spark does not know.
+UNKNOWN_BYTES = 1 << 60
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of ``df``; for a scan that of its files, by the columns read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+#: Plan nodes of a scan, and those that only choose rows and columns of it.
+_SCANS = {"LogicalRelation", "HiveTableRelation", "DataSourceV2ScanRelation", "InMemoryRelation", "LocalRelation"}
+_BY_ROW = {"Project", "Filter"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads stored rows, so that reading it twice gives the same and costs two scans."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in _BY_ROW:
+        plan = plan.children().apply(0)
+    return plan.nodeName() in _SCANS
+
+
+def once(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written first unless it only scans stored rows: for plans that read it more than once."""
+    return df if is_scan(df) else materialize(df, label)

@@ -1,4 +1,4 @@
-"""Ordered operators: whatever the chunks, the result is that of one window per key."""
+"""Ordered operators: whatever the pieces, the result is that of one window per key."""
 
 import datetime as dt
 import random
@@ -14,7 +14,7 @@ from spanworks.operators.ordered import (
     previous_value,
     running,
 )
-from spanworks.operators import clean, joins, weeks
+from spanworks.operators import clean, joins, ordered, weeks
 from tests.compare import rows_of
 
 
@@ -56,30 +56,89 @@ def plain(name, df):
 
 
 @pytest.mark.parametrize("name", CHECKS)
-@pytest.mark.parametrize("size", [None, 1, 7])
-def test_chunked_equals_plain(skewed, name, size):
+@pytest.mark.parametrize("size", [None, 7, 300])
+def test_pieces_equal_plain(skewed, name, size):
     assert same(CHECKS[name](skewed, size), plain(name, skewed))
 
 
 @pytest.mark.parametrize("name", CHECKS)
-def test_null_and_text_order(spark, name):
-    df = spark.createDataFrame(
-        [(1, t, i, v) for i, (t, v) in enumerate([(None, "a"), (None, None), ("b", "x"), ("c", None), ("c", "y")])],
-        "k int, t string, id int, v string")
-    assert same(CHECKS[name](df, None), plain(name, df))
-    dated = df.withColumn("t", F.date_add(F.to_date(F.lit("2020-01-01")), F.when(F.col("t").isNotNull(), 40 * F.col("id"))))
-    assert same(CHECKS[name](dated, 30), plain(name, dated))
-
-
-def test_no_job_runs_while_a_plan_is_built(spark, skewed, skewed_facts, skewed_spans):
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("building", "plans of keyed operators")
-    forward_fill(skewed, ["k"], ["t", "id"], {"out": "v"})
-    joins.asof_join(skewed_facts, skewed_spans, ["k"], "t", "s", ["span"], [F.desc("span")])
-    joins.interval_join(skewed_facts, skewed_spans, ["k"], "t", "s", "e", ["span"], "2021-01-01 00:00:00")
-    weeks.start_stop_from_spans(skewed_spans, ["k"], "s", "e", "span", "2020-07-01", ["span"])
-    assert list(tracker.getJobIdsForGroup("building")) == []
-    spark.sparkContext.setJobGroup("tests", "")
+@pytest.mark.parametrize("kind", ["string", "double", "boolean", "date", "array<int>", "struct<a: int, b: string>", "binary"])
+def test_order_of_any_type(spark, name, kind):
+    """Nulls first, NaN last, whatever the pieces; also where most rows share one moment."""
+    literals = {
+        "string": ["'b'", "'c'", "''", "'ä'"], "double": ["1.0D", "2e6D", "3e6D", "double('NaN')", "double('-inf')"], "boolean": ["true", "false"],
+        "date": ["date'2020-01-01'", "date'1960-05-05'"], "array<int>": ["array(1, 2)", "array(1)", "array(cast(null as int))"],
+        "struct<a: int, b: string>": ["named_struct('a', 1, 'b', 'x')", "named_struct('a', cast(null as int), 'b', 'y')"],
+        "binary": ["x'00'", "x'ff'"]}[kind]
+    values = f"array(cast(null as {kind}), " + ", ".join(f"cast({x} as {kind})" for x in literals) + ")"
+    df = spark.range(90).selectExpr(
+        "cast(id % 2 as int) AS k", f"{values}[cast(if(id % 3 = 0, 1, pmod(hash(id), {len(literals) + 1})) as int)] AS t",
+        "cast(id as int) AS id", "if(pmod(hash(id, 7), 3) = 0, concat('v', id), null) AS v")
+    assert same(CHECKS[name](df, 12), plain(name, df))
+
+
+def test_fill_after_not_a_number(spark):
+    df = spark.createDataFrame([(1, 1.0, 1, "a"), (1, 2e6, 2, "b"), (1, 3e6, 3, None), (1, float("nan"), 4, None)], "k int, t double, id int, v string")
+    for pieces in (None, 1, 3):
+        got = forward_fill(df, ["k"], ["t", "id"], {"out": "v"}, pieces)
+        assert [r.out for r in got.orderBy("id").collect()] == ["a", "b", "b", "b"]
+
+
+def scans(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_four_chained_fills_read_their_source_once(spark, skewed, tmp_path):
+    skewed.write.parquet(f"{tmp_path}/rows")
+    source = spark.read.parquet(f"{tmp_path}/rows")
+    chained = source
+    for k in range(4):
+        chained = forward_fill(chained, ["k"], ["t", "id"], {f"out{k}": "v"})
+    assert scans(chained) == 1 and chained.count() == 4000
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    chained = source.mapInArrow(counted, source.schema)
+    for k in range(4):
+        chained = forward_fill(chained, ["k"], ["t", "id"], {f"out{k}": "v"}, pieces=5)
+    expected = F.last("v", ignorenulls=True).over(W.partitionBy("k").orderBy("t", "id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    assert same(chained, source.withColumns({f"out{k}": expected for k in range(4)}))
+    assert read.value == 4000
+
+
+def test_borders_are_few_and_pieces_even(spark):
+    """A key that holds most rows, all at one moment, is cut; keys within a piece send no summary."""
+    df = spark.range(20_000).selectExpr("if(id % 10 < 7, 0L, id) AS k", "if(id % 10 < 7, 0L, id % 50) AS t", "id")
+    events, window, _ = ordered._with_carry(
+        df.withColumn("v", F.col("id")), ["k"], ["t", "id"], 16, {"v": F.max("v")}, lambda n, along: F.max(n).over(ordered._before(along)), -1)
+    sizes = {r._piece: r["count"] for r in events.filter("_side = 0").groupBy("_piece").count().collect()}
+    assert len(sizes) >= 14 and max(sizes.values()) < 3 * 20_000 / 16
+    assert events.filter("_side <> 0").count() <= 16
+
+
+def test_internal_names_do_not_clash(skewed):
+    odd = skewed.withColumns({c: F.lit(c) for c in ("_piece", "_side", "_v", "_r", "_f0", "_rn")})
+    for name, make in CHECKS.items():
+        assert same(make(odd, 6), plain(name, odd)), name
+    assert latest_per_key(odd, ["k"], [F.desc("t"), F.desc("id")]).columns == odd.columns
+
+
+def test_names_of_both_sides_are_refused_or_renamed(skewed_facts, skewed_spans):
+    spans = skewed_spans.withColumn("fact", F.col("span") + 1)
+    args = ["k"], "t", "s"
+    for bad in (lambda: joins.asof_join(skewed_facts, spans, *args, ["fact"], [F.desc("span")]),
+                lambda: joins.covariate_at(skewed_facts, spans, *args, "e", ["FACT"], "span"),
+                lambda: joins.interval_join(skewed_facts, spans, *args, "e", ["span", "t"], "2021-01-01 00:00:00")):
+        with pytest.raises(ValueError, match="both sides have"):
+            bad()
+    joined = joins.asof_join(skewed_facts, spans, *args, {"other": "fact", "again": "fact"}, [F.desc("span")])
+    assert joined.columns == ["k", "fact", "t", "other", "again"] and joined.filter("other <> again").isEmpty()
+    pairs = joins.interval_join(skewed_facts.withColumn("_start", F.lit(1)), spans, *args, "e", {"other": "fact"}, "2021-01-01 00:00:00")
+    assert pairs.columns == ["k", "fact", "t", "_start", "other"]
 
 
 def test_fill_keeps_values_and_leading_nulls(skewed):
@@ -155,7 +214,7 @@ def test_interval_join_of_dates_on_timestamps(spark):
 
 @pytest.mark.parametrize("limit", [None, 300, 1])
 def test_asof_join_against_brute_force(skewed_facts, skewed_spans, limit):
-    """Chunks of the default size, one chunk, chunks of a day; and a crowded moment."""
+    """Pieces as the size asks, one, and very many; and a crowded moment."""
     facts = skewed_facts.unionAll(
         skewed_facts.filter("fact = 1").select(
             F.lit(1).alias("k"), F.explode(F.sequence(F.lit(3000), F.lit(3080))).alias("fact"),
@@ -178,7 +237,7 @@ def test_covariate_at_large_key_agrees(spark, skewed_facts, skewed_spans):
     flat = next_value(skewed_spans.drop("e"), ["k"], ["s", "span"], "s", "e", None)
     args = (["k"], "t", "s", "e", ["span"], "span")
     plain = joins.covariate_at(skewed_facts, flat, *args)
-    large = joins.covariate_at(skewed_facts, flat, *args, chunk=2)
+    large = joins.covariate_at(skewed_facts, flat, *args, pieces=2)
     pairs = joins.interval_join(
         skewed_facts, flat, ["k"], "t", "s", "e", ["span"], "2021-01-01 00:00:00"
     )
@@ -189,7 +248,7 @@ def test_week_ranges_of_a_large_entity_agree(skewed_spans):
     flat = next_value(skewed_spans.drop("e"), ["k"], ["s", "span"], "s", "e", None)
     flat = flat.withColumns({"s": F.to_date("s"), "e": F.to_date("e")})
     make = lambda n: weeks.start_stop_from_spans(
-        flat, ["k"], "s", "e", "span", "2020-07-01", ["span"], chunk=n
+        flat, ["k"], "s", "e", "span", "2020-07-01", ["span"], pieces=n
     )
     weekly = weeks.weekly_unique(
         weeks.weekly_episodes(flat, "s", "e", "2020-07-01"), ["k"], "s", "span"

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanworks.operators import joins, weeks
+from spanworks.operators.ordered import forward_fill
 from spanworks.queries import all_queries
 from spanworks.queries.mapping import AS_OF, order_events, order_spans
 
@@ -41,8 +42,8 @@ def no_broadcast(spark):
 
 
 def test_rows_cross_few_shuffles_from_events_to_episodes(spark, data_dir):
-    """Twice the next span, by chunk (rows, carried rows, their order), then the weeks and the entity."""
-    assert exchanges(all_queries()["start_stop_direct"](spark, data_dir)) <= 11
+    """From events to episodes everything is by entity, in as many partitions as were asked for."""
+    assert exchanges(all_queries()["start_stop_direct"](spark, data_dir)) == 1
 
 
 def test_weekly_way_from_spans_has_two_shuffles(spark, data_dir):
@@ -54,16 +55,20 @@ def test_weekly_way_from_spans_has_two_shuffles(spark, data_dir):
 
 
 def test_fill_shuffles_the_rows_once(spark, data_dir):
-    """One exchange for the rows; the summaries of chunks combine before theirs."""
-    plan = plan_of(all_queries()["forward_fill"](spark, data_dir))
-    assert len(re.findall(r"Exchange hash", plan)) == 3 and "partial_max_by" in plan
+    """One exchange for the rows; with pieces the few summaries combine before theirs."""
+    assert exchanges(all_queries()["forward_fill"](spark, data_dir)) == 1
+    filled = forward_fill(order_events(spark, data_dir), ["entity"], ["start_date", "span_id"], {"job": "job_cd"}, pieces=9)
+    main = re.split(r"\n\s*(?=[+:]?-? ?Subquery)", plan_of(filled))[0]
+    assert "partial_max_by" in main and exchanges(filled) >= 3
+    summaries = re.findall(r"Exchange hashpartitioning\((.*?)\)", plan_of(filled))
+    assert len([x for x in summaries if "_piece" in x]) == 2 and len([x for x in summaries if "_piece" not in x]) == 1
 
 
 def test_asof_join_shuffles_the_union_once(spark, data_dir, no_broadcast):
     orders = order_events(spark, data_dir)
     right = orders.groupBy("entity", "start_date").agg(F.max("span_id").alias("right_id"))
     joined = joins.asof_join(orders, right, ["entity"], "start_date", "start_date", ["right_id"])
-    assert exchanges(joined) == 5 and "Join" not in plan_of(joined)
+    assert exchanges(joined) == 2 and "Join" not in plan_of(joined)
 
 
 def test_interval_join_is_an_equi_join(spark, data_dir, no_broadcast):
