@@ -7,12 +7,14 @@ come from smoothing by the lower order: with ``strength`` k,
     P(w | h) = (c(hw) + k P(w | h')) / (c(h) + k),    P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 so a seen n-gram has the weight log P(w | h), and the failure arc of h the weight
-log k / (c(h) + k). A text is walked from left to right; each token adds the weights of
-the failure arcs taken and of the arc found.
+log k / (c(h) + k). A text is walked once from left to right, carrying the state: a token
+follows failure arcs until the state has an arc for it, adds their weights, and moves on to
+the longest seen context that ends in it.
 
 The model is never gathered in one place. Texts are written as blocks of bounded size;
 each block asks for the counts of its distinct n-grams, the requests are added up by
-ranges of hashed n-grams, and the answers go back to the blocks, each of which builds the
+ranges of hashed n-grams, and the answers go to the blocks where they lie (the blocks are
+written in buckets by their number, so no text is ever shuffled). Each block builds the
 part of the automaton that its own texts can reach. Nothing is pruned.
 
 Cases: null and empty texts consist of the end token alone. Rows with a null id are
@@ -22,6 +24,7 @@ scored once each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.llm.words import crc32_rest, mix, prepare, split_words, text_bytes, word_hashes
+from spanworks.llm.words import crc32_rest, mix, prepare, split_words, text_pieces, word_hashes
 from spanworks.workdir import work_dir
 
 ORDER, STRENGTH, ADDED = 2, 500.0, 0.1
 FOLDS = 10
 #: Characters of text in a block, and n-grams per range of hashes.
-BLOCK, RANGE = 4 << 20, 1_500_000
+BLOCK, RANGE = 12 << 20, 3_000_000
+#: Texts of more tokens are walked one by one.
+LONG = 2000
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _K = np.uint64(0xD6E8FEB86659FD93)
 
@@ -58,14 +63,18 @@ class Grams:
 
 
 def grams_of(texts: pa.Array, order: int) -> Grams:
-    words = split_words(*text_bytes(texts))
-    sizes = words.counts + 2
+    counts, hashed = [], []
+    for _, _, data, bounds in text_pieces(texts):
+        words = split_words(data, bounds)
+        counts.append(words.counts)
+        hashed.append(word_hashes(words))
+    sizes = np.concatenate([np.zeros(0, np.int64), *counts]) + 2
     first = np.concatenate([[0], np.cumsum(sizes)])
     tokens = np.empty(first[-1], np.uint64)
     inner = np.ones(len(tokens), bool)
     inner[first[:-1]] = inner[first[1:] - 1] = False
     tokens[first[:-1]], tokens[first[1:] - 1] = _START, _END
-    tokens[inner] = word_hashes(words)
+    tokens[inner] = np.concatenate([np.zeros(0, np.uint64), *hashed])
     offset = np.arange(len(tokens)) - np.repeat(first[:-1], sizes)
     keys, place, hashes = [], [], tokens
     for k in range(1, order + 1):
@@ -83,11 +92,18 @@ def grams_of(texts: pa.Array, order: int) -> Grams:
 
 @dataclass
 class Automaton:
-    """The arcs and failure arcs that the texts of one block can take."""
+    """The arcs and failure arcs that the texts of one block can take.
+
+    A state is a context of 0 to order - 1 tokens, named by its length and the number of its
+    n-gram; that of length 0 is the root. ``arcs[k]`` has the weight of each (k+1)-gram, NaN where
+    it was not seen, ``failures[k]`` the weight of the failure arc of the context before each
+    (k+1)-gram, and ``states[k]`` whether a (k+1)-gram is a seen context, so a state.
+    """
 
     grams: Grams
     arcs: list[np.ndarray]
     failures: list[np.ndarray]
+    states: list[np.ndarray]
     unigrams: np.ndarray
 
     @classmethod
@@ -95,7 +111,7 @@ class Automaton:
         """``counts[k - 1]`` are the training counts of ``grams.keys[k - 1]``."""
         unigrams = (counts[0] + ADDED) / (total + ADDED * (distinct + 1))
         texts = counts[0][np.searchsorted(grams.keys[0], _END)] if len(grams.keys[0]) else 0
-        lower, arcs, failures = unigrams, [np.log10(unigrams)], []
+        lower, arcs, failures = unigrams, [np.log10(unigrams)], [np.zeros(len(unigrams))]
         for k in range(1, len(grams.keys)):
             at = np.flatnonzero(grams.place[k] >= 0)
             where = np.zeros(len(grams.keys[k]), np.int64)
@@ -106,28 +122,62 @@ class Automaton:
             lower = (counts[k] + strength * below) / (seen + strength)
             arcs.append(np.where(counts[k] > 0, np.log10(lower), np.nan))
             failures.append(np.log10(strength / (seen + strength)))
-        return cls(grams, arcs, failures, unigrams)
+        return cls(grams, arcs, failures, [c > 0 for c in counts], unigrams)
 
     def walk(self) -> np.ndarray:
-        """The weight that each token adds; start tokens add nothing.
+        """The log-probability of each text, by one traversal that carries the state.
 
-        Every token begins in the state of its longest context. Where that state has no
-        arc for it, the weight of the failure arc is added and the state of the shorter
-        context is tried.
+        Long texts are walked one by one, the others side by side, a token of each at a time.
         """
-        weight = np.zeros(len(self.grams.tokens))
-        open_ = np.flatnonzero(self.grams.place[0] >= 0)
-        for k in range(len(self.arcs) - 1, -1, -1):
-            number = self.grams.place[k][open_]
-            arc = np.full(len(number), np.nan)
-            arc[number >= 0] = self.arcs[k][number[number >= 0]]
-            found = ~np.isnan(arc)
-            weight[open_[found]] += arc[found]
-            missed = ~found & (number >= 0)
-            if k:
-                weight[open_[missed]] += self.failures[k - 1][number[missed]]
-            open_ = open_[~found]
-        return weight
+        sizes = np.diff(self.grams.first)
+        out = np.zeros(len(sizes))
+        for text in np.flatnonzero(sizes > LONG).tolist():
+            out[text] = self._walk_alone(text)
+        short = np.flatnonzero(sizes <= LONG)
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        out[short] = self._walk_together(short, sizes)
+        return out
+
+    def _walk_alone(self, text: int) -> float:
+        place, longest = self.grams.place, len(self.arcs) - 1
+        span = slice(int(self.grams.first[text]) + 1, int(self.grams.first[text + 1]))
+        arcs, failures = ([x[k][place[k][span]].tolist() for k in range(longest + 1)] for x in (self.arcs, self.failures))
+        states = [self.states[k][place[k][span]].tolist() for k in range(longest)]
+        length, score = min(1, longest), 0.0
+        for step in range(len(arcs[0])):
+            while length and arcs[length][step] != arcs[length][step]:  # not a number: no such arc
+                score += failures[length][step]
+                length -= 1
+            score += arcs[length][step]
+            length = min(length + 1, longest)
+            while length and not states[length - 1][step]:
+                length -= 1
+        return score
+
+    def _walk_together(self, texts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of ``texts``, which come by falling size."""
+        place, longest = self.grams.place, len(self.arcs) - 1
+        begin, falling = self.grams.first[:-1][texts], sizes[texts]
+        score, length = np.zeros(len(texts)), np.full(len(texts), min(1, longest))
+        for step in range(1, int(falling[0]) if len(texts) else 0):
+            live = int(np.searchsorted(-falling, -step, "left"))
+            at, state, taken = begin[:live] + step, length[:live], np.zeros(live, np.int64)
+            for k in range(longest, 0, -1):
+                here = np.flatnonzero(state == k)
+                number = place[k][at[here]]
+                weight = self.arcs[k][number]
+                missed = np.isnan(weight)
+                score[here] += np.where(missed, self.failures[k][number], weight)
+                taken[here[~missed]] = k  # the others go on from the shorter context
+                state[here] = np.where(missed, k - 1, -1)
+            root = np.flatnonzero(state == 0)
+            score[root] += self.arcs[0][place[0][at[root]]]
+            reach = np.minimum(taken + 1, longest)
+            for k in range(longest, 0, -1):  # the longest state that ends in this token
+                here = np.flatnonzero(reach == k)
+                reach[here[~self.states[k - 1][place[k - 1][at[here]]]]] = k - 1
+            length[:live] = reach
+        return score
 
 
 def _blocks(size: int):
@@ -176,7 +226,19 @@ def unpack_keys(packed: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([head, steps.view("<u8").ravel()]), dtype=np.uint64)
 
 
-def _requests(order: int, ranges: int):
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Whole numbers as single bytes, 255 standing for the next of the larger ones, which come behind."""
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return small.tobytes() + counts[small == 255].astype("<i8").tobytes()
+
+
+def unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(packed, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(packed, "<i8", offset=n)
+    return out
+
+
+def _requests(order: int, ranges: int, learnt_only: bool = False):
     """(range, order, block, keys, counts) of each block: its distinct n-grams and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +249,15 @@ def _requests(order: int, ranges: int):
                 learn = np.repeat(crc32_rest(ids, FOLDS) > 0, np.diff(grams.first))
                 rows = []
                 for k, (keys, place) in enumerate(zip(grams.keys, grams.place)):
-                    counts = np.bincount(place[(place >= 0) & learn], minlength=len(keys)).astype("<u4")
+                    counts = np.bincount(place[(place >= 0) & learn], minlength=len(keys))
+                    if learnt_only:
+                        keys, counts = keys[counts > 0], counts[counts > 0]
                     edges = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
                     rows += [
-                        (r, k, batch.column(0)[n].as_py(), pack_keys(keys[a:b]), counts[a:b].tobytes())
+                        (r, k, batch.column(0)[n].as_py(), pack_keys(keys[a:b]), pack_counts(counts[a:b]))
                         for r, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a
                     ]
-                columns = list(zip(*rows))
+                columns = list(zip(*rows)) or [[]] * 5
                 kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, kinds)], names=["range", "k", "block", "keys", "counts"])
@@ -201,44 +265,57 @@ def _requests(order: int, ranges: int):
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up each (range, order) of sorted requests and answers every block in it."""
+def _by_range(answer):
+    """Gives ``answer`` the sorted requests of one (range, order) after the other."""
 
-    def answer(at: tuple[int, int], rows: list[tuple]) -> pa.RecordBatch:
-        keys = [unpack_keys(r[1]) for r in rows]
-        _, number = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-        totals = np.bincount(number, weights=counts).astype(np.int64)
-        edges = np.cumsum([0, *map(len, keys)])
-        back = [totals[number[a:b]].astype("<i8") for a, b in zip(edges[:-1], edges[1:])]
-        back = [b.astype("<u4") if b.max() < 1 << 32 else b for b in back]
-        known, tokens = (int((totals > 0).sum()), int(totals.sum())) if at[1] == 0 else (0, 0)
-        nothing = [0] * (len(rows) - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([at[1]] * len(rows), pa.int32()),
-             pa.array([at[0]] * len(rows), pa.int32()), pa.array([b.tobytes() for b in back], pa.binary()),
-             pa.array([b.dtype.itemsize for b in back], pa.int32()), pa.array([known, *nothing], pa.int64()),
-             pa.array([tokens, *nothing], pa.int64())],
-            names=["block", "k", "range", "totals", "width", "known", "added"])
-
-    at, rows = None, []
-    for batch in batches:
-        for r, k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-            if (r, k) != at:
-                if rows:
-                    yield answer(at, rows)
-                at, rows = (r, k), []
-            rows.append(rest)
-    if rows:
-        yield answer(at, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            for r, k, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if (r, k) != at:
+                    if rows:
+                        yield answer(at, rows)
+                    at, rows = (r, k), []
+                rows.append(rest)
+        if rows:
+            yield answer(at, rows)
+
+    return run
+
+
+def _totals(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each request, the number of each key, and the total count by number."""
+    keys = [unpack_keys(r[1]) for r in rows]
+    _, number = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.concatenate([unpack_counts(r[2], len(k)) for r, k in zip(rows, keys)])
+    return keys, number, np.bincount(number, weights=counts).astype(np.int64)
+
+
+def _answer(at: tuple[int, int], rows: list[tuple]) -> pa.RecordBatch:
+    keys, number, totals = _totals(rows)
+    edges = np.cumsum([0, *map(len, keys)])
+    back = [pack_counts(totals[number[a:b]]) for a, b in zip(edges[:-1], edges[1:])]
+    n = len(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([at[1]] * n, pa.int32()), pa.array([at[0]] * n, pa.int32()),
+         pa.array([len(k) for k in keys], pa.int32()), pa.array(back, pa.binary())], names=["block", "k", "range", "n", "totals"])
+
+
+def _sums(at: tuple[int, int], rows: list[tuple]) -> pa.RecordBatch:
+    """(how many known tokens, their total count) of a range."""
+    _, _, totals = _totals(rows)
+    return pa.RecordBatch.from_arrays([pa.array([int((totals > 0).sum())]), pa.array([int(totals.sum())])], names=["known", "added"])
 
 
 def _scores(order: int, total: int, distinct: int, strength: float):
-    """Scores of the texts of each block; its row comes first, then the answers by order and range."""
+    """Scores of the texts of each block; its answers come with it, in any order."""
 
-    def score(ids: pa.Array, texts: pa.Array, answers: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def score(ids: pa.Array, texts: pa.Array, answers: list[dict]) -> pa.RecordBatch:
         grams = grams_of(texts, order)
-        counts = [np.concatenate(a) if a else np.zeros(0, np.int64) for a in answers]
+        parts: list[list[np.ndarray]] = [[] for _ in range(order)]
+        for a in sorted(answers, key=lambda a: (a["k"], a["range"])):
+            parts[a["k"]].append(unpack_counts(a["totals"], a["n"]))
+        counts = [np.concatenate([np.zeros(0, np.int64), *p]) for p in parts]
         automaton = Automaton.build(grams, counts, total, distinct, strength)
         start, real = grams.first[:-1], grams.place[0] >= 0
         base = np.where(real, np.log10(automaton.unigrams)[grams.place[0]], 0)
@@ -246,25 +323,13 @@ def _scores(order: int, total: int, distinct: int, strength: float):
         return pa.RecordBatch.from_arrays(
             [ids, pa.array(crc32_rest(ids, FOLDS) == 0), pa.array(np.diff(grams.first) - 1),
              pa.array(np.add.reduceat(known.astype(np.int64), start)), pa.array(np.full(len(ids), total, np.int64)),
-             pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(automaton.walk(), start))],
+             pa.array(np.add.reduceat(base, start)), pa.array(automaton.walk())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, answers = None, []
         for batch in batches:
-            ids, texts = batch.column(3), batch.column(4)
-            ks, totals, widths = (batch.column(n).to_pylist() for n in (1, 5, 6))
-            for n, k in enumerate(ks):
-                if k < 0:
-                    if held:
-                        yield score(*held, answers)
-                    # copies, as the batch may be gone when the answers have come
-                    held = pa.array(ids[n].as_py(), pa.int64()), pa.array(texts[n].as_py(), pa.string())
-                    answers = [[] for _ in range(order)]
-                else:
-                    answers[k].append(np.frombuffer(totals[n], f"<u{widths[n]}").astype(np.int64))
-        if held:
-            yield score(*held, answers)
+            for n in range(len(batch)):
+                yield score(batch.column(0)[n].values, batch.column(1)[n].values, batch.column(2)[n].as_py())
 
     return run
 
@@ -272,10 +337,17 @@ def _scores(order: int, total: int, distinct: int, strength: float):
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _written(df: DataFrame, label: str) -> DataFrame:
-    path = work_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
+    """``df`` written in buckets by ``key``, as many as shuffles have partitions, so that a join by it moves the other side alone.
+
+    The table's name is dropped at once; its files are outside the catalog and stay.
+    """
+    spark, name = df.sparkSession, f"spanworks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", work_dir(spark, label)).bucketBy(buckets, key).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, block: int = BLOCK, range_size: int = RANGE) -> DataFrame:
@@ -287,22 +359,20 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, block
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _written(
-        texts.mapInArrow(_blocks(block), "block long, tokens long, ids array<long>, texts array<string>"), "blocks")
+    blocks = _in_buckets(
+        texts.mapInArrow(_blocks(block), "block long, tokens long, ids array<long>, texts array<string>"), "blocks", "block")
     tokens = blocks.agg(F.sum("tokens")).first()[0]
     if not tokens:
         return spark.createDataFrame([], RESULT)
-    ranges = max(1, -(-tokens * order // range_size))
-    requests = blocks.select("block", "ids", "texts").mapInArrow(
-        _requests(order, ranges), "range int, k int, block long, keys binary, counts binary")
-    answers = _written(
-        requests.select("range", "k", "block", "keys", "counts").repartition("range", "k").sortWithinPartitions("range", "k")
-        .mapInArrow(_answers, "block long, k int, range int, totals binary, width int, known long, added long"), "answers")
-    sums = answers.where("k = 0").agg(F.sum("known"), F.sum("added")).first()
-    rows = blocks.select(
-        "block", F.lit(-1).alias("k"), F.lit(0).alias("range"), "ids", "texts",
-        F.lit(None).cast("binary").alias("totals"), F.lit(0).alias("width"),
-    ).unionAll(answers.select(
-        "block", "k", "range", F.lit(None).cast("array<long>"), F.lit(None).cast("array<string>"), "totals", "width"))
-    return rows.repartition("block").sortWithinPartitions("block", "k", "range").mapInArrow(
-        _scores(order, int(sums[1]), int(sums[0]), strength), RESULT)
+
+    def requests(order: int, learnt_only: bool) -> DataFrame:
+        ranges = max(1, -(-tokens * order // range_size))
+        asked = blocks.select("block", "ids", "texts").mapInArrow(
+            _requests(order, ranges, learnt_only), "range int, k int, block long, keys binary, counts binary")
+        return asked.repartition("range", "k").sortWithinPartitions("range", "k")
+
+    sums = requests(1, True).mapInArrow(_by_range(_sums), "known long, added long").agg(F.sum("known"), F.sum("added")).first()
+    answers = requests(order, False).mapInArrow(_by_range(_answer), "block long, k int, range int, n int, totals binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("k", "range", "n", "totals")).alias("answers"))
+    return blocks.join(answers, "block").select("ids", "texts", "answers").mapInArrow(
+        _scores(order, int(sums[1] or 0), int(sums[0] or 0), strength), RESULT)

@@ -325,6 +325,31 @@ def test_backoff_lm(docs, order, block, ranges):
     assert np.allclose([g[5:] for g in got], [e[5:] for e in expected])
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_walks_agree(texts, order, monkeypatch):
+    """Texts walked alone, side by side, and by the formula; with few n-grams known, so that states are missing."""
+    rng = np.random.default_rng(4)
+    grams = backoff_lm.grams_of(pa.array([t or "" for t in texts]), order)
+    counts = [rng.integers(0, 3, len(k)) * rng.integers(0, 2, len(k)) for k in grams.keys]
+    for k in range(1, order):  # a seen n-gram has a seen context and ending
+        at = np.flatnonzero((grams.place[k] >= 0) & (grams.place[k - 1] >= 0))
+        seen = at[counts[k][grams.place[k][at]] > 0]
+        counts[k - 1][grams.place[k - 1][seen]] += 1
+        real = seen[grams.place[k - 1][seen - 1] >= 0]
+        counts[k - 1][grams.place[k - 1][real - 1]] += 3
+    automaton = backoff_lm.Automaton.build(grams, counts, 100, 20, 5.0)
+    walks = []
+    for long in (0, 20, 10**6):
+        monkeypatch.setattr(backoff_lm, "LONG", long)
+        walks.append(automaton.walk())
+    assert np.allclose(walks[0], walks[1]) and np.allclose(walks[0], walks[2]) and len(walks[0]) == len(texts)
+
+
+def test_packed_counts():
+    for some in ([], [0], [254, 255, 256, 0, 10**12], [255] * 3):
+        assert backoff_lm.unpack_counts(backoff_lm.pack_counts(np.array(some, np.int64)), len(some)).tolist() == some
+
+
 def test_packed_keys():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5000):
