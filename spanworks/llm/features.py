@@ -76,7 +76,7 @@ def stretch_features(words: Words, edges: np.ndarray) -> np.ndarray:
     columns = [
         np.log1p(n), total(length) / n, total(of_bytes(SYMBOL)) / n, total(of_bytes(_table(b"!"))) / n,
         total(of_bytes(_UPPER)) / chars, total(of_bytes(_DIGIT)) / chars, total(of_bytes(_WIDE_HEAD)) / chars,
-        total(before == place - 1) / n, total(before >= 0) / n, total(inside & (before >= 0)) / n,
+        total((before >= 0) & (before == place - 1)) / n, total(before >= 0) / n, total(inside & (before >= 0)) / n,
         total(_MARK[data[end - 1]]) / n, total(signs == length) / n, total(length <= 3) / n,
         _STOP[data[end[high - 1] - 1]].astype(float),
     ]
