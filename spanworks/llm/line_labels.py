@@ -113,24 +113,29 @@ class Chain:
         return np.stack([np.zeros(len(rows)), score], 1)
 
     def decode(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The best state of each line, by Viterbi over each text; ties go to content."""
-        score, sizes = padded(self.emissions(rows), first)
-        step, best = self.parts["step"], score[:, 0] + self.parts["start"]
-        back = np.zeros(score.shape, np.int8)
-        for k in range(1, score.shape[1]):
-            on = sizes > k
-            options = best[on][:, :, None] + step
-            pick = (options[:, 1] >= options[:, 0]).astype(np.int8)
-            back[on, k] = pick
-            best[on] = np.maximum(options[:, 0], options[:, 1]) + score[on, k]
+        """The best state of each line, by Viterbi over each text; ties go to content.
+
+        Texts are walked side by side, a line of each at a time, so memory grows with the lines
+        alone, however long one text is beside the others.
+        """
+        score, sizes, step = self.emissions(rows), np.diff(first), self.parts["step"]
+        order = np.argsort(-sizes, kind="stable")
+        falling, begin = sizes[order], first[:-1][order]
+        live = np.searchsorted(-falling, -np.arange(int(sizes.max(initial=0))), "left").tolist()  # texts with a k-th line
+        back, out = np.zeros((len(rows), 2), np.int8), np.zeros(len(rows), np.int8)
+        best = score[begin[: live[0]]] + self.parts["start"] if live else np.zeros((0, 2))
+        for k, n in enumerate(live[1:], 1):
+            at = begin[:n] + k
+            options = best[:n, :, None] + step
+            back[at] = options[:, 1] >= options[:, 0]
+            best[:n] = np.maximum(options[:, 0], options[:, 1]) + score[at]
         state = (best[:, 1] >= best[:, 0]).astype(np.int8)
-        out = np.zeros(score.shape[:2], np.int8)
-        for k in range(score.shape[1] - 1, -1, -1):
-            on = np.flatnonzero(sizes > k)
-            out[on, k] = state[on]
-            state[on] = back[on, k, state[on]]
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        return out[text, np.arange(len(text)) - first[:-1][text]]
+        for k in range(len(live) - 1, -1, -1):
+            n = live[k]
+            at = begin[:n] + k
+            out[at] = state[:n]
+            state[:n] = back[at, state[:n]]
+        return out
 
     def gradients(self, rows: np.ndarray, first: np.ndarray, states: np.ndarray) -> dict[str, np.ndarray]:
         """Of the negative mean log-likelihood of the states, by the forward-backward sums."""
