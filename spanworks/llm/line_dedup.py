@@ -167,7 +167,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int = 1) -> DataFrame:
     """(doc_id, th, line): the lines, counted from 0, that repeat an earlier one; ``th`` is a hash of the text."""
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where(
@@ -237,17 +237,24 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([one(t, g) for t, g in zip(texts, gone)], dtype=object)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, exact_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated lines taken out of ``text``; with ``counts``, also n_lines and n_dropped."""
-    per_doc = (
-        repeated_lines(docs, min_words, exact_words).groupBy("doc_id", "th").agg(F.collect_set("line").alias("_gone"))
-        .select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), "_gone")
-    )
-    match = (docs["doc_id"].cast("long") == F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_th"))
-    joined = docs.join(per_doc, match, "left").drop("_doc", "_th")
-    if counts:
-        joined = joined.withColumns({
-            "n_lines": F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-        })
-    return joined.withColumn("text", _without(F.col("text"), F.col("_gone"))).drop("_gone")
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, counts: bool = False, exact_words: int = 1) -> DataFrame:
+    """``docs`` with the repeated lines taken out of ``text``; with ``counts``, also n_lines and n_dropped.
+
+    Lines of ``exact_words`` words or more go if they equal an earlier one, those of ``min_words``
+    or more also if one word inserted, deleted or replaced makes them equal. Columns of ``docs``
+    named n_lines or n_dropped give way to the counts.
+    """
+    names, at = docs.columns, docs.columns.index("text")
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text = F.col(f"c{at}")
+    per_doc = repeated_lines(docs, min_words, exact_words).groupBy("doc_id", "th").agg(F.collect_set("line").alias("gone"))
+    match = (F.col(f"c{names.index('doc_id')}").cast("long") == F.col("doc_id")) & (F.xxhash64(text) == F.col("th"))
+    joined = plain.join(per_doc, match, "left")
+    added = {
+        "n_lines": F.coalesce(F.size(F.split(text, "\n", -1)), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+    } if counts else {}
+    kept = [(k, n) for k, n in enumerate(names) if n not in added]
+    return joined.select(
+        *[(_without(text, F.col("gone")) if k == at else F.col(f"c{k}")).alias(n) for k, n in kept],
+        *[c.alias(n) for n, c in added.items()])

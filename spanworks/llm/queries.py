@@ -91,7 +91,7 @@ WITH lines AS (
   SELECT doc_id, k, line,
     {WORDS_SQL.format(text="translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM lines
 ), variants AS (
-  SELECT doc_id, k, len(w) AS n, 'same' AS kind, 0 AS i, array_to_string(w, ' ') AS x FROM words WHERE len(w) >= 5
+  SELECT doc_id, k, len(w) AS n, 'same' AS kind, 0 AS i, array_to_string(w, ' ') AS x FROM words WHERE len(w) >= 1
   UNION ALL
   SELECT doc_id, k, len(w), 'without', unnest(range(1, len(w) + 1)),
     unnest(list_transform(range(1, len(w) + 1), lambda i: array_to_string(w[:i - 1] || w[i + 1:], ' '))) FROM words WHERE len(w) >= 5
