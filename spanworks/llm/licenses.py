@@ -253,6 +253,7 @@ def scan(files: DataFrame, notices=TEMPLATES, similarity: float = SIMILARITY) ->
     """``files`` (path, text, ...) without the text, with the columns
 
     own_licence, own_similarity, licence, similarity and inherited_from (a directory, or null).
+    Columns of ``files`` with one of these names give way.
     """
     prepare(files.sparkSession)
     notices, texts = Templates(notices), Templates(TEXTS)
@@ -290,8 +291,8 @@ def scan(files: DataFrame, notices=TEMPLATES, similarity: float = SIMILARITY) ->
     )
     joined = join_dealt_anew(scanned, inherited, "_key", "left")
     mine = F.col("own_licence").isNotNull()
-    others = [c for k, c in enumerate(files.columns) if k != text]
-    kept = [f"c{k}" for k in range(len(files.columns)) if k != text]
+    added = ("own_licence", "own_similarity", "licence", "similarity", "inherited_from")
+    kept, others = zip(*[(f"c{k}", c) for k, c in enumerate(files.columns) if k != text and c not in added])
     return joined.select(
         *[F.col(k).alias(c) for k, c in zip(kept, others)], "own_licence", "own_similarity",
         F.coalesce("own_licence", "_licence").alias("licence"), F.when(mine, F.col("_own")).otherwise(F.col("_sim")).alias("similarity"),

@@ -175,22 +175,23 @@ def _score(model: Attention | None, text: int):
     return run
 
 
-def with_scores(docs: DataFrame, model: Attention | None) -> DataFrame:
-    """``docs`` with the score of each row in ``_score``."""
-    prepare(docs.sparkSession)
-    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", score double"
-    return plain.mapInArrow(_score(model, docs.columns.index("text")), schema).toDF(*docs.columns, "_score")
+def _scored(docs: DataFrame, model: Attention | None, text: int) -> DataFrame:
+    """``docs`` with ``score`` after its columns; ``text`` is the place of the texts."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", score double"
+    return docs.mapInArrow(_score(model, text), schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``."""
-    scored = with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, sample))
+    prepare(docs.sparkSession)
+    scored = _scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, sample), 1)
     return with_fold(scored, FOLDS).select(
-        "doc_id", F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+        "doc_id", F.coalesce(F.col("fold") == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: Attention | None) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, columns unchanged."""
-    return with_scores(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
+    prepare(docs.sparkSession)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return _scored(plain, model, docs.columns.index("text")).where(F.col("score") >= THRESHOLD).select(*plain.columns).toDF(*docs.columns)

@@ -180,7 +180,8 @@ def prepare(spark: SparkSession) -> None:
         return
     archive = f"{tempfile.mkdtemp()}/spanworks_package.zip"
     with zipfile.ZipFile(archive, "w") as z:
-        for path in (root / "spanworks").rglob("*.py"):
-            z.write(path, path.relative_to(root))
+        for path in (root / "spanworks").rglob("*"):
+            if path.suffix in (".py", ".txt"):
+                z.write(path, path.relative_to(root))
     context.addPyFile(archive)
     context._spanworks_sent = True
