@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that repeat earlier ones, short ones if equal; documents left without a word go."""
-    out = line_dedup.dedup_lines(docs, exact_words=1)
+    out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -54,7 +54,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL cannot express trained models or tokenizers; the tests use brute force.
+#: SQL cannot express trained models or tokenizers; tests/llm/test_pipeline.py has each stage in plain Python.
 ORACLE_SQL = None
 
 
