@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanworks.operators.ordered import previous_value, running
+
 
 def _as_rows(
     totals: DataFrame, label: str, names: Sequence[str], fields: Sequence[str],
@@ -144,3 +146,37 @@ def rule_checks(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
         ]
     rows = _as_rows(df.agg(*measures), "rule", list(rules), ["violations", "undecided"])
     return rows.select("rule", "n_rows", "violations", "undecided")
+
+
+def span_rules(
+    df: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, allowed_gap: int = 0, pieces: int | None = None,
+) -> DataFrame:
+    """Rules across the rows of an entity, with a witness: (entity, tie, rule, witness, days) per broken rule.
+
+    In the order of ``start`` and ``tie``, a span breaks ``overlap`` if it begins before an earlier
+    one ends, ``gap`` if it begins more than ``allowed_gap`` days after all earlier ones have ended,
+    and ``order`` if it ends before it begins (then it plays no part in the others). The witness is
+    the earlier span that ends last (then the larger tie; open ends are the last), for ``order`` the
+    span itself; ``days`` is the overlap (up to the end of the shorter; null if that is open), the
+    gap, or how far the end lies before the start. No pairs are made: the latest end so far is a
+    running maximum.
+    """
+    keys = [f"k{i}" for i in range(len(entity))]
+    rows = df.select(
+        *[F.col(e).alias(k) for e, k in zip(entity, keys)], F.col(tie).alias("tie"),
+        F.to_date(start).alias("start"), F.to_date(end).alias("end")).filter("start is not null")
+    turned = rows.filter("end < start").select(
+        *keys, "tie", F.lit("order").alias("rule"), F.col("tie").alias("witness"), F.datediff("start", "end").alias("days"))
+    proper = rows.filter("end is null or end >= start").withColumn(
+        "reach", F.struct(F.col("end").isNull().alias("open"), F.col("end"), F.col("tie")))
+    order = ["start", "tie"]
+    far = previous_value(running(proper, keys, order, "reach", "far", F.max, pieces), keys, order, "far", "before", pieces)
+    reach = F.col("before")
+    ends = F.least("end", reach["end"])
+    overlap = reach["open"] | (F.col("start") < reach["end"])
+    days = F.datediff("start", reach["end"])
+    broken = far.filter(reach.isNotNull()).select(
+        *keys, "tie", F.when(overlap, "overlap").when(days > allowed_gap, "gap").alias("rule"), reach["tie"].alias("witness"),
+        F.when(overlap, F.datediff(ends, "start")).otherwise(days).alias("days")).filter("rule is not null")
+    return broken.unionByName(turned).select(
+        *[F.col(k).alias(e) for k, e in zip(keys, entity)], F.col("tie").alias(tie), "rule", "witness", "days")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -74,6 +74,23 @@ def week_ranges(
     """
     clipped = _clip(spans, start, end, as_of)
     first, last = week_start(F.col("_from")), week_start(F.date_sub(F.col("_to"), 1))
+    return _owned(clipped, first, last, 7, entity, tie, pieces)
+
+
+def day_ranges(
+    spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, pieces: int | None = None,
+) -> DataFrame:
+    """The days each span owns, as ``start_day`` .. ``end_day``: a day belongs to the span that starts last, then to the larger ``tie``."""
+    clipped = _clip(spans, start, end, as_of)
+    owned = _owned(clipped, F.col("_from"), F.date_sub(F.col("_to"), 1), 1, entity, tie, pieces)
+    return owned.drop("since_week", "last_week").withColumnsRenamed({"start_week": "start_day", "end_week": "end_day"})
+
+
+def _owned(
+    clipped: DataFrame, first: Column, last: Column, days: int, entity: Sequence[str], tie: str, pieces: int | None,
+) -> DataFrame:
+    """The units of ``days`` days that each span owns; ``first`` and ``last`` are the units it touches."""
+    unit = F.expr(f"interval {days} days")
     clipped = clipped.withColumn("_own", F.struct(first.alias("first"), last.alias("last")))
     followed = next_value(clipped, entity, ["_from", tie], "_own", "_next", pieces, spread=True)
     own, following = F.col("_own"), F.col("_next")
@@ -82,15 +99,15 @@ def week_ranges(
         return F.struct(low.alias("low"), high.alias("high"), F.lit(contested).alias("contested"))
 
     none = F.array().cast("array<struct<low:date,high:date,contested:int>>")
-    until = F.least(own["last"], F.date_sub(following["first"], 7))
+    until = F.least(own["last"], F.date_sub(following["first"], days))
     sure = F.when(own["first"] <= until, F.array(piece(own["first"], until, 0))).otherwise(none)
-    beyond = F.sequence(F.date_add(following["last"], 7), own["last"], F.expr("interval 7 days"))
+    beyond = F.sequence(F.date_add(following["last"], days), own["last"], unit)
     tail = F.when(own["last"] > following["last"], F.transform(beyond, lambda d: piece(d, d, 1))).otherwise(none)
     pieces = followed.withColumn("_piece", F.explode(F.concat(sure, tail))).drop("_own", "_next", "_to").withColumns(
         {"start_week": F.col("_piece.low"), "end_week": F.col("_piece.high"), "_contested": F.col("_piece.contested")}
     ).drop("_piece")
     pieces = latest_per_key(pieces, [*entity, "start_week", "_contested"], [F.desc("_from"), F.desc(tie)])
-    # from here on an entity has at most two rows per calendar week
+    # from here on an entity has at most two rows per unit of the calendar
     w = W.partitionBy(*entity).orderBy("start_week", "_contested")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     sure_until = F.max(F.when(F.col("_contested") == 0, F.col("end_week"))).over(so_far)
@@ -98,7 +115,7 @@ def week_ranges(
         "_contested = 0 or _sure_until is null or _sure_until < start_week").drop("_contested", "_sure_until")
     by_span = W.partitionBy(*entity, "_from", tie)
     ordered = by_span.orderBy("start_week")
-    touching = F.col("start_week") == F.date_add(F.lag("end_week").over(ordered), 7)
+    touching = F.col("start_week") == F.date_add(F.lag("end_week").over(ordered), days)
     numbered = owned.withColumn("_new", (~F.coalesce(touching, F.lit(False))).cast("int")).withColumn(
         "_run", F.sum("_new").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
     by_run = W.partitionBy(*entity, "_from", tie, "_run")
