@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Decimal places of salaries that count; more than any currency has.
 SALARY_PLACES = 6
@@ -55,3 +56,48 @@ def keep_valid_managers(
 ) -> DataFrame:
     """Weekly rows whose (manager, week) passed ``span_of_control``."""
     return weekly.join(valid, [*manager, "week_start"], "left_semi")
+
+
+def team_trailing(
+    ranges: DataFrame, weekly: DataFrame, manager: Sequence[str], entity: str, weeks: int = 52,
+) -> DataFrame:
+    """Figures of the ``weeks`` weeks up to each week of a team.
+
+    ``ranges`` has the weeks each entity is in a team, as ``start_week`` .. ``end_week``; ``weekly``
+    is ``team_weekly``. Columns: manager, week_start, heads (distinct entities in the window),
+    leavers, mean_headcount and median_headcount over its weeks with members, and turnover
+    (leavers per mean headcount).
+
+    Heads are exact without a row per window: an entity is in the window of every week from the first
+    week of a range until ``weeks`` - 1 weeks after its last, so ranges prolonged by that and merged
+    begin and end once each, and running sums over the weeks of a team, which the calendar bounds,
+    count them.
+    """
+    named = [F.col(m).alias(f"m{i}") for i, m in enumerate(manager)]
+    team = [f"m{i}" for i in range(len(manager))]
+    days = 7 * weeks
+    prolonged = ranges.select(*named, F.col(entity).alias("head"), F.col("start_week").alias("first"), F.date_add("end_week", days).alias("gone"))
+    own = W.partitionBy(*team, "head").orderBy("first", "gone")  # an entity has at most one range per calendar week
+    reach = F.max("gone").over(own.rowsBetween(W.unboundedPreceding, -1))
+    marked = prolonged.withColumn("fresh", (reach.isNull() | (F.col("first") > reach)).cast("int"))
+    merged = marked.withColumn("run", F.sum("fresh").over(own.rowsBetween(W.unboundedPreceding, W.currentRow))).groupBy(
+        *team, "head", "run").agg(F.min("first").alias("first"), F.max("gone").alias("gone"))
+    events = merged.select(*team, F.explode(F.array(
+        F.struct(F.col("first").alias("week_start"), F.lit(1).alias("step")), F.struct(F.col("gone").alias("week_start"), F.lit(-1).alias("step")))).alias("e"))
+    steps = events.groupBy(*team, "e.week_start").agg(F.sum("e.step").alias("step"))
+    present = weekly.select(*named, "week_start", "headcount", "leavers")
+    by_week = steps.unionByName(present, allowMissingColumns=True).groupBy(*team, "week_start").agg(
+        *[F.sum(c).alias(c) for c in ("step", "headcount", "leavers")])
+    along = W.partitionBy(*team).orderBy("week_start")
+    window = W.partitionBy(*team).orderBy(F.unix_date("week_start")).rangeBetween(-(days - 7), 0)
+    figures = by_week.select(
+        *team, "week_start", "headcount",
+        F.sum("step").over(along.rowsBetween(W.unboundedPreceding, W.currentRow)).cast("long").alias("heads"),
+        F.sum("leavers").over(window).alias("leavers"), F.avg("headcount").over(window).alias("mean_headcount"),
+        F.sort_array(F.collect_list("headcount").over(window)).alias("counts"),  # at most ``weeks`` numbers
+    ).filter("headcount is not null")
+    middle = lambda k: F.get("counts", F.floor(k / 2).cast("int"))
+    median = (middle(F.size("counts") - 1) + middle(F.size("counts"))) / 2
+    return figures.select(
+        *[F.col(t).alias(m) for t, m in zip(team, manager)], "week_start", "heads", "leavers", "mean_headcount",
+        median.alias("median_headcount"), (F.col("leavers") / F.col("mean_headcount")).alias("turnover"))

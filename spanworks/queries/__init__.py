@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanworks.queries import audits, cleaning, episodes, histories, joining, quality, snapshots
+from spanworks.queries import audits, cleaning, discovery, episodes, histories, joining, quality, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (episodes, histories, cleaning, joining, quality, audits, snapshots)
+_MODULES = (episodes, histories, discovery, cleaning, joining, quality, audits, snapshots)
 
 
 def all_queries() -> dict[str, Query]:
