@@ -12,7 +12,8 @@ on a host of copies of one page, the tree is not applied within it.
 
 A name is the whole of a class or id, its first word (``sidebar-left``), or its last one after
 words of place (``site-footer``); other words (``has-sidebar``, ``category-advertising``) tell a
-state or a subject. Names and low importance never leave out the page, ``main`` and ``article``
+state or a subject. Within the marked main text only a whole class is a name, or a whole id of an
+element other than a heading or paragraph, as ids there name subjects. Names and low importance never leave out the page, ``main`` and ``article``
 themselves or a ``main`` below the named element; an ``article`` below one is taken if the page
 marks no other text and it is longer than what else is left.
 
@@ -36,13 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanworks.llm.graph import join_dealt_anew
 from spanworks.llm.words import prepare
 from spanworks.workdir import materialize
 
 #: Pages that a node needs on its host, and the importance from which it stays.
 MIN_PAGES, IMPORTANCE = 5, 0.2
-#: Tasks that may share the pages of one site.
-PARTS = 32
 
 # Elements of HTML by their role here.
 BLOCKS = frozenset(
@@ -60,6 +60,8 @@ LEFT_OUT_NAMES = frozenset(
     "pager pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget widgets".split())
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
+#: Elements whose ids are places to link to, in the marked main text.
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 #: Outside the marked main text only.
 HEADERS = frozenset(["header"])
 #: Words before the one that names the element ("site-footer"), and after one that only tells a state ("sidebar-open").
@@ -77,7 +79,7 @@ SCOPES = frozenset("ul ol dl table article main section body html aside nav foot
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)""",
     re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _MASK = (1 << 63) - 1
@@ -92,17 +94,14 @@ def _roles(name: str) -> tuple[str, ...]:
     return (*first, words[-1]) if PLACES.issuperset(words[:-1]) else first
 
 
-def _label(tag: str, attributes: str) -> tuple[str, set[str], set[str]]:
-    """The node's name in the tree, the telling words of its class and id, and its roles."""
-    names, roles = set(), set()
-    for key, value in _NAMED.findall(attributes) if attributes else ():
-        value = entities.unescape(value.strip("\"'")).lower()
-        if key.lower() == "role":
-            roles.update(value.split())
-        else:
-            names.update(value.split())
-    label = f"{tag} {' '.join(sorted(names))}"
-    return label, {w for n in names for w in _roles(n)}, roles
+def _label(tag: str, attributes: str) -> tuple[str, set[str], set[str], set[str]]:
+    """The node's name in the tree, its classes, its ids, and its roles."""
+    classes, ids, roles = set(), set(), set()
+    kinds = {"class": classes, "id": ids, "role": roles}
+    for key, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        if value and (words := kinds.get(key.lower())) is not None:
+            words.update(entities.unescape(value.strip("\"'")).lower().split())
+    return f"{tag} {' '.join(sorted(classes | ids))}", classes, ids, roles
 
 
 SOFT, HARD = 1, 2
@@ -113,9 +112,9 @@ class Element:
 
     __slots__ = ("tag", "path", "out", "main", "held", "branch", "shape", "text")
 
-    def __init__(self, tag: str, path: int, out: int, main: bool, held: bool, branch: bool):
+    def __init__(self, tag: str, path: int, out: int, main: bool, held: bool, branch: bool, shape: int = 0):
         self.tag, self.path, self.out, self.main, self.held, self.branch = tag, path, out, main, held, branch
-        self.shape, self.text = 0, 0
+        self.shape, self.text = shape, 0
 
 
 class Page:
@@ -131,6 +130,7 @@ class Page:
         self.blocks: list[tuple[str, bool]] = []
         self.nodes: dict[int, tuple[int, int]] = {}
         self.stack = [Element("", 1, 0, False, False, True)]
+        self.depth: dict[str, int] = {}  # how many elements of each tag are open
         self.held: list[str] = []
         self.run: list[str] = []
         at = 0
@@ -166,17 +166,24 @@ class Page:
         elif text:
             self.blocks.append((text, self.stack[-1].main))
             if self.with_nodes:
-                data = text.encode("utf-8", "replace")
-                for e in self.stack:
-                    e.text = zlib.crc32(data, e.text)
+                above = self.stack[-1]
+                above.text = zlib.crc32(text.encode("utf-8", "replace"), above.text) + 1
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.depth[e.tag] -= 1
+        if self.with_nodes:  # what lies in an element counts for the one around it once, when it closes
+            above = self.stack[-1]
+            above.shape = zlib.crc32(e.shape.to_bytes(8, "big"), above.shape)
+            if e.text:
+                above.text = zlib.crc32(e.text.to_bytes(8, "big"), above.text) + 1
         if self.with_nodes and e.branch and not e.out:
             shape, text = self.nodes.get(e.path, (0, 0))
             self.nodes[e.path] = (shape * 31 + e.shape) & _MASK, (text * 31 + e.text) & _MASK
 
     def close_to(self, tags: tuple[str, ...]) -> None:
+        if not any(self.depth.get(t) for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
                 self.flush()
@@ -197,8 +204,12 @@ class Page:
             self.close_to(CLOSES[tag])
         if tag in VOID:
             return
-        label, names, roles = _label(tag, attributes)
+        label, classes, ids, roles = _label(tag, attributes)
         above = self.stack[-1]
+        if above.main:
+            names = classes if tag in ANCHORS else classes | ids
+        else:
+            names = {w for n in classes | ids for w in _roles(n)}
         path = (above.path * 0x5851F42D4C957F2D + zlib.crc32(label.encode("utf-8", "replace")) + 1) & _MASK
         root = tag == "main" or "main" in roles
         main = above.main or root or tag == "article"
@@ -220,15 +231,15 @@ class Page:
         held = held and out == SOFT
         if out != above.out or held != above.held:
             self.flush()
-        if self.with_nodes:
-            mark = label.encode("utf-8", "replace")
-            for e in self.stack:
-                e.shape = zlib.crc32(mark, e.shape)
-        self.stack.append(Element(tag, path, out, main and not out, held, branch))
+        shape = zlib.crc32(label.encode("utf-8", "replace")) if self.with_nodes else 0
+        self.depth[tag] = self.depth.get(tag, 0) + 1
+        self.stack.append(Element(tag, path, out, main and not out, held, branch, shape))
 
     def close(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
+        if not self.depth.get(tag):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 if any(e.out for e in self.stack[k:]):
@@ -294,8 +305,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, importance: float = IM
     nodes = plain.where("site is not null").select("site", "html").mapInArrow(_nodes, "site long, path long, shape long, text long")
     nodes = materialize(nodes, "nodes")
     low = low_branches(nodes, min_pages, importance)
-    # the pages of a site are dealt to several tasks, each with a copy of the site's list
-    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
-    copies = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    joined = plain.withColumn("part", part).join(copies, ["site", "part"], "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    # a site of any share of the pages is split at run time, as its list is one row
+    sited = join_dealt_anew(plain.where("site is not null"), low, "site", "left").select("page_id", "url", "html", "low")
+    alone = plain.where("site is null").select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("low"))
+    return sited.unionAll(alone).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

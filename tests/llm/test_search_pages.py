@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -178,6 +179,11 @@ PAGES = [
     ("<div class=related><article>r</article></div><p>Without a mark.</p>", "Without a mark."),
     ("<div class=sidebar-left>s</div><div class=site-footer>f</div><div class='main_nav top-ad'>n</div><p class=shared-memory>t</p>", "t"),
     ("<article role=main class=nav><p>t</p></article>", "t"), ("<div class=sticky-header><p>h</p></div><p>t</p>", "t"),
+    ("<article><h2 id='social-contract-theory'>H</h2><h2 id=\"share-prices-fall\">S</h2><p>t</p></article>", "H\n\nS\n\nt"),
+    ("<article><section id=comments-on-the-act><p>c</p></section></article>", "c"),
+    ("<article><section id='related-work'><p>r</p></section></article>", "r"), ("<p data-id='notice' data-class=ad data-role=menu>x</p>", "x"),
+    ("<p title='the class=notice id=ad'>x</p><p\n\tclass\n=\n'ad'>y</p>", "x"), ("<p class='ad'id=x>y</p>z", "z"),
+    ("<article><h2 id=share>Share</h2><p class='big notice'>n</p><div class='share-prices'>k</div><div id=comments>c</div></article>", "Share\n\nk"),
     ("<p>&#233;&#x4e2d;</p>", "é中"), ("<title>t</title><form>f<input></form><p>x</p>", "x"),
 ]
 
@@ -221,4 +227,8 @@ def test_site_tree_in_marked_text(spark):
 def test_long_and_broken_pages():
     assert Page("<div>" * 20_000 + "x").text() == "x"
     assert Page("<p " + "a='" * 50_000).text() == ""
+    start = time.perf_counter()
+    assert Page("<div class=a>" * 20_000 + "x" + "</div>" * 20_000, with_nodes=True).text() == "x"
+    assert Page("<ul><li class=b>x" * 10_000, with_nodes=True).text().count("x") == 10_000
+    assert time.perf_counter() - start < 4  # in proportion to the length of the page
     assert len(Page("<p>word " * 100_000).blocks) == 100_000
