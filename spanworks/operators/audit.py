@@ -93,7 +93,7 @@ def _cut(df: DataFrame) -> list:
     return out
 
 
-def _probe(source: CatalogSource, name: str, sample_rows: int):
+def _probe(source: CatalogSource, name: str, sample_rows: int, order: Sequence[str] = ()):
     """Metadata row of one table, and the table if it opened."""
     start = time.monotonic()
     try:
@@ -107,7 +107,9 @@ def _probe(source: CatalogSource, name: str, sample_rows: int):
         pass  # the table stays accessible without them
     if sample_rows:
         try:
-            as_json = df.select(F.to_json(F.struct(*_cut(df))).alias("row"))
+            # in a stated order the first of each task meet; without one any rows will do
+            some = df.orderBy(*order).limit(sample_rows) if order else df
+            as_json = some.select(F.to_json(F.struct(*_cut(df))).alias("row"))
             sample = [r["row"] for r in as_json.take(sample_rows)]
         except _FAILURES:
             pass
@@ -120,13 +122,15 @@ def _since(start: float) -> float:
 
 
 def audit_tables(
-    source: CatalogSource, entries: DataFrame, sample_rows: int = 0, isolate: bool = True
+    source: CatalogSource, entries: DataFrame, sample_rows: int = 0, isolate: bool = True,
+    sample_order: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """One row per distinct table of ``entries``.
 
     Names missing from the listing of their schema are not probed; names without a
     schema, or of a schema that cannot be listed, are.
-    ``sample_rows`` rows are read as JSON per table. The counts run at once, and a
+    ``sample_rows`` rows are read as JSON per table: the first by the columns that ``sample_order``
+    has for its name, any where it has none. The counts run at once, and a
     table whose count fails keeps a null count and its error; ``isolate=False``
     leaves the counts in the returned plan instead, where a failure is one of all.
     """
@@ -145,7 +149,7 @@ def audit_tables(
         if schema in listed and name.lower() not in listed[schema]:
             rows.append((name, False, _NOT_LISTED, None, None, None, None, None, 0.0))
             continue
-        row, df = _probe(source, name, sample_rows)
+        row, df = _probe(source, name, sample_rows, (sample_order or {}).get(name, ()))
         rows.append(row)
         if df is not None:
             opened[name] = df

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanworks.operators import audit, classify, quality, report
 from spanworks.operators.classify import Rule
+from spanworks.sinks.reports import write_report_set
 from spanworks.sources.tables import (
     column_catalog,
     flatten_table_list,
@@ -174,14 +176,24 @@ def q_table_properties(spark, d):
     )
 
 
+_CHANGED = "2024-03-01 05:06:07"
+
+
 def q_table_times(spark, d):
-    source = _source(spark, d)
+    """Tables registered with a known time of change; they were created since the session began."""
+    prefix = f"swt_{hashlib.md5(d.encode()).hexdigest()[:8]}_"
+    known = {"purpose": "times", "last_modified_time": _CHANGED.replace(" ", "T")}
+    source = register_tables(spark, d, SCHEMAS, prefix, work_dir(spark, "schemas"), known)
     names = [f"{s}.{t}" for s, ts in SCHEMAS.items() for t in ts]
-    rows = [(n, *source.details(n)[1:]) for n in names]
-    times = local_rows(spark, rows, "table_name string, created_at timestamp, updated_at timestamp")
-    return times.join(_counts(spark, d), "table_name").select(
-        "table_name", "row_count", F.col("created_at").isNotNull().alias("has_created_at")
-    )
+    begun = datetime.fromtimestamp(spark.sparkContext.startTime / 1000, timezone.utc)
+    rows = []
+    for name in names:
+        _, created, updated = source.details(name)
+        created = created if created is None or created.tzinfo else created.replace(tzinfo=timezone.utc)
+        lately = created is not None and begun.replace(microsecond=0) <= created <= datetime.now(timezone.utc)
+        rows.append((name, lately, updated.strftime("%Y-%m-%d %H:%M:%S") if updated else None))
+    times = local_rows(spark, rows, "table_name string, created_in_session boolean, updated_at string")
+    return times.join(_counts(spark, d), "table_name").select("table_name", "row_count", "created_in_session", "updated_at")
 
 
 def q_audit_tables(spark, d):
@@ -192,11 +204,12 @@ def q_audit_tables(spark, d):
 
 
 def q_audit_isolated(spark, d):
-    """The same audit with counts taken table by table where one fails, and sampled rows."""
-    audited = _audit(spark, d, sample_rows=5)
-    return audited.select(
-        "table_name", "row_count", F.coalesce(F.size("sample"), F.lit(0)).alias("sampled")
-    )
+    """The same audit with counts taken table by table where one fails, and the keys of the rows sampled in key order."""
+    order = {f"{s}.{t}": SAMPLE_KEYS[t] for s, ts in SCHEMAS.items() for t in ts}
+    audited = _audit(spark, d, sample_rows=5, sample_order=order)
+    key = F.create_map(*[F.lit(x) for name, columns in order.items() for x in (name, columns[0])])[F.col("table_name")]
+    keys = F.transform("sample", lambda r: F.from_json(r, "map<string,string>")[key])
+    return audited.select("table_name", "row_count", F.array_join(keys, ";").alias("sampled"))
 
 
 def q_audit_unreadable(spark, d):
@@ -241,7 +254,13 @@ def q_audit_accessible(spark, d):
 
 
 def q_audit_missing(spark, d):
-    return audit.missing(_audit(spark, d)).select("table_name", "error_class")
+    """The absent names of the list and a table of each nation, with the customers that would be in it."""
+    nation = load_table(spark, d, "nation")
+    listed = {**TABLE_LIST, "nations": [(f"geo.{r.n_name.lower()}", "A nation") for r in nation.select("n_name").collect()]}
+    missing = audit.missing(audit.audit_tables(_source(spark, d), flatten_table_list(table_list(spark, listed))))
+    customer = load_table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    wanted = customer.groupBy(F.concat(F.lit("geo."), F.lower("n_name")).alias("table_name")).agg(F.count(F.lit(1)).alias("n_customers"))
+    return missing.select("table_name", "error_class").join(wanted, "table_name", "left")
 
 
 def _messages(spark, d):
@@ -373,6 +392,23 @@ def q_report_markdown_lines(spark, d):
     return report.main_lines(audited, _main(spark, d, audited), "Table Access Report", "lake")
 
 
+def q_report_set(spark, d):
+    """All four reports written and read back; dates and the lines that hold them apart."""
+    path = work_dir(spark, "reports")
+    write_report_set(_audit(spark, d), path, "Table Access Report", "lake", "catalog audit", STAGE_RULES, CATEGORY_RULES, PURPOSE_RULES)
+    main = spark.read.option("header", "true").csv(f"{path}/main_csv")
+    rows = spark.read.option("header", "true").csv(f"{path}/audit_csv")
+    kept = ["S.N.", "Table", "Catalog", "Schema", "Source", "Accessible", "Total Records", "Columns", "Primary Key", "Comments"]
+    parts = [
+        main.select(F.lit("main_csv").alias("report"), F.concat_ws("|", *[F.col(f"`{c}`") for c in kept]).alias("line")),
+        rows.select(F.lit("audit_csv").alias("report"), F.concat_ws("|", "table_name", "description", "accessible", "row_count", "column_count", "column_names").alias("line")),
+    ]
+    for name, starts in (("main_md", ("- **", "## ")), ("samples_md", ("### ", "## ", "**Description"))):
+        lines = spark.read.text(f"{path}/{name}").select(F.lit(name).alias("report"), F.col("value").alias("line"))
+        parts.append(lines.filter(reduce(lambda a, b: a | b, [F.col("line").startswith(s) for s in starts])))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def q_report_sample_lines(spark, d):
     """The sample report, with samples in key order for the two tables of places."""
     sampled = []
@@ -598,7 +634,7 @@ SELECT table_name, 'audit' AS purpose, row_count FROM counts""",
     ),
     "table_times": (
         q_table_times,
-        f"WITH {_COUNTS_SQL} SELECT table_name, row_count, true AS has_created_at FROM counts",
+        f"WITH {_COUNTS_SQL} SELECT table_name, row_count, true AS created_in_session, '{_CHANGED}' AS updated_at FROM counts",
     ),
     "audit_tables": (
         q_audit_tables,
@@ -608,8 +644,10 @@ SELECT table_name, schema_name, short_name, description, "exists", accessible, e
     ),
     "audit_isolated": (
         q_audit_isolated,
-        f"""WITH {_AUDIT_SQL}
-SELECT table_name, row_count, CAST(CASE WHEN accessible THEN least(row_count, 5) ELSE 0 END AS INTEGER) AS sampled FROM audit""",
+        f"""WITH {_AUDIT_SQL}, sampled AS ({" UNION ALL ".join(
+            f"""SELECT '{s}.{t}' AS table_name, string_agg(CAST(k AS VARCHAR), ';' ORDER BY k) AS sampled
+  FROM (SELECT {SAMPLE_KEYS[t][0]} AS k FROM {t} ORDER BY {", ".join(SAMPLE_KEYS[t])} LIMIT 5)""" for s, ts in SCHEMAS.items() for t in ts)})
+SELECT table_name, row_count, sampled FROM audit LEFT JOIN sampled USING (table_name)""",
     ),
     "audit_unreadable": (
         q_audit_unreadable,
@@ -639,7 +677,10 @@ FROM entries JOIN audit USING (table_name) GROUP BY category""",
     ),
     "audit_missing": (
         q_audit_missing,
-        f'WITH {_AUDIT_SQL} SELECT table_name, error_class FROM audit WHERE NOT "exists"',
+        f"""WITH {_AUDIT_SQL}, of_nations AS (
+  SELECT 'geo.' || lower(n_name) AS table_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name)
+SELECT table_name, error_class, NULL AS n_customers FROM audit WHERE NOT "exists"
+UNION ALL SELECT table_name, 'Table does not exist', nullif(n, 0) FROM of_nations""",
     ),
     "audit_blocked": (
         q_audit_blocked,
@@ -728,6 +769,15 @@ FROM audit WHERE accessible GROUP BY 1""",
 SELECT section, CAST(r AS INTEGER) AS "row",
        CAST(unnest(generate_series(0, len(block) - 1)) AS INTEGER) AS ordinal, unnest(block) AS line
 FROM blocks""",
+    ),
+    "report_set": (
+        q_report_set,
+        f"""SELECT 'main_csv' AS report, concat_ws('|', serial, "table", "catalog", "schema", source, accessible, records, "columns", primary_key, comments) AS line
+FROM (WITH {_MAIN_SQL} SELECT * FROM main)
+UNION ALL SELECT 'audit_csv', concat_ws('|', table_name, description, accessible, row_count, column_count, column_names) FROM (WITH {_AUDIT_SQL} SELECT * FROM audit)
+UNION ALL SELECT 'main_md', line FROM (WITH {_LINES_SQL} SELECT unnest(block) AS line FROM blocks) WHERE line LIKE '- **%' OR line LIKE '## %'
+UNION ALL SELECT 'samples_md', line FROM (WITH {_SAMPLES_SQL} SELECT unnest(block) AS line FROM blocks)
+WHERE line LIKE '### %' OR line LIKE '## %' OR line LIKE '**Description%'""",
     ),
     "report_sample_lines": (
         q_report_sample_lines,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from spanworks.operators.weeks import start_stop_from_spans
@@ -14,7 +15,7 @@ from spanworks.sinks.snapshot import (
     read_snapshot,
     summarize_log,
 )
-from spanworks.sources.tables import load_table
+from spanworks.sources.tables import load_table, local_rows
 from spanworks.workdir import work_dir
 
 
@@ -91,6 +92,50 @@ def q_snapshot_ignore(spark, d):
     return _reread(spark, saver, orders.schema, 0)
 
 
+def q_snapshot_error(spark, d):
+    """A second save into the same path is refused, and the first stays."""
+    saver = _saver(spark, save_mode="error", include_timestamp=False)
+    orders = load_table(spark, d, "orders")
+    orders.transform(saver.save_transform()(large_orders))
+    try:
+        orders.filter("o_orderstatus = 'F'").transform(saver.save_transform()(large_orders))
+        refused = False
+    except AnalysisException:
+        refused = True
+    return _reread(spark, saver, orders.schema, 0).withColumn("refused", F.lit(refused))
+
+
+def q_snapshot_layout(spark, d):
+    """Where snapshots lie: function, time and phase; the time is written as one word here."""
+    saver = _saver(spark)
+    orders, events = load_table(spark, d, "orders"), load_table(spark, d, "events")
+    orders.transform(saver.save_transform(when="both")(large_orders))
+    events.transform(saver.save_transform(when="before")(failed_events)())
+    orders.transform(saver.save_transform()(large_orders))
+    orders.transform(saver.save_transform(include_timestamp=False, partitions=3)(large_orders))
+    below = F.substring("path", len(saver.config.save_path.rstrip("/")) + 2, 1000)
+    files = [
+        (path, len({r.file for r in read_snapshot(spark, path, "parquet", orders.schema if "orders" in name else events.schema)
+                   .select(F.col("_metadata.file_path").alias("file")).distinct().collect()}) == 3 and "large_orders/large_orders" == path[-25:])
+        for name, _, _, path, _ in saver.saves_log]
+    three = local_rows(spark, files, "path string, three_files boolean")
+    return saver.get_saves_summary(spark).join(three, "path").select(
+        F.regexp_replace(below, r"\d{8}_\d{6}_[0-9a-f]{8}", "time").alias("place"), "phase", "row_count", "three_files")
+
+
+def q_snapshot_settings(spark, d):
+    """Settings shared by decorators: one saves what goes in, the other what comes out."""
+    config = SnapshotConfig(work_dir(spark, "snapshots"), save_format="orc", include_timestamp=False)
+    orders = load_table(spark, d, "orders")
+    orders.transform(config.get_decorator("before")(large_orders))
+    orders.transform(config.get_decorator()(large_orders))
+    path = f"{config.save_path}/large_orders/large_orders"
+    parts = [
+        read_snapshot(spark, path + suffix, "orc", orders.schema).withColumn("saved", F.lit(name))
+        for name, suffix in (("before", "_before"), ("after", ""))]
+    return parts[0].unionByName(parts[1])
+
+
 def q_snapshot_coalesced(spark, d):
     saver = _saver(spark, coalesce_partitions=2)
     orders = load_table(spark, d, "orders")
@@ -155,6 +200,20 @@ _LOG_SQL = """saves AS (
 
 
 QUERIES = {
+    "snapshot_error": (q_snapshot_error, "SELECT *, true AS refused FROM orders WHERE o_totalprice > 250000"),
+    "snapshot_layout": (
+        q_snapshot_layout,
+        """WITH sizes AS (SELECT (SELECT count(*) FROM orders) AS every, (SELECT count(*) FROM orders WHERE o_totalprice > 250000) AS large, (SELECT count(*) FROM events) AS events)
+SELECT 'large_orders/large_orders_time_before' AS place, 'before' AS phase, every AS row_count, false AS three_files FROM sizes
+UNION ALL SELECT 'large_orders/large_orders_time_after', 'after', large, false FROM sizes
+UNION ALL SELECT 'failed_events/failed_events_time_before', 'before', events, false FROM sizes
+UNION ALL SELECT 'large_orders/large_orders_time', 'after', large, false FROM sizes
+UNION ALL SELECT 'large_orders/large_orders', 'after', large, true FROM sizes""",
+    ),
+    "snapshot_settings": (
+        q_snapshot_settings,
+        """SELECT *, 'before' AS saved FROM orders UNION ALL SELECT *, 'after' FROM orders WHERE o_totalprice > 250000""",
+    ),
     "snapshot_after": (q_snapshot_after, _LARGE),
     "snapshot_before": (q_snapshot_before, "SELECT * FROM orders"),
     "snapshot_both": (
