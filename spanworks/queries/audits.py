@@ -409,15 +409,45 @@ def q_report_set(spark, d):
     return reduce(DataFrame.unionAll, parts)
 
 
+#: Columns of the tables by how a sample shows them: numbers to four places, times, how many values; the rest as text.
+_PLACES = frozenset("c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value".split())
+_TIMES = frozenset("o_orderdate l_shipdate ts".split())
+_SHOWN = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label",
+    "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def _shown(df: DataFrame) -> list:
+    out = []
+    for c in df.columns:
+        if c in _PLACES:
+            cell = F.col(c).cast("decimal(18,4)").cast("string")
+        elif c in _TIMES:
+            cell = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        else:
+            cell = F.concat(F.size(c), F.lit(" values")) if c == "embedding" else F.substring(F.col(c).cast("string"), 1, audit.SAMPLE_CHARS)
+        out.append(cell.alias(c))
+    return out
+
+
 def q_report_sample_lines(spark, d):
-    """The sample report, with samples in key order for the two tables of places."""
+    """The sample report: the first five rows of every table by its key, ties by the other columns."""
     sampled = []
-    for table, key in (("nation", "n_nationkey"), ("region", "r_regionkey")):
-        rows = quality.quick_view(load_table(spark, d, table), [key], 5)
-        rows = rows.agg(F.array_sort(F.collect_list("row")).alias("sample"))
-        sampled.append(rows.select(F.lit(f"geo.{table}").alias("table_name"), "sample"))
-    samples = reduce(DataFrame.unionAll, sampled)
-    audited = _audit(spark, d).drop("sample").join(samples, "table_name", "left")
+    for schema, names in SCHEMAS.items():
+        for table in names:
+            df = load_table(spark, d, table)
+            keys = SAMPLE_KEYS[table]
+            order = [*keys, *[c for c in df.columns if c not in keys and c != "embedding"]]
+            first = df.orderBy(*order).limit(5).select(F.struct(F.struct(*order).alias("place"), F.to_json(F.struct(*_shown(df))).alias("row")).alias("r"))
+            rows = first.agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias("sample"))
+            sampled.append(rows.select(F.lit(f"{schema}.{table}").alias("table_name"), "sample"))
+    audited = _audit(spark, d).drop("sample").join(reduce(DataFrame.unionAll, sampled), "table_name", "left")
     return report.sample_lines(audited, CATEGORY_RULES, "Table Samples")
 
 
@@ -529,6 +559,26 @@ blocks AS (
   UNION ALL
   SELECT 4, serial, ['| ' || concat_ws(' | ', serial, "table", catalog, "schema", source, accessible,
                                        records, columns, primary_key, comments) || ' |'] FROM main)"""
+def _cell_sql(column: str) -> str:
+    if column in _PLACES:
+        text = f"CAST(CAST({column} AS DECIMAL(18, 4)) AS VARCHAR)"
+    elif column in _TIMES:
+        text = f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
+    else:
+        text = f"len({column}) || ' values'" if column == "embedding" else f"CAST({column} AS VARCHAR)"
+    short = f"CASE WHEN length({text}) > 40 THEN substr({text}, 1, 40) || '...' ELSE coalesce({text}, '') END"
+    return f"replace(translate({short}, chr(13) || chr(10), '  '), '|', '\\|')"
+
+
+def _sampled_rows_sql(table: str) -> str:
+    columns, keys = _SHOWN[table].split(), SAMPLE_KEYS[table]
+    order = ", ".join([*keys, *[c for c in columns if c not in keys and c != "embedding"]])
+    line = " || ' | ' || ".join(_cell_sql(c) for c in columns[:8])
+    return f"""SELECT '{table}' AS short_name, {len(columns)} AS n_columns, '| {" | ".join(columns[:8])} |' AS heading, '|{"|".join(["---"] * len(columns[:8]))}|' AS rule,
+  list('| ' || {line} || ' |' ORDER BY {order}) AS lines FROM (SELECT * FROM {table} ORDER BY {order} LIMIT 5)"""
+
+
+_SAMPLED_ROWS_SQL = " UNION ALL ".join(map(_sampled_rows_sql, ALL_TABLES))
 _SAMPLES_SQL = f"""{_AUDIT_SQL},
 placed AS (
   SELECT *, CASE WHEN schema_name IN ('sales', 'stream') THEN 'Business Tables'
@@ -538,12 +588,7 @@ numbered AS (
   SELECT *, CAST(row_number() OVER (ORDER BY section, table_name) AS INTEGER) AS r,
          row_number() OVER (PARTITION BY section ORDER BY table_name) = 1 AS is_first
   FROM placed),
-nation_rows AS (
-  SELECT list('| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' ORDER BY n_nationkey)
-           AS lines FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 5)),
-region_rows AS (
-  SELECT list('| ' || r_regionkey || ' | ' || r_name || ' |' ORDER BY r_regionkey) AS lines
-  FROM (SELECT * FROM region ORDER BY r_regionkey LIMIT 5)),
+samples AS ({_SAMPLED_ROWS_SQL}),
 blocks AS (
   SELECT 1 AS section, 1 AS r, ['# Table Samples', '',
     '**Summary:** ' || count(*) FILTER (WHERE accessible) || ' accessible tables out of ' || count(*)
@@ -551,14 +596,9 @@ blocks AS (
   UNION ALL
   SELECT 2, r, CASE WHEN is_first THEN ['## ' || section, ''] ELSE [] END
     || ['### ' || table_name, '**Description:** ' || description]
-    || CASE short_name
-         WHEN 'nation' THEN ['**Columns:** 3 | **Sample Rows:** 5', '',
-             '| n_nationkey | n_name | n_regionkey |', '|---|---|---|']
-           || (SELECT lines FROM nation_rows) || ['']
-         WHEN 'region' THEN ['**Columns:** 2 | **Sample Rows:** 5', '',
-             '| r_regionkey | r_name |', '|---|---|'] || (SELECT lines FROM region_rows) || ['']
-         ELSE ['*No data available*', ''] END AS block
-  FROM numbered)"""
+    || ['**Columns:** ' || n_columns || ' | **Sample Rows:** ' || len(lines), '', heading, rule] || lines
+    || CASE WHEN n_columns > 8 THEN ['*Note: Showing first 8 of ' || n_columns || ' columns*'] ELSE [] END || [''] AS block
+  FROM numbered JOIN samples USING (short_name))"""
 _IMPORTANT = [
     ("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("supplier", "s_name"),
     ("part", "p_name"), ("part", "p_type"), ("orders", "o_orderstatus"), ("lineitem", "l_discount"),
