@@ -14,7 +14,7 @@ Cases: vectors that are null, or hold a null or a component that is not finite,
 part. Shorter vectors count as filled with zeros. Among equal scores the smaller vec_id
 comes first. Rows that repeat a vec_id are all candidates, but never for the query of that
 id, which is asked once (by its least vector). Rows with a null vec_id take no part.
-Components times 256 and scores must fit a 64-bit integer.
+Scores must fit 62 bits: a longer vector ends in a ValueError.
 """
 
 from __future__ import annotations
@@ -48,7 +48,10 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = vector.values.to_numpy(zero_copy_only=False).astype(np.float64)
             if np.isfinite(x).all():
                 x = np.floor(SCALE * x)
-                rows.append((i, len(x), float(np.sqrt((x * x).sum())), x.astype("<i8").tobytes()))
+                norm = float(np.sqrt((x * x).sum()))
+                if not norm < 2**31:
+                    raise ValueError(f"the vector of vec_id {i} is too long for scores of 62 bits")
+                rows.append((i, len(x), norm, x.astype("<i8").tobytes()))
         columns = list(zip(*rows)) or [[]] * 4
         kinds = [pa.int64(), pa.int32(), pa.float64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["vec_id", "width", "norm", "cells"])

@@ -49,6 +49,8 @@ def test_top_k_of_few(spark):
     assert inner_product.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     one = spark.createDataFrame([(50, [1.0, 2.0], 0, 0)], VECTORS)
     assert inner_product.top_k(one).count() == 0
+    with pytest.raises(Exception, match="too long for scores"):
+        inner_product.top_k(spark.createDataFrame([(50, [1e30, 0.0], 0, 0)], VECTORS)).count()
 
 
 def test_bounds_hold():
