@@ -7,8 +7,10 @@ Base rules reject texts that are short or repeat themselves, whatever the lines
 
 The CRF is fitted on the driver with numpy by maximum likelihood, on at most ``SAMPLE``
 labelled documents (those with the least hash of their id; of a longer one a run
-of ``SAMPLE_LINES`` lines, its place chosen by a hash of the id): lines of documents of quality are taken for content, those of
-other documents for boilerplate. Decoding and rules are one pass without a shuffle.
+of ``SAMPLE_LINES`` lines, its place chosen by a hash of the id). Lines of documents of quality are taken for
+content, but those that stand in ``REPEATED`` or more of the sampled documents for boilerplate, as are all lines
+of other documents; so steps from content to boilerplate and back are learnt from. Decoding and rules
+are one pass without a shuffle.
 
 Cases: null and empty texts have zero counts and fail the base rules, as has any text
 without words. Without labelled documents of both kinds every line is content. Labels
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from spanworks.llm.features import NAMES, SYMBOL, counter, stretch_features
 from spanworks.llm.quality_model import adam, labelled_sample
-from spanworks.llm.words import Words, mix, prepare, range_hashes, split_words, text_pieces, window_hashes, word_hashes
+from spanworks.llm.words import Words, distinct, mix, prepare, range_hashes, split_words, text_pieces, window_hashes, word_hashes
 
 SAMPLE, SAMPLE_LINES = 2000, 64
+#: Documents of the sample in which a line stands that is taken for boilerplate wherever it stands.
+REPEATED = 10
 #: Words needed, most repeated words in 100, window of words, least content words in 100.
 MIN_WORDS, MAX_REPEATED, WINDOW, MIN_CONTENT = 50, 50, 3, 50
 _STEPS, _RATE, _DECAY = 120, 0.08, 1e-4
@@ -166,15 +170,25 @@ class Chain:
         return {"weight": x.T @ residual, "bias": np.array([residual.sum()]), "step": steps / n, "start": start / n}
 
 
-def fit_chain(sets: list[np.ndarray], labels: np.ndarray) -> Chain | None:
-    """The CRF of labelled texts, given the features of their lines; None unless both labels occur."""
+def weak_labels(hashes: list[np.ndarray], labels: np.ndarray, repeated: int = REPEATED) -> list[np.ndarray]:
+    """The state of each line of each text: the text's label, but 0 where ``repeated`` texts have the line."""
+    every = [distinct(h) for h in hashes]
+    lines, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+    often = lines[n >= repeated]
+    return [np.where(np.isin(h, often), 0.0, float(label)) for h, label in zip(hashes, labels)]
+
+
+def fit_chain(sets: list[np.ndarray], labels: np.ndarray, states: list[np.ndarray] | None = None) -> Chain | None:
+    """The CRF of labelled texts, given the features of their lines and, if not the texts' labels, their states; None unless both labels occur."""
+    states = states or [np.full(len(s), float(y)) for s, y in zip(sets, labels)]
+    states = [s for s, x in zip(states, sets) if len(x)]
     known = [k for k, s in enumerate(sets) if len(s)]
     sets, labels = [sets[k] for k in known], labels[known]
     if len(set(labels.tolist())) < 2:
         return None
     rows = np.concatenate(sets).astype(np.float64)
     sizes = np.array([len(s) for s in sets])
-    first, states = np.concatenate([[0], np.cumsum(sizes)]), np.repeat(labels, sizes).astype(float)
+    first, states = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(states)
     parts = {"weight": np.zeros(rows.shape[1]), "bias": np.zeros(1), "step": np.zeros((2, 2)), "start": np.zeros(2)}
     chain = Chain(rows.mean(0), rows.std(0) + 1e-3, parts)
     adam(parts, lambda: chain.gradients(rows, first, states), _STEPS, _RATE, _DECAY)
@@ -188,24 +202,26 @@ def place_of_run(doc_id: int, lines: int) -> int:
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cells = []
+        cells, hashes = [], []
         for low, _, data, bounds in text_pieces(batch.column(2)):
             words = split_words(data, bounds, lower=False)
             lines = split_lines(words)
-            rows = stretch_features(words, lines.edges)
+            rows, keys = stretch_features(words, lines.edges), range_hashes(words.data, lines.start, lines.end)
             for n, (a, b) in enumerate(zip(lines.first[:-1], lines.first[1:]), low):
                 a += place_of_run(batch.column(0)[n].as_py(), int(b - a))
                 cells.append(rows[a : min(a + SAMPLE_LINES, b)].astype("<f4").tobytes())
+                hashes.append(keys[a : min(a + SAMPLE_LINES, b)].astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(cells, pa.binary())], names=["doc_id", "quality", "lines"])
+            [batch.column(0), batch.column(1), pa.array(cells, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "quality", "lines", "hashes"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
     prepare(docs.sparkSession)
-    rows = labelled_sample(docs, labels, sample).mapInArrow(_line_rows, "doc_id long, quality int, lines binary").collect()
+    rows = labelled_sample(docs, labels, sample).mapInArrow(_line_rows, "doc_id long, quality int, lines binary, hashes binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.lines)))
     sets = [np.frombuffer(r.lines, "<f4").reshape(-1, len(NAMES)) for r in rows]
-    return fit_chain(sets, np.array([r.quality for r in rows]))
+    labels = np.array([r.quality for r in rows])
+    return fit_chain(sets, labels, weak_labels([np.frombuffer(r.hashes, "<u8") for r in rows], labels))
 
 
 def judge(column: pa.Array, chain: Chain | None) -> tuple[np.ndarray, np.ndarray]:

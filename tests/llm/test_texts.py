@@ -180,7 +180,7 @@ def test_training_lines_of_long_texts(spark):
     """The lines learnt from are a run anywhere in the text, its end included, and all of a short one."""
     texts = [(k, 1, "\n".join(f"{'x' * (n + 1)} y" for n in range(100 if k else 5))) for k in range(60)]
     rows = spark.createDataFrame(texts, "doc_id long, quality int, text string").mapInArrow(
-        line_labels._line_rows, "doc_id long, quality int, lines binary").collect()
+        line_labels._line_rows, "doc_id long, quality int, lines binary, hashes binary").collect()
     whole = {n: np.frombuffer(r.lines, "<f4").reshape(-1, len(line_labels.NAMES)) for n, r in ((r.doc_id, r) for r in rows)}
     assert len(whole[0]) == 5 and {len(v) for k, v in whole.items() if k} == {line_labels.SAMPLE_LINES}
     assert len({v.tobytes() for k, v in whole.items() if k}) > 10
@@ -188,6 +188,32 @@ def test_training_lines_of_long_texts(spark):
     assert places == set(range(100 - line_labels.SAMPLE_LINES + 1))
 
 
+def test_the_chain_switches_within_a_text():
+    """Lines that many sampled texts share are learnt as boilerplate, and found in a good text that holds them."""
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(3, 9) for _ in range(9)) + "."
+    notices = ["CLICK HERE!!! $$$ | Subscribe | Log in | FREE", "Cookies | Privacy | Terms | © 2020 ####"]
+    texts = [([line() for _ in range(6)], 1) for _ in range(60)] + [([f"BUY $$$ {k} | NOW!!! ####" for k in range(6)], 0) for _ in range(40)]
+    for k, (lines, _) in enumerate(texts[:40]):
+        lines.insert(rng.randint(0, len(lines)), notices[k % 2])
+    sets, hashes = [], []
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(range(len(texts)), pa.int64()), pa.array([y for _, y in texts], pa.int32()), pa.array(["\n".join(x) for x, _ in texts])],
+        names=["doc_id", "quality", "text"])
+    for out in line_labels._line_rows(iter([batch])):
+        sets = [np.frombuffer(x, "<f4").reshape(-1, len(line_labels.NAMES)) for x in out.column(2).to_pylist()]
+        hashes = [np.frombuffer(x, "<u8") for x in out.column(3).to_pylist()]
+    labels = np.array([y for _, y in texts])
+    states = line_labels.weak_labels(hashes, labels)
+    assert [s.tolist() for s in states] == [[0.0 if x in notices else float(y) for x in lines] for lines, y in texts]
+    chain = line_labels.fit_chain(sets, labels, states)
+    mixed = [line() for _ in range(4)] + [notices[0]] + [line() for _ in range(4)]
+    counts, content = line_labels.judge(pa.array(["\n".join(mixed)]), chain)
+    assert content[0] == counts[0][0] - len(notices[0].split())
+    alone = line_labels.fit_chain(sets, labels)
+    assert alone.parts["step"][1, 0] < chain.parts["step"][1, 0]
+
+
 def counts_by_force(text):
     text = text or ""
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
