@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanworks.llm.graph import join_dealt_anew
 from spanworks.llm.words import prepare
 from spanworks.workdir import materialize
 
 #: Pages that a node needs on its host, and the importance from which it stays.
 MIN_PAGES, IMPORTANCE = 5, 0.2
+#: Keys that the pages of one site are dealt to.
+PARTS = 32
 
 # Elements of HTML by their role here.
 BLOCKS = frozenset(
@@ -305,7 +306,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, importance: float = IM
     nodes = plain.where("site is not null").select("site", "html").mapInArrow(_nodes, "site long, path long, shape long, text long")
     nodes = materialize(nodes, "nodes")
     low = low_branches(nodes, min_pages, importance)
-    # a site of any share of the pages is split at run time, as its list is one row
-    sited = join_dealt_anew(plain.where("site is not null"), low, "site", "left").select("page_id", "url", "html", "low")
+    # a site's pages are dealt to several keys, each with a copy of the site's list; beyond these, large keys are
+    # split at run time, which takes a fresh exchange of either side (see graph.join_dealt_anew)
+    dealt = F.bitwise_not("site").alias("dealt")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int").alias("part")
+    parted = plain.where("site is not null").select("page_id", "url", "html", dealt, part)
+    copies = low.select(dealt, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), "low")
+    sited = parted.join(copies, ["dealt", "part"], "left").select("page_id", "url", "html", "low")
     alone = plain.where("site is null").select("page_id", "url", "html", F.lit(None).cast("array<long>").alias("low"))
     return sited.unionAll(alone).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -17,5 +17,5 @@ def test_query(spark, data_dir, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in driver.queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {name.split("_")[0] for name in driver.queries()}
     assert "pipeline" in driver.queries()
