@@ -7,6 +7,10 @@ of at least one week always starts a new episode.
 
 After reduction to weeks an entity has at most one row per calendar week, so the
 windows below run on groups bounded by the calendar, however many spans there are.
+
+Which span owns which unit (week or day) is settled without listing units: those of a span are
+bits, ``BLOCK`` to a block, and the blocks that it fills are bits of blocks of blocks. A block
+belongs to its spans in their order: what earlier ones have taken is masked out.
 """
 
 from __future__ import annotations
@@ -18,7 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from spanworks.functions.dates import iso_week, week_start
-from spanworks.operators.ordered import latest_per_key, next_value
+from spanworks.operators.ordered import MOST_PIECES, PIECE_BYTES, latest_per_key, next_value
+from spanworks.workdir import UNKNOWN_BYTES, estimated_bytes, materialize
+
+#: Units of a block, so that their bits stay within a positive long; the units are counted from a Monday.
+BLOCK, _MONDAY = 60, "1970-01-05"
+#: Bytes of the spans of a partition, by Spark's estimate, where spans become weeks: some fifty thousand spans.
+SPAN_BYTES = 1 << 20
 
 
 def spans_from_events(
@@ -48,9 +58,70 @@ def weekly_episodes(spans: DataFrame, start: str, end: str, as_of: str) -> DataF
     return weekly.withColumn("iso_week", iso_week(F.col("week_start")))
 
 
+def _shifted(mask: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", mask, by)
+
+
+def _has(mask: Column, place: Column) -> Column:
+    return F.call_function("shiftright", mask, place).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _stretch(first: Column, last: Column) -> Column:
+    """The mask of the places ``first`` .. ``last`` of a block."""
+    return _shifted(_shifted(F.lit(1).cast("long"), last - first + 1) - 1, first)
+
+
+def _places(mask: Column) -> Column:
+    """The places of a mask that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda b: _has(mask, b))
+
+
+def _runs(mask: Column) -> Column:
+    """The runs of set places of a mask that is not 0, as an array of ``first`` and ``last``."""
+    def run(first: Column) -> Column:
+        rest = F.call_function("shiftright", mask, first)
+        return F.struct(first.alias("first"), (first + F.bit_count(rest.bitwiseXOR(rest + 1)) - 2).alias("last"))
+
+    begins = mask.bitwiseAND(F.bitwise_not(_shifted(mask, F.lit(1))))
+    lowest = F.bit_count(mask.bitwiseXOR(mask - 1)) - 1
+    return F.when(F.bit_count(begins) == 1, F.array(run(lowest))).otherwise(F.transform(_places(begins), run))
+
+
+def _left_over(rows: DataFrame, block: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
+    """Rows with what is left of ``_mask`` by the rows before them in their block; those left with nothing are gone."""
+    before = W.partitionBy(*block).orderBy(*newest_first).rowsBetween(W.unboundedPreceding, -1)
+    taken = F.coalesce(F.bit_or("_mask").over(before), F.lit(0).cast("long"))
+    return rows.withColumn("_mask", F.col("_mask").bitwiseAND(F.bitwise_not(taken))).filter("_mask <> 0")
+
+
+def _partitions(df: DataFrame, size: int) -> int:
+    """Partitions for rows that will be multiplied: as many as asked for, more if they would be large."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PIECES, size // SPAN_BYTES))
+
+
 def weekly_unique(weekly: DataFrame, entity: Sequence[str], start: str, tie: str) -> DataFrame:
-    """One row per entity and week: the span that starts last, then the larger ``tie``."""
-    return latest_per_key(weekly, [*entity, "week_start"], [F.desc(start), F.desc(tie)])
+    """One row per entity and week: the span that starts last, then the larger ``tie``.
+
+    Beyond ``SPAN_BYTES`` weekly rows do not move: those that differ in nothing but the week (and
+    ``iso_week``, its label) become the bits of blocks of weeks first, and are listed again where
+    all that is left of their entity is. Before that, of equal bits of a block only the winner moves.
+    """
+    size = estimated_bytes(weekly)
+    newest_first = [F.desc(start), F.desc(tie)]
+    if size <= SPAN_BYTES or dict(weekly.dtypes)["week_start"] != "date":
+        return latest_per_key(weekly, [*entity, "week_start"], newest_first)
+    days = F.datediff("week_start", F.lit(_MONDAY).cast("date"))
+    block = F.floor(days / (7 * BLOCK)).cast("int")
+    place = F.coalesce(F.floor(days / 7).cast("int") - block * BLOCK, F.lit(0))
+    own = [F.col(f"`{c}`") for c in weekly.columns if c not in ("week_start", "iso_week")]
+    masks = weekly.groupBy(*own, F.pmod(days, F.lit(7)).alias("_day"), block.alias("_block")).agg(
+        F.bit_or(_shifted(F.lit(1).cast("long"), place)).alias("_mask"))
+    in_block = [*entity, "_day", "_block"]
+    fewer = latest_per_key(masks, [*in_block, "_mask"], newest_first).repartition(_partitions(weekly, size), *entity)
+    listed = _left_over(fewer, in_block, newest_first).withColumn("_place", F.explode(_places(F.col("_mask"))))
+    listed = listed.withColumn("week_start", F.date_add(
+        F.lit(_MONDAY).cast("date"), (F.col("_block") * BLOCK + F.col("_place")) * 7 + F.col("_day")))
+    return listed.withColumn("iso_week", iso_week(F.col("week_start"))).select(*[F.col(f"`{c}`") for c in weekly.columns])
 
 
 def weekly_owned(
@@ -63,14 +134,15 @@ def weekly_owned(
 def week_ranges(
     spans: DataFrame, entity: Sequence[str], start: str, end: str, tie: str, as_of: str, pieces: int | None = None,
 ) -> DataFrame:
-    """The weeks each span owns, as ``start_week`` .. ``end_week``, listing only contested ones.
-
-    Equal to ``weekly_episodes`` + ``weekly_unique``, for overlapping spans too, but moves one
-    row per span instead of one per week. A span surely owns the weeks before the next one
-    starts. If it outlasts the next one, the weeks after that one's end are contested:
-    these are listed, and go to the latest started span that has them, unless some span
-    surely owns them. Adds ``since_week``, the first week of the entity, and ``last_week``,
-    the last week that the span owns, as a span may own several ranges.
+    """The weeks each span owns, as ``start_week`` .. ``end_week``, without listing any.
+
+    Equal to ``weekly_episodes`` + ``weekly_unique``, for overlapping spans too, but moves a
+    few rows per span instead of one per week. Adds ``since_week``, the first week of the entity,
+    and ``last_week``, the last week that the span owns, as a span may own several ranges.
+
+    The spans of an entity meet in one partition. If there are more than one piece holds by Spark's
+    estimate (or ``pieces`` is above 1), only the winner of equal bits of a block goes there, so
+    that an entity sends as many rows as the calendar allows, however many spans it has.
     """
     clipped = _clip(spans, start, end, as_of)
     first, last = week_start(F.col("_from")), week_start(F.date_sub(F.col("_to"), 1))
@@ -90,29 +162,54 @@ def _owned(
     clipped: DataFrame, first: Column, last: Column, days: int, entity: Sequence[str], tie: str, pieces: int | None,
 ) -> DataFrame:
     """The units of ``days`` days that each span owns; ``first`` and ``last`` are the units it touches."""
-    unit = F.expr(f"interval {days} days")
-    clipped = clipped.withColumn("_own", F.struct(first.alias("first"), last.alias("last")))
-    followed = next_value(clipped, entity, ["_from", tie], "_own", "_next", pieces, spread=True)
-    own, following = F.col("_own"), F.col("_next")
-
-    def piece(low, high, contested):
-        return F.struct(low.alias("low"), high.alias("high"), F.lit(contested).alias("contested"))
-
-    none = F.array().cast("array<struct<low:date,high:date,contested:int>>")
-    until = F.least(own["last"], F.date_sub(following["first"], days))
-    sure = F.when(own["first"] <= until, F.array(piece(own["first"], until, 0))).otherwise(none)
-    beyond = F.sequence(F.date_add(following["last"], days), own["last"], unit)
-    tail = F.when(own["last"] > following["last"], F.transform(beyond, lambda d: piece(d, d, 1))).otherwise(none)
-    pieces = followed.withColumn("_piece", F.explode(F.concat(sure, tail))).drop("_own", "_next", "_to").withColumns(
-        {"start_week": F.col("_piece.low"), "end_week": F.col("_piece.high"), "_contested": F.col("_piece.contested")}
-    ).drop("_piece")
-    pieces = latest_per_key(pieces, [*entity, "start_week", "_contested"], [F.desc("_from"), F.desc(tie)])
-    # from here on an entity has at most two rows per unit of the calendar
-    w = W.partitionBy(*entity).orderBy("start_week", "_contested")
-    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    sure_until = F.max(F.when(F.col("_contested") == 0, F.col("end_week"))).over(so_far)
-    owned = pieces.withColumn("_sure_until", sure_until).filter(
-        "_contested = 0 or _sure_until is null or _sure_until < start_week").drop("_contested", "_sure_until")
+    size = estimated_bytes(clipped)
+    if size >= UNKNOWN_BYTES:
+        clipped = materialize(clipped, "clipped")
+        size = estimated_bytes(clipped)
+    large = size > PIECE_BYTES if pieces is None else pieces > 1
+    monday, newest_first = F.lit(_MONDAY).cast("date"), [F.desc("_from"), F.desc(tie)]
+    spans = clipped.withColumns(
+        {"_low": (F.datediff(first, monday) / days).cast("int"), "_high": (F.datediff(last, monday) / days).cast("int")}).drop("_to")
+    if not large:
+        spans = spans.repartition(_partitions(clipped, size), *entity)
+
+    def within(unit: Column) -> Column:
+        return F.floor(unit / BLOCK).cast("int")
+
+    def piece(level: int, block: Column, mask: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), block.alias("block"), mask.alias("mask"))
+
+    def filled(outer: Column) -> Column:
+        at = outer * BLOCK
+        return piece(1, outer, _stretch(F.greatest(begin + 1 - at, F.lit(0)), F.least(stop - 1 - at, F.lit(BLOCK - 1))))
+
+    low, high = F.col("_low"), F.col("_high")
+    begin, stop = within(low), within(high)
+    one = F.array(piece(0, begin, _stretch(low - begin * BLOCK, high - begin * BLOCK)))
+    two = F.array(
+        piece(0, begin, _stretch(low - begin * BLOCK, F.lit(BLOCK - 1))), piece(0, stop, _stretch(F.lit(0), high - stop * BLOCK)))
+    between = F.transform(F.sequence(within(begin + 1), within(stop - 1)), filled)
+    cut = F.when(begin == stop, one).when(begin + 1 == stop, two).otherwise(F.concat(two, between))
+    bits = spans.withColumn("_piece", F.explode(cut)).withColumns(
+        {"_level": F.col("_piece.level"), "_block": F.col("_piece.block"), "_mask": F.col("_piece.mask")}).drop("_piece", "_low", "_high")
+    if large:
+        bits = latest_per_key(bits, [*entity, "_level", "_block", "_mask"], newest_first).repartition(
+            _partitions(clipped, size), *entity)
+    bits = _left_over(bits, [*entity, "_level", "_block"], newest_first)
+    # the owner of a filled block meets the spans that begin or end in the block
+    opened = F.when(F.col("_level") == 0, F.array(F.struct(F.col("_block").alias("block"), F.col("_mask").alias("mask")))).otherwise(
+        F.transform(_places(F.col("_mask")), lambda b: F.struct(
+            (F.col("_block") * BLOCK + b).alias("block"), F.lit((1 << BLOCK) - 1).cast("long").alias("mask"))))
+    bits = bits.withColumn("_piece", F.explode(opened)).withColumns(
+        {"_block": F.col("_piece.block"), "_mask": F.col("_piece.mask")}).drop("_piece", "_level")
+    bits = _left_over(bits, [*entity, "_block"], newest_first)
+
+    def date(place: Column) -> Column:
+        return F.date_add(monday, (F.col("_block") * BLOCK + place) * days)
+
+    # from here on an entity has at most one row per unit of the calendar
+    owned = bits.withColumn("_piece", F.explode(_runs(F.col("_mask")))).withColumns(
+        {"start_week": date(F.col("_piece.first")), "end_week": date(F.col("_piece.last"))}).drop("_piece", "_block", "_mask")
     by_span = W.partitionBy(*entity, "_from", tie)
     ordered = by_span.orderBy("start_week")
     touching = F.col("start_week") == F.date_add(F.lag("end_week").over(ordered), days)
