@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from spanworks.workdir import materialize
+
 #: Decimal places of salaries that count; more than any currency has.
 SALARY_PLACES = 6
 
@@ -54,8 +56,13 @@ def span_of_control(
 def keep_valid_managers(
     weekly: DataFrame, valid: DataFrame, manager: Sequence[str],
 ) -> DataFrame:
-    """Weekly rows whose (manager, week) passed ``span_of_control``."""
-    return weekly.join(valid, [*manager, "week_start"], "left_semi")
+    """Weekly rows whose (manager, week) passed ``span_of_control``.
+
+    The passed weeks are written first: once Spark knows how few they are, the weekly rows, many
+    to a manager and week, need not be brought together by these.
+    """
+    passed = materialize(valid.select(*manager, "week_start"), "valid")
+    return weekly.join(passed, [*manager, "week_start"], "left_semi")
 
 
 def team_trailing(
