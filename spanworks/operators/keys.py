@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,8 @@ from spanworks.workdir import materialize
 
 #: Size of the distinct sketches (log2), their relative deviation, how many deviations a set may fall short, sketches in one pass.
 REGISTERS, DEVIATION, DEVIATIONS, AT_ONCE = 13, 0.0115, 6, 128
+#: Columns in a mask; of the values that a set of columns is tried on, one in so many goes first.
+BITS, SLICES = 62, 64
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
 
 
@@ -41,15 +43,24 @@ def _sketched(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> list[int]:
     return out
 
 
-def _repeated(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> set[int]:
-    """The places of the sets on which two rows agree, for all sets in one pass; values meet by two 64-bit hashes."""
+def _repeated(df: DataFrame, sets: Sequence[tuple[str, ...]], slices: int = SLICES) -> set[int]:
+    """The places of the sets on which two rows agree, for all sets in one pass; values meet by two 64-bit hashes.
+
+    Rows that agree fall into the same slice of the hashes, so most sets are refuted by one slice of
+    them; only those that it does not refute have all their rows brought together.
+    """
     out: set[int] = set()
     for at in range(0, len(sets), AT_ONCE):
         cells = F.array(*[
             F.struct(F.lit(at + i).alias("place"), *[F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in s]).alias(f"h{seed}") for seed in (1, 2)])
             for i, s in enumerate(sets[at : at + AT_ONCE])])
+        if slices > 1:
+            cells = F.filter(cells, lambda c: F.pmod(c["h1"], F.lit(slices)) == 0)
         counted = df.select(F.explode(cells).alias("c")).groupBy("c.place", "c.h1", "c.h2").agg(F.count(F.lit(1)).alias("n"))
         out |= {r.place for r in counted.filter("n > 1").select("place").distinct().collect()}
+    if slices > 1:
+        left = [i for i in range(len(sets)) if i not in out]
+        out |= {left[i] for i in _repeated(df, [sets[i] for i in left], 1)}
     return out
 
 
@@ -86,6 +97,33 @@ def _kind(kind: T.DataType) -> str | None:
     return "string" if isinstance(kind, T.StringType) else None
 
 
+def _lacking(tables: Mapping[str, DataFrame], pairs: Sequence[tuple[str, str, str, str]], kind: str) -> set[tuple[str, str, str, str]]:
+    """The pairs (key table, key column, table, column) whose column has a value that the key lacks.
+
+    Every value is brought together once, with the columns that have it as bits, for all pairs.
+    """
+    columns = sorted({p[:2] for p in pairs} | {p[2:] for p in pairs})
+    place = {c: divmod(i, BITS) for i, c in enumerate(columns)}
+    words = [f"m{w}" for w in range(len(columns) // BITS + 1)]
+
+    def bit(column: tuple[str, str], word: int) -> Column:
+        return F.lit(1 << place[column][1] if place[column][0] == word else 0).cast("long")
+
+    cells = [
+        tables[t].select(F.explode(F.array(*[
+            F.struct(F.col(f"`{c}`").cast(kind).alias("v"), *[bit((t, c), w).alias(m) for w, m in enumerate(words)])
+            for at, c in columns if at == t])).alias("c")).select("c.*").filter("v is not null")
+        for t in sorted({t for t, _ in columns})]
+    held = reduce(DataFrame.unionAll, cells).groupBy("v").agg(*[F.bit_or(m).alias(m) for m in words])
+    keys = sorted({p[:2] for p in pairs})
+    row = held.agg(*[
+        F.bit_or(F.when(F.col(f"m{place[k][0]}").bitwiseAND(F.lit(1 << place[k][1]).cast("long")) == 0, F.col(m))).alias(f"k{i}{m}")
+        for i, k in enumerate(keys) for m in words]).first()
+    return {
+        p for p in pairs
+        if (row[f"k{keys.index(p[:2])}m{place[p[2:]][0]}"] or 0) >> place[p[2:]][1] & 1}
+
+
 def inclusions(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mapping[str, str], kinds: Sequence[str] = ("long", "string")) -> DataFrame:
     """(table_name, column_name, key_table, key_column) of all columns whose every value is in the key column.
 
@@ -110,15 +148,6 @@ def inclusions(spark: SparkSession, tables: Mapping[str, DataFrame], keys: Mappi
     pairs = sketches.join(of_keys, "kind").filter("table_name <> key_table OR column_name <> key_column").filter(
         (F.theta_sketch_estimate("sketch") > 0) & (F.theta_sketch_estimate(F.theta_difference("sketch", "whole")) == 0))
     likely = sorted(tuple(r) for r in pairs.select("key_table", "key_column", "table_name", "column_name", "kind").collect())
-    refuted = [local_rows(spark, [], "key_table string, table_name string, column_name string")]
-    for key_table in sorted({p[0] for p in likely}):
-        own = [p for p in likely if p[0] == key_table]
-        kind, key = own[0][4], own[0][1]
-        values = reduce(DataFrame.unionAll, [
-            tables[t].select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col(f"`{c}`").cast(kind).alias("v"))
-            .filter("v is not null").distinct() for _, _, t, c, _ in own])
-        there = tables[key_table].select(F.col(f"`{key}`").cast(kind).alias("v"))
-        refuted.append(values.join(there, "v", "left_anti").select(F.lit(key_table).alias("key_table"), "table_name", "column_name").distinct())
-    found = local_rows(spark, [p[:4] for p in likely], "key_table string, key_column string, table_name string, column_name string")
-    return found.join(reduce(DataFrame.unionAll, refuted), ["key_table", "table_name", "column_name"], "left_anti").select(
-        "table_name", "column_name", "key_table", "key_column")
+    lacking = {kind: _lacking(tables, [p[:4] for p in likely if p[4] == kind], kind) for kind in dict.fromkeys(p[4] for p in likely)}
+    found = [(t, c, kt, kc) for kt, kc, t, c, kind in likely if (kt, kc, t, c) not in lacking[kind]]
+    return local_rows(spark, found, "table_name string, column_name string, key_table string, key_column string")

@@ -148,3 +148,18 @@ def test_mean_salary(spark, salaries):
     want = sum(known) / len(known) if known else None
     assert got.headcount == len(salaries)
     assert got.mean_salary is None if want is None else got.mean_salary != got.mean_salary if want != want else got.mean_salary == pytest.approx(want)
+
+
+def test_inclusions_meet_in_one_grouping_of_any_number_of_columns(spark):
+    """More columns than a mask has bits; every other one has a value that the key lacks."""
+    wide = spark.range(200).select(*[(F.col("id") + F.lit(i % 2)).alias(f"c{i}") for i in range(keys.BITS + 8)])
+    pairs = [("key", "id", "wide", c) for c in wide.columns]
+    got = keys._lacking({"key": spark.range(200), "wide": wide}, pairs, "long")
+    assert got == {p for p in pairs if int(p[3][1:]) % 2}
+
+
+def test_few_repeats_are_found_behind_the_slice(spark):
+    """One pair of equal rows among many: all slices but one would miss it."""
+    df = spark.range(5000).select("id", F.when(F.col("id") == 4999, 0).otherwise(F.col("id")).alias("once"))
+    assert keys._repeated(df, [("id",), ("once",), ("id", "once")]) == {1}
+    assert keys._repeated(df, [("once",)], 1) == {0}
