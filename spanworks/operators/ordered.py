@@ -1,11 +1,13 @@
 """Ordered per-key operators in which no key goes whole into one task.
 
 What a row receives from the rows before it can be put together from summaries of stretches of
-rows. So rows are cut into pieces, ranges of (keys, order) whose borders are read off a sample of
+rows. So rows are cut into pieces at borders, places of (keys, order) that are read off a sample of
 the rows themselves: a piece holds about ``PIECE_BYTES``, whatever the types of the columns, the
-spread of the times or the size of a key. Most keys lie within one piece. A key that goes on over
-a border has one summary per piece, combined before its shuffle; these few rows are carried along
-the pieces of the key, and reach the rows as one carry row at the head or the tail of a piece.
+spread of the times or the size of a key. Most keys have no border and stay whole; a row looks
+only at the borders that share a slot with its key, so these keys cost the same however many
+borders there are. A key that goes on over a border has one summary per piece, combined before its
+shuffle; these few rows are carried along the pieces of the key, and reach the rows as one carry
+row at the head or the tail of a piece.
 The rows themselves cross one shuffle.
 
 An input that is more than a scan is written once before it is cut, so that the sample, the
@@ -20,7 +22,6 @@ of their own.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,8 +32,8 @@ from spanworks.workdir import UNKNOWN_BYTES, estimated_bytes, materialize, once
 
 #: Bytes of a piece, by Spark's estimate (that of files for scans).
 PIECE_BYTES = 64 << 20
-#: The most pieces; and sampled rows for each, so that pieces differ little in size.
-MOST_PIECES, SAMPLED = 10_000, 32
+#: The most pieces; sampled rows for each, so that pieces differ little in size; and slots for each, so that few keys share one.
+MOST_PIECES, SAMPLED, SLOTS = 10_000, 32, 16
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
@@ -63,24 +64,24 @@ def _cut(df: DataFrame, pieces: int | None) -> tuple[DataFrame, int]:
     return df, pieces or min(MOST_PIECES, 1 + estimated_bytes(df) // PIECE_BYTES)
 
 
-def _borders(rows: DataFrame, place: Column, pieces: int, width: int) -> Column:
-    """The first place of each piece but one, as ``fine`` groups of ``width`` and the ``coarse`` first of each group."""
+def _borders(rows: DataFrame, place: Column, pieces: int, slot: Callable[[Column], Column]) -> Column:
+    """The first places of all pieces but one, sorted, in an array for each slot: that of their key."""
     sample = rows.select(place.alias("p")).orderBy(F.xxhash64("p"), "p").limit(SAMPLED * pieces)
     ranked = sample.agg(F.sort_array(F.collect_list("p")).alias("s"))
     step = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(pieces)).cast("int"))
     ranked = ranked.withColumn("step", step)
     ranked = ranked.select(F.filter("s", lambda p, i: (i + 1) % F.col("step") == 0).alias("b"))
-    groups = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size("b") / F.lit(width)).cast("int") - 1))
-    ranked = ranked.withColumn("fine", F.transform(groups, lambda g: F.slice("b", g * width + 1, F.lit(width))))
-    filled = F.filter("fine", lambda f: F.size(f) > 0)
-    return ranked.select(F.struct(filled.alias("fine"), F.transform(filled, lambda f: F.get(f, F.lit(0))).alias("coarse"))).scalar()
+    taken = F.transform("b", lambda p: F.struct(slot(p["key"]).alias("slot"), p.alias("p")))
+    empty = F.transform(F.sequence(F.lit(0), F.lit(SLOTS * pieces - 1)), lambda i: F.struct(i.alias("slot"), F.get("b", F.lit(-1)).alias("p")))
+    filled = ranked.select(F.inline(F.concat(taken, empty))).groupBy("slot").agg(F.sort_array(F.collect_list("p")).alias("places"))
+    slots = F.sort_array(F.collect_list(F.struct("slot", "places")))
+    return filled.agg(F.transform(slots, lambda s: s["places"])).scalar()
 
 
-def _passed(borders: Column, width: int, reached: Callable[[Column], Column]) -> Column:
-    """How many borders are ``reached``, which holds up to some border and for none after it."""
-    group = F.size(F.filter(borders["coarse"], reached))
-    last = F.get(borders["fine"], group - 1)
-    return F.when(group > 0, (group - 1) * width + F.size(F.filter(last, reached))).otherwise(F.lit(0))
+def _passed(places: Column, pieces: int, reached: Callable[[Column], Column]) -> Column:
+    """How many of the sorted ``places``, at most ``pieces``, are ``reached``, which holds up to one of them; found by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(pieces.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when(reached(F.get(places, n + s - 1)), n + s).otherwise(n))
 
 
 def _with_carry(
@@ -102,13 +103,19 @@ def _with_carry(
     piece, carried_side = free_name(df, "_piece"), free_name(df, "_side")
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     place = F.struct(key.alias("key"), F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("at"))
-    width = math.isqrt(pieces - 1) + 1
-    held = free_name(df, "_borders")
-    borders = F.col(held)
-    cut = df.withColumn(held, _borders(df, place, pieces, width)).withColumn(
-        piece, _passed(borders, width, lambda b: b <= place))
-    goes_on = _passed(borders, width, lambda b: b["key"] < key) < _passed(borders, width, lambda b: b["key"] <= key)
-    per_piece = cut.filter(goes_on).groupBy(*keys, piece).agg(*[c.alias(n) for n, c in summary.items()])
+    # keys that are equal may differ in bytes where their collation says so
+    hashed = [f"k{i}" for i, f in enumerate(df.select(*keys).schema) if "collate" not in f.dataType.simpleString()]
+
+    def slot(key: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(0), *[key[f] for f in hashed]), F.lit(SLOTS * pieces)).cast("int")
+
+    held = free_name(df, "_places")
+    places, near = F.col(held), F.size(held) > 0
+    # in most slots there is no border: their keys are whole, and any number will do that is the same for all of a key
+    cut = df.withColumn(held, F.get(_borders(df, place, pieces, slot), slot(key))).withColumn(
+        piece, F.when(near, _passed(places, pieces, lambda b: b <= place)).otherwise(slot(key)))
+    goes_on = _passed(places, pieces, lambda b: b["key"] < key) < _passed(places, pieces, lambda b: b["key"] <= key)
+    per_piece = cut.filter(F.when(near, goes_on).otherwise(False)).groupBy(*keys, piece).agg(*[c.alias(n) for n, c in summary.items()])
     cut = cut.drop(held)
     along = W.partitionBy(*keys).orderBy(piece)
     carried = per_piece.withColumns({n: shift(n, along) for n in summary})

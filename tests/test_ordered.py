@@ -120,6 +120,34 @@ def test_borders_are_few_and_pieces_even(spark):
     assert events.filter("_side <> 0").count() <= 16
 
 
+def test_rows_look_at_the_borders_near_them_alone(spark):
+    """However many pieces there are, most rows see no border, as their key shares a slot with none."""
+    df = spark.range(20_000).selectExpr("id % 9000 AS k", "id AS t")
+    key, pieces = F.struct(F.col("k").alias("k0")), 400
+    slot = lambda key: F.pmod(F.xxhash64(key["k0"]), F.lit(ordered.SLOTS * pieces)).cast("int")
+    place = F.struct(key.alias("key"), F.struct(F.col("t").alias("o0")).alias("at"))
+    slots = ordered._borders(df, place, pieces, slot)
+    seen = df.withColumn("near", F.get(slots, slot(key)))
+    assert seen.agg(F.avg(F.size("near"))).first()[0] < 0.2 and seen.filter("near IS NULL").isEmpty()
+    borders = seen.select(F.explode("near").alias("b")).distinct()
+    assert 350 < borders.count() <= pieces
+    assert seen.join(borders, (F.col("k") == F.col("b.key.k0")) & (F.col("t") == F.col("b.at.o0"))).filter(
+        "array_contains(near, b)").count() == borders.count()
+
+
+@pytest.mark.parametrize("name", CHECKS)
+def test_keys_that_differ_in_bytes_alone(spark, name):
+    """Equal by their collation, or zeros of both signs: one key, whatever the pieces."""
+    rows = spark.range(400).selectExpr(
+        "collate(if(id % 3 = 0, 'A', if(id % 3 = 1, 'a', 'b')), 'UTF8_LCASE') AS k", "cast(id % 40 as int) AS t", "cast(id as int) AS id",
+        "if(pmod(hash(id, 7), 3) = 0, concat('v', id), null) AS v")
+    zeros = rows.withColumn("k", F.expr("if(id % 3 = 0, 0.0D, if(id % 3 = 1, -0.0D, double('NaN')))"))
+    few = zeros.withColumn("k", F.when(F.col("id") % 50 == 0, F.col("k")).otherwise(F.col("id").cast("double")))
+    for df in (rows, zeros, few):
+        ours, theirs = (x.drop("k") for x in (CHECKS[name](df, 9), plain(name, df)))
+        assert same(ours, theirs)
+
+
 def test_internal_names_do_not_clash(skewed):
     odd = skewed.withColumns({c: F.lit(c) for c in ("_piece", "_side", "_v", "_r", "_f0", "_rn")})
     for name, make in CHECKS.items():
